@@ -100,7 +100,7 @@ def reduce_bridge(
 ) -> DataFrame:
     """Bridge rows whose key the filtered table holds."""
     return bridge.join(
-        keys.select(F.col(key).alias("_key")),
+        keys.select(F.col(key).alias("_key")).distinct(),
         F.col(f"`{bridge_key}`").eqNullSafe(F.col("_key")),
         "left_semi",
     )
@@ -119,8 +119,11 @@ def through_bridge(
 
 
 def values_in_use(dim: DataFrame, key: str, fact: DataFrame, fact_key: str) -> DataFrame:
-    """Dimension rows that have at least one fact row: valid slicer values."""
-    used = fact.select(F.col(fact_key).alias("_key"))
+    """Dimension rows that have at least one fact row: valid slicer values.
+
+    The keys in use are made distinct first, so a frequent key is one row.
+    """
+    used = fact.select(F.col(fact_key).alias("_key")).distinct()
     return dim.join(used, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
@@ -129,7 +132,7 @@ def not_in_model(
 ) -> DataFrame:
     """Source columns that the model does not use (anti-join on table and column)."""
     names = [f"_key{i}" for i in range(len(on))]
-    used = model.select(*on).toDF(*names)
+    used = model.select(*on).distinct().toDF(*names)
     return source.join(used, matches(source, on, names), "left_anti")
 
 
@@ -244,10 +247,13 @@ def cascade_match(
     """Find the same entity in two tables: exact columns first, then a close text.
 
     Adds ``key`` of the matched right row, ``rule`` (``exact``, ``fuzzy``, null when
-    nothing matched) and ``distance``. Of several matches the least key is taken.
+    nothing matched) and ``distance``. Of several matches the least key is taken. A
+    missing value matches nothing.
     """
     on = [a for a, _ in exact]
-    first = right.groupBy(*[F.col(b).alias(f"_on{i}") for i, (_, b) in enumerate(exact)])
+    first = right.dropna(subset=[b for _, b in exact]).groupBy(
+        *[F.col(b).alias(f"_on{i}") for i, (_, b) in enumerate(exact)]
+    )
     keys = [f"_on{i}" for i in range(len(exact))]
     by_exact = join_and_expand(
         left, first.agg(F.min(key).alias("_exact")), on, ["_exact"], target_on=keys

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestar.operators.joins import join_and_expand
 from lodestar.operators.ordered import add_index
-from lodestar.operators.quality import require_unique
+from lodestar.operators.quality import require_in_plan
 
 # Fixed value: the prefix of surrogate key columns.
 SKEY_PREFIX = "_SKey "
@@ -39,11 +40,22 @@ def add_surrogate_key(
 def build_dimension(
     df: DataFrame, key: str, attributes: Sequence[str], check: bool = True
 ) -> DataFrame:
-    """Distinct key and attributes; raises when the key is not unique."""
+    """Distinct key and attributes; the job fails when the key is not unique.
+
+    The test is part of the plan and reads the distinct rows only, so the source is
+    not read a second time.
+    """
     dim = df.select(key, *attributes).distinct()
-    if check:
-        require_unique(dim, [key])
-    return dim
+    if not check:
+        return dim
+    values = F.struct(*[F.col(f"`{c}`") for c in attributes])
+    keyed = dim.groupBy(key).agg(F.min(values).alias("_low"), F.max(values).alias("_high"))
+    text = F.concat(F.lit(f"key {key} is not unique: "), F.col(f"`{key}`").cast("string"))
+    message = F.coalesce(text, F.lit(f"key {key} is not unique: null"))
+    checked = require_in_plan(keyed, F.col("_low").eqNullSafe(F.col("_high")), message)
+    return checked.select(
+        F.col(f"`{key}`"), *[F.col("_low").getField(c).alias(c) for c in attributes]
+    )
 
 
 def lookup_snapshot_key(

@@ -128,7 +128,7 @@ def unused_measures(
     hits = measures.select("report", "name", "table").join(
         refs.select(
             F.col("report").alias("_report"), F.col("name").alias("_name"), "entity"
-        ),
+        ).distinct(),
         (F.col("report") == F.col("_report")) & (F.col("name") == F.col("_name"))
         & (F.col("entity").isNull() | (F.col("entity") == F.col("table"))),
         "left_semi",

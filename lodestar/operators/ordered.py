@@ -10,15 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestar.sources.staging import stage
 
 # A group above this many rows is split over several tasks.
 HEAVY_ROWS = 5_000_000
-# At most this many groups are looked up as heavy: any other group holds less
-# than 1/10,000 of all rows.
+# At most this many heavy groups are told apart by a list of their keys.
 MOST_HEAVY = 10_000
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in these bits
@@ -71,18 +70,23 @@ def add_index(
 
 def split_heavy(
     df: DataFrame, by: Sequence[str], heavy_rows: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ordinary groups, and those of heavy groups if there are any."""
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of ordinary groups and those of heavy groups, None where no such rows.
+
+    Groups are counted over their key columns alone. When more groups are heavy than
+    a list of keys may hold, all rows count as heavy.
+    """
     largest = (
         df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"))
-        .limit(MOST_HEAVY)
         .filter(F.col("_n") > heavy_rows)
         .drop("_n")
+        .limit(MOST_HEAVY + 1)
         .collect()
     )
     if not largest:
         return df, None
+    if len(largest) > MOST_HEAVY:
+        return None, df
     names = [f"_heavy{i}" for i in range(len(by))]
     schema = df.select(*by).schema
     keys = F.broadcast(df.sparkSession.createDataFrame(largest, schema).toDF(*names))
@@ -110,12 +114,9 @@ def cumulative_to_incremental(
         kind = df.schema[c].dataType
         return change.cast(kind).alias(names[c])
 
-    ordinary, heavy = split_heavy(df, group_by, heavy_rows)
-    w = Window.partitionBy(*group_by).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    result = ordinary.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[
+    def changes(w: WindowSpec) -> list[Column]:
+        first = F.row_number().over(w) == 1
+        return [
             output(
                 c,
                 F.when(first, F.col(f"`{c}`")).otherwise(
@@ -123,43 +124,42 @@ def cumulative_to_incremental(
                 ),
             )
             for c in columns
-        ],
+        ]
+
+    ordinary, heavy = split_heavy(df, group_by, heavy_rows)
+    plain = [F.col(f"`{c}`") for c in kept]
+    parts = []
+    if ordinary is not None:
+        whole = Window.partitionBy(*group_by).orderBy(*order)
+        parts.append(ordinary.select(*plain, *changes(whole)))
+    if heavy is not None:
+        piece = Window.partitionBy("_part", *group_by).orderBy("_pos")
+        rows = _with_row_before(number_partitions(heavy, [*group_by, *order]), group_by, columns)
+        split = rows.select(*plain, *changes(piece), "_pos")
+        parts.append(split.filter("_pos >= 0").drop("_pos"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_row_before(
+    rows: DataFrame, by: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Give each piece of a group the row before it, at position -1.
+
+    ``rows`` come from :func:`number_partitions`. Only one row per partition and
+    group is copied; it holds the group and the given columns.
+    """
+    values = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
+    ends = rows.groupBy("_part", *by).agg(F.max_by(values, "_pos").alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_part"))
+    starts = ends.withColumn("_last", before).filter("_last is not null")
+    copied = {c: F.col("_last").getField(f"v{i}") for i, c in enumerate(columns)}
+    copied["_pos"] = F.lit(-1).cast("long")
+    return rows.unionByName(
+        starts.select("_part", *by, *[v.alias(c) for c, v in copied.items()]),
+        allowMissingColumns=True,
     )
-    if heavy is None:
-        return result
 
     rows = number_partitions(heavy, [*group_by, *order])
-    # one row per partition and heavy group: the values the next partition starts from
-    last = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
-    ends = rows.groupBy("_part", *group_by).agg(F.max_by(last, "_pos").alias("_last"))
-    by_group = Window.partitionBy(*group_by).orderBy("_part")
-    keys = [f"_key{i}" for i in range(len(group_by))]
-    starts = ends.select(
-        F.col("_part").alias("_start_part"),
-        *[F.col(f"`{c}`").alias(k) for c, k in zip(group_by, keys, strict=True)],
-        F.lag("_last").over(by_group).alias("_before"),
-    )
-    piece = Window.partitionBy("_part", *group_by).orderBy("_pos")
-    opens = F.row_number().over(piece) == 1
-    changes = [
-        F.when(
-            opens,
-            F.when(F.col("_before").isNull(), F.col(f"`{c}`")).otherwise(
-                F.col(f"`{c}`") - F.col("_before").getField(f"v{i}")
-            ),
-        ).otherwise(F.col(f"`{c}`") - F.lag(f"`{c}`").over(piece))
-        for i, c in enumerate(columns)
-    ]
-    joined = rows.join(
-        F.broadcast(starts),
-        (F.col("_part") == F.col("_start_part")) & matches(rows, group_by, keys),
-        "left",
-    )
-    split = joined.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[output(c, x) for c, x in zip(columns, changes, strict=True)],
-    )
-    return result.unionByName(split)
 
 
 def group_rows(
@@ -167,7 +167,7 @@ def group_rows(
     by: Sequence[str],
     order: Sequence[str],
     name: str = "Group",
-    heavy_rows: int = 1_000_000,
+    heavy_rows: int = 100_000,
 ) -> DataFrame:
     """Nest the rows of each group as an array of structs in the given order.
 
@@ -183,17 +183,17 @@ def group_rows(
         return rows.groupBy(*keys).agg(nested.alias(name))
 
     ordinary, heavy = split_heavy(df, by, heavy_rows)
-    at = F.struct(*[F.col(f"`{c}`") for c in order])
-    result = nest(ordinary, by, at).select(
-        *by, F.lit(0).cast("long").alias("chunk"), name
-    )
-    if heavy is None:
-        return result
-    # a partition holds about as many rows as any other task of the session
-    rows = number_partitions(heavy, [*by, *order]).withColumn(
-        "_piece", F.floor(F.col("_pos") / heavy_rows)
-    )
-    pieces = nest(rows, [*by, "_part", "_piece"], F.col("_pos"))
-    chunk = Window.partitionBy(*by).orderBy("_part", "_piece")
-    numbered = pieces.withColumn("chunk", (F.row_number().over(chunk) - 1).cast("long"))
-    return result.unionByName(numbered.select(*by, "chunk", name))
+    parts = []
+    if ordinary is not None:
+        at = F.struct(*[F.col(f"`{c}`") for c in order])
+        whole = nest(ordinary, by, at).withColumn("chunk", F.lit(0).cast("long"))
+        parts.append(whole.select(*by, "chunk", name))
+    if heavy is not None:
+        rows = number_partitions(heavy, [*by, *order]).withColumn(
+            "_piece", F.floor(F.col("_pos") / heavy_rows)
+        )
+        pieces = nest(rows, [*by, "_part", "_piece"], F.col("_pos"))
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_part", "_piece"))
+        numbered = pieces.withColumn("chunk", (place - 1).cast("long"))
+        parts.append(numbered.select(*by, "chunk", name))
+    return reduce(DataFrame.unionByName, parts)

@@ -77,7 +77,7 @@ def historical_member_dim(
 
     Every key of the remapped fact is found in the result.
     """
-    recent = fact.filter(F.col(day) >= cutoff).select(F.col(fact_key).alias("_key"))
+    recent = fact.filter(F.col(day) >= cutoff).select(F.col(fact_key).alias("_key")).distinct()
     kept = dim.join(recent, F.col(dim_key) == F.col("_key"), "left_semi")
     values = {dim_key: HISTORICAL_CUSTOMER_KEY, name: HISTORICAL_CUSTOMER}
     member = dim.sparkSession.range(1).select(

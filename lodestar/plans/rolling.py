@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.dates import end_of_month
 from lodestar.functions.measures import distinct_count
-from lodestar.operators.joins import through_bridge
 
 
 def rolling_distinct(
@@ -77,9 +76,8 @@ def reported(date: Column, last: Column) -> Column:
 
 
 def _last_fact_day(fact: DataFrame, day: str, days: DataFrame) -> DataFrame:
-    selected = days.select(F.col("day").alias("_selected"))
-    inside = fact.join(selected, F.col(day) == F.col("_selected"), "left_semi")
-    return inside.agg(F.max(day).alias("last"))
+    inside = days_with_facts(fact, day).join(days, "day", "left_semi")
+    return inside.agg(F.max("day").alias("last"))
 
 
 def rolling_distinct_month_end(
@@ -125,9 +123,11 @@ def rolling_distinct_bridge(
         & (F.col("WindowDayShift") == shift)
         & (F.col("Window") >= first)
         & reported(F.col("Window"), last)
-    )
+    ).select(F.col("DIM_CalendarKey").alias("_day"), "Window").distinct()
     pairs = fact.select(F.col(thing).alias("_thing"), F.col(day).alias("_day")).distinct()
-    rows = through_bridge(pairs, "_day", windows, "DIM_CalendarKey", "Window")
+    # a month has one window, the last one up to 31, each of ``size`` days: the windows
+    # are a few hundred rows per year whatever the fact
+    rows = pairs.join(F.broadcast(windows), "_day")
     return rows.groupBy(F.col("Window").alias("window_day")).agg(
         distinct_count("_thing").alias(name)
     )

@@ -98,11 +98,13 @@ def _related_sum(t: Tables) -> DataFrame:
 
 
 def _item_sum(t: Tables) -> DataFrame:
-    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        fiscal_year("l_shipdate").alias("fiscal_year"), "l_partkey", "l_extendedprice", "p_size"
+    # amounts are summed per year and part before the join
+    amounts = t.lineitem.groupBy(fiscal_year("l_shipdate").alias("fiscal_year"), "l_partkey").agg(
+        F.sum("l_extendedprice").alias("amount")
     )
+    rows = amounts.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return sum_by_item(
-        lines, ["fiscal_year"], "l_partkey", F.col("l_extendedprice"),
+        rows, ["fiscal_year"], "l_partkey", F.col("amount"),
         F.col("p_size") / 100.0, F.col("p_size") - 1, "total",
     )
 

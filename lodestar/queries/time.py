@@ -28,8 +28,12 @@ _SELECTED = f"day >= DATE '{FIRST}' AND day < DATE '{END}'"
 
 
 def _building(t: Tables) -> DataFrame:
-    """Orders of one customer segment."""
-    star = Star(t.daily_orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    """Customers of one segment with their order days.
+
+    Pairs are made distinct before the join: a busy customer is one row per day.
+    """
+    pairs = t.daily_orders.select("o_custkey", "day").distinct()
+    star = Star(pairs, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
     return star.filtered({"customer": F.col("c_mktsegment") == "BUILDING"})
 
 
