@@ -168,9 +168,9 @@ class Star:
                 continue
             dim = self.dimensions[table]
             keys = dim.rows.filter(predicate).select(F.col(dim.key).alias("_key"))
-            rows = rows.join(
-                keys, F.col(dim.fact_key).eqNullSafe(F.col("_key")), "left_semi"
-            )
+            # a dimension has no null key; plain equality leaves the rows partitioned
+            # by the fact key for what follows
+            rows = rows.join(keys, F.col(dim.fact_key) == F.col("_key"), "left_semi")
         return rows
 
     def related(self, rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:

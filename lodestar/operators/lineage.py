@@ -43,8 +43,8 @@ def expression_references(df: DataFrame, expression: str, name: str = "reference
 def read_report_parts(spark: SparkSession, folder: str) -> DataFrame:
     """The JSON files below a folder, one row per file with its path."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").text(folder)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(folder, wholetext=True, recursiveFileLookup=True)
     )
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 

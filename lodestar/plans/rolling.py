@@ -9,6 +9,8 @@ and serves any window table, at one row per pair and window.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,21 @@ from lodestar.functions.dates import end_of_month
 from lodestar.functions.measures import distinct_count
 
 
+Dates = tuple[dt.date, dt.date]
+
+
+def _pairs(
+    fact: DataFrame, thing: str, day: str, size: int, shift: int, between: Dates | None
+) -> DataFrame:
+    """Distinct (thing, day) pairs that a window ending in the date range can hold."""
+    rows = fact.filter(F.col(day).isNotNull())
+    if between is not None:
+        first = between[0] + dt.timedelta(days=shift - size + 1)
+        last = between[1] + dt.timedelta(days=shift)
+        rows = rows.filter(F.col(day).between(F.lit(first), F.lit(last)))
+    return rows.select(F.col(thing).alias("_thing"), F.col(day).alias("_day")).distinct()
+
+
 def rolling_distinct(
     fact: DataFrame,
     thing: str,
@@ -24,18 +41,18 @@ def rolling_distinct(
     days: DataFrame,
     name: str = "n",
     shift: int = 0,
+    between: Dates | None = None,
 ) -> DataFrame:
     """Distinct things in the ``size`` days up to each date of ``days`` (column ``day``).
 
     Null is one more thing. A shift moves the counted days away from the date:
     -365 counts the window of a year earlier. Dates with nothing to count are left
-    out; facts before the first date still count.
+    out; facts before the first date still count. With ``between``, the first and last
+    of the dates, only facts their windows can hold are read.
     """
-    pairs = (
-        fact.filter(F.col(day).isNotNull())
-        .select(F.col(thing).alias("_thing"), F.date_add(day, -shift).alias("_day"))
-        .distinct()
-    )
+    pairs = _pairs(fact, thing, day, size, shift, between)
+    if shift:
+        pairs = pairs.select("_thing", F.date_add("_day", -shift).alias("_day"))
     # after the distinct a thing has at most one row per calendar day
     again = F.lead("_day").over(Window.partitionBy("_thing").orderBy("_day"))
     stretches = pairs.select(
@@ -88,6 +105,7 @@ def rolling_distinct_month_end(
     size: int,
     days: DataFrame,
     name: str = "n",
+    between: Dates | None = None,
 ) -> DataFrame:
     """Rolling distinct count for the days of the last month and earlier month ends.
 
@@ -96,9 +114,8 @@ def rolling_distinct_month_end(
     filters of its dimensions; facts before the selection still count.
     """
     last = _last_fact_day(unfiltered, day, days).scalar()
-    return rolling_distinct(
-        fact, thing, day, size, days.filter(reported(F.col("day"), last)), name
-    )
+    shown = days.filter(reported(F.col("day"), last))
+    return rolling_distinct(fact, thing, day, size, shown, name, between=between)
 
 
 def rolling_distinct_bridge(
@@ -111,6 +128,7 @@ def rolling_distinct_bridge(
     size: int = 28,
     shift: int = 0,
     name: str = "n",
+    between: Dates | None = None,
 ) -> DataFrame:
     """The same measure by window date, through a stored calendar window bridge.
 
@@ -124,7 +142,7 @@ def rolling_distinct_bridge(
         & (F.col("Window") >= first)
         & reported(F.col("Window"), last)
     ).select(F.col("DIM_CalendarKey").alias("_day"), "Window").distinct()
-    pairs = fact.select(F.col(thing).alias("_thing"), F.col(day).alias("_day")).distinct()
+    pairs = _pairs(fact, thing, day, size, shift, between)
     # a month has one window, the last one up to 31, each of ``size`` days: the windows
     # are a few hundred rows per year whatever the fact
     rows = pairs.join(F.broadcast(windows), "_day")
@@ -143,10 +161,13 @@ def rolling_distinct_trend(
     bridge: DataFrame | None = None,
     size: int = 28,
     name: str = "n",
+    between: Dates | None = None,
 ) -> DataFrame:
     """One measure for both groupings: by calendar day or by bridge window."""
     if by == "window":
         return rolling_distinct_bridge(
-            fact, unfiltered, thing, day, bridge, days, size, 0, name
+            fact, unfiltered, thing, day, bridge, days, size, 0, name, between
         )
-    return rolling_distinct_month_end(fact, unfiltered, thing, day, size, days, name)
+    return rolling_distinct_month_end(
+        fact, unfiltered, thing, day, size, days, name, between
+    )

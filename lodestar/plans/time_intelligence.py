@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.measures import blank_minus, divide
 from lodestar.sources.calendars import days_spanned
+from lodestar.sources.staging import stage
 
 # The variants generated for a tagged base measure.
 VARIANTS = ("YTD", "PY", "YoY", "YoY%", "QTD", "MTD")
@@ -45,8 +46,9 @@ def time_intelligence(
 ) -> DataFrame:
     """Base measures per day or month with their to-date and prior-year variants.
 
-    The fact is summed per period first; everything after that has one row per
-    period of the calendar, also for periods without facts. A given measure that
+    The fact is summed per period first, in one pass, and the sums are staged, as the
+    calendar and the prior year read them again. Everything after that has one row
+    per period of the calendar, also for periods without facts. A given measure that
     bears the name of a generated variant is replaced by it.
     """
     unknown = sorted(set(variants) - set(VARIANTS))
@@ -56,10 +58,12 @@ def time_intelligence(
     base = {n: m for n, m in measures.items() if n not in wanted}
     wanted = generated_names(base, variants)
     period = F.col(day) if grain == "day" else F.to_date(F.date_trunc(grain, F.col(day)))
-    totals = fact.groupBy(period.alias("_period")).agg(
-        *[m.expression.alias(n) for n, m in base.items()]
+    totals = stage(
+        fact.groupBy(period.alias("_period")).agg(
+            *[m.expression.alias(n) for n, m in base.items()]
+        )
     )
-    calendar = days_spanned(totals, F.col("_period"), grain)
+    calendar = days_spanned(totals, "_period", grain)
     rows = calendar.join(totals, F.col("day") == F.col("_period"), "left").drop("_period")
 
     to_date = {

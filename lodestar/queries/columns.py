@@ -104,7 +104,7 @@ FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DA
 """, name="date_dimension")
 def date_dimension_of_orders(t: Tables) -> DataFrame:
     """A date table that spans all order dates."""
-    days = days_spanned(t.daily_orders, F.col("day"))
+    days = days_spanned(t.daily_orders, "day")
     return date_dimension(days).withColumn("Date", iso("Date"))
 
 

@@ -20,11 +20,11 @@ from lodestar.plans.rolling import (
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
 from lodestar.plans.time_intelligence import Measure, time_intelligence
 from lodestar.queries.registry import Tables, cents, iso, query
-from lodestar.sources.calendars import calendar_window_bridge, days_spanned
+from lodestar.sources.calendars import calendar_window_bridge, date_bounds, days_between
 
-FIRST, END = dt.date(1995, 6, 1), dt.date(2001, 7, 1)
+FIRST, LAST = dt.date(1995, 6, 1), dt.date(2001, 6, 30)
 
-_SELECTED = f"day >= DATE '{FIRST}' AND day < DATE '{END}'"
+_SELECTED = f"day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"
 
 
 def _building(t: Tables) -> DataFrame:
@@ -42,9 +42,9 @@ _PAIRS_SQL = """p AS (SELECT DISTINCT o_custkey AS thing, o_orderdate::DATE AS d
 
 _DAYS_SQL = f"""cal AS (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE,
                                        INTERVAL 1 DAY))::DATE AS day FROM orders),
-sel AS (SELECT day FROM cal WHERE day >= DATE '{FIRST}' AND day < DATE '{END}'),
+sel AS (SELECT day FROM cal WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'),
 l AS (SELECT max(o_orderdate)::DATE AS last FROM orders
-      WHERE o_orderdate >= DATE '{FIRST}' AND o_orderdate < DATE '{END}'),
+      WHERE o_orderdate::DATE BETWEEN DATE '{FIRST}' AND DATE '{LAST}'),
 d AS (SELECT day FROM sel, l WHERE day <= last
       AND (day > last_day(last - INTERVAL 1 MONTH) OR day = last_day(day)))"""
 
@@ -52,14 +52,17 @@ d AS (SELECT day FROM sel, l WHERE day <= last
 @query(f"""
 WITH {_PAIRS_SQL},
 d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders
-      WHERE o_orderdate >= DATE '{FIRST}' AND o_orderdate < DATE '{END}')
+      WHERE o_orderdate::DATE BETWEEN DATE '{FIRST}' AND DATE '{LAST}')
 SELECT strftime(d.day, '%Y-%m-%d') AS day, count(DISTINCT thing) AS n
 FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 """)
 def rolling_distinct_28d(t: Tables) -> DataFrame:
     """Customers of a segment with an order in the last 28 days, for days with orders."""
     days = days_with_facts(t.daily_orders, "day").filter(_SELECTED)
-    return rolling_distinct(_building(t), "o_custkey", "day", 28, days).withColumn("day", iso("day"))
+    counts = rolling_distinct(
+        _building(t), "o_custkey", "day", 28, days, between=(FIRST, LAST)
+    )
+    return counts.withColumn("day", iso("day"))
 
 
 @query("""
@@ -78,8 +81,9 @@ def rolling_distinct_7d(t: Tables) -> DataFrame:
     return rolling_distinct(events, "user", "day", 7, days).withColumn("day", iso("day"))
 
 
-def _selected_days(t: Tables) -> DataFrame:
-    return days_spanned(t.daily_orders, F.col("day")).filter(_SELECTED)
+def _calendar(t: Tables) -> DataFrame:
+    """All days from the first to the last order."""
+    return days_between(t.spark, *date_bounds(t.daily_orders, "day"))
 
 
 @query(f"""
@@ -90,15 +94,12 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 def rolling_distinct_month_end(t: Tables) -> DataFrame:
     """Days of the last selected month and earlier month ends, also without orders."""
     counts = rolling_distinct_trend(
-        _building(t), t.daily_orders, "o_custkey", "day", _selected_days(t)
+        _building(t), t.daily_orders, "o_custkey", "day", _calendar(t).filter(_SELECTED),
+        between=(FIRST, LAST),
     )
     return counts.withColumn("day", iso("day"))
 
 
-def _bridge(t: Tables) -> DataFrame:
-    return calendar_window_bridge(days_spanned(t.daily_orders, F.col("day")), "day")
-
-
 @query(f"""
 WITH {_PAIRS_SQL}, {_DAYS_SQL}
 SELECT strftime(d.day, '%Y-%m-%d') AS window_day, count(DISTINCT thing) AS n
@@ -106,9 +107,10 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 """, name="rolling_distinct_bridge")
 def rolling_distinct_by_window(t: Tables) -> DataFrame:
     """The same measure by window date through the bridge."""
+    calendar = _calendar(t)
     counts = rolling_distinct_trend(
-        _building(t), t.daily_orders, "o_custkey", "day", _selected_days(t),
-        by="window", bridge=_bridge(t),
+        _building(t), t.daily_orders, "o_custkey", "day", calendar.filter(_SELECTED),
+        by="window", bridge=calendar_window_bridge(calendar, "day"), between=(FIRST, LAST),
     )
     return counts.withColumn("window_day", iso("window_day"))
 
@@ -120,9 +122,11 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 - 365 AND d.day - 365 GROUP BY d.day
 """)
 def rolling_distinct_bridge_py(t: Tables) -> DataFrame:
     """The windows of a year earlier."""
+    calendar = _calendar(t)
     counts = rolling_distinct_bridge(
-        _building(t), t.daily_orders, "o_custkey", "day", _bridge(t), _selected_days(t),
-        size=28, shift=-365,
+        _building(t), t.daily_orders, "o_custkey", "day",
+        calendar_window_bridge(calendar, "day"), calendar.filter(_SELECTED),
+        size=28, shift=-365, between=(FIRST, LAST),
     )
     return counts.withColumn("window_day", iso("window_day"))
 

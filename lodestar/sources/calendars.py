@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.dates import month_name, quarter_name
@@ -21,10 +21,15 @@ def days_between(spark: SparkSession, first: dt.date, last: dt.date) -> DataFram
     return spark.range(1).select(day.alias("day"))
 
 
-def days_spanned(df: DataFrame, day: Column, unit: str = "day") -> DataFrame:
+def date_bounds(df: DataFrame, day: str) -> tuple[dt.date, dt.date]:
+    """First and last date of a column, read once."""
+    return tuple(df.agg(F.min(day), F.max(day)).first())
+
+
+def days_spanned(df: DataFrame, day: str, unit: str = "day") -> DataFrame:
     """One row per day (or month, year) from the first to the last date of a column."""
     step = F.expr(f"interval 1 {unit}")
-    start = F.to_date(F.date_trunc(unit, day)) if unit != "day" else day
+    start = F.to_date(F.date_trunc(unit, F.col(day))) if unit != "day" else F.col(day)
     ends = df.select(start.alias("d")).agg(F.min("d").alias("a"), F.max("d").alias("b"))
     return ends.select(F.explode(F.sequence("a", "b", step)).alias("day"))
 
