@@ -51,7 +51,7 @@ def repeated_keys(
     """Target keys that occur more than once and that the source uses."""
     names = [f"_key{i}" for i in range(len(on))]
     twice = repeated(target, target_on).drop("n").toDF(*names)
-    return source.select(*on).join(twice, matches(source, on, names), "left_semi")
+    return source.select(*on).join(twice, matches(on, names), "left_semi")
 
 
 def join_and_expand(
@@ -64,10 +64,12 @@ def join_and_expand(
     target_on: Sequence[str] | None = None,
     expand_as: Sequence[str] | None = None,
     first_by: Sequence[str] = (),
+    match_nulls: bool = True,
 ) -> DataFrame:
     """Left outer join that adds chosen target columns to the source.
 
-    Null keys match null keys. ``CHECKED`` raises when the join would add rows,
+    Null keys match null keys; tables bucketed by keys without nulls join in place
+    with ``match_nulls`` off. ``CHECKED`` raises when the join would add rows,
     before anything is written; ``DISTINCT_TARGET`` keeps the first target row per
     key in ``first_by`` order.
     """
@@ -92,7 +94,8 @@ def join_and_expand(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(target_on, names, strict=True)],
         *[F.col(f"`{c}`").alias(n) for c, n in zip(expand, expand_as, strict=True)],
     )
-    return source.join(columns, matches(source, on, names), "left").drop(*names)
+    same = matches(on, names, match_nulls)
+    return source.join(columns, same, "left").drop(*names)
 
 
 def reduce_bridge(
@@ -133,7 +136,7 @@ def not_in_model(
     """Source columns that the model does not use (anti-join on table and column)."""
     names = [f"_key{i}" for i in range(len(on))]
     used = model.select(*on).distinct().toDF(*names)
-    return source.join(used, matches(source, on, names), "left_anti")
+    return source.join(used, matches(on, names), "left_anti")
 
 
 @dataclass(frozen=True)

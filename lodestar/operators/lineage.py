@@ -125,6 +125,7 @@ def unused_measures(
     measure. All reports are treated at once; the last, empty round is counted.
     """
     by_name = ["report", "name"]
+    measures = stage(measures.select("report", "table", "name", "expression"))
     hits = measures.select("report", "name", "table").join(
         refs.select(
             F.col("report").alias("_report"), F.col("name").alias("_name"), "entity"

@@ -23,11 +23,14 @@ MOST_HEAVY = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in these bits
 
 
-def matches(left: DataFrame, keys: Sequence[str], right_keys: Sequence[str]) -> Column:
-    """Null-safe equality of key columns whose names do not clash."""
+def matches(
+    keys: Sequence[str], other_keys: Sequence[str], match_nulls: bool = True
+) -> Column:
+    """Equality of key columns whose names do not clash, null-safe by default."""
+    equal = Column.eqNullSafe if match_nulls else Column.__eq__
     pairs = [
-        F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))
-        for a, b in zip(keys, right_keys, strict=True)
+        equal(F.col(f"`{a}`"), F.col(f"`{b}`"))
+        for a, b in zip(keys, other_keys, strict=True)
     ]
     return reduce(Column.__and__, pairs)
 
@@ -90,7 +93,7 @@ def split_heavy(
     names = [f"_heavy{i}" for i in range(len(by))]
     schema = df.select(*by).schema
     keys = F.broadcast(df.sparkSession.createDataFrame(largest, schema).toDF(*names))
-    same = matches(df, by, names)
+    same = matches(by, names)
     return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
 
 

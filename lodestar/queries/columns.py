@@ -97,8 +97,8 @@ def json_list_expand(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT strftime(d, '%Y-%m-%d') AS "Date", year(d) AS "Year", strftime(d, '%b') AS "Month",
-       month(d) AS "Month Number", 'Q' || quarter(d) AS "Quarter"
+SELECT strftime(d, '%Y-%m-%d') AS "Date", year(d)::INT AS "Year", strftime(d, '%b') AS "Month",
+       month(d)::INT AS "Month Number", 'Q' || quarter(d) AS "Quarter"
 FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE,
                                     INTERVAL 1 DAY))::DATE AS d FROM orders)
 """, name="date_dimension")

@@ -115,14 +115,14 @@ def slicer_valid_values(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT h AS home_store, n_name AS store,
-       CASE WHEN h = n_name THEN 'Home Store' ELSE n_name END AS display,
-       CASE WHEN h = n_name THEN '' ELSE n_name END AS display_sort
-FROM nation, (VALUES ('NATION_3'), ('NATION_7')) AS homes(h)
+SELECT h AS home_store, s_name AS store,
+       CASE WHEN h = s_name THEN 'Home Store' ELSE s_name END AS display,
+       CASE WHEN h = s_name THEN '' ELSE s_name END AS display_sort
+FROM supplier, (VALUES ('Supplier#000000003'), ('Supplier#000000007')) AS homes(h)
 """)
 def home_store_display(t: Tables) -> DataFrame:
-    """All nations as stores, seen from two home stores."""
-    return store_display(t.nation, "n_name", ["NATION_3", "NATION_7"])
+    """All suppliers as stores, seen from two home stores."""
+    return store_display(t.supplier, "s_name", ["Supplier#000000003", "Supplier#000000007"])
 
 
 def _store_orders(t: Tables) -> DataFrame:
@@ -202,7 +202,7 @@ f AS (SELECT c_name AS n, min(levenshtein(c_name, title) * 1000000 + ref) AS bes
 SELECT c_custkey, coalesce(exact, best % 1000000, -1) AS ref,
        CASE WHEN exact IS NOT NULL THEN 'exact' WHEN best IS NOT NULL THEN 'fuzzy'
             ELSE 'none' END AS rule,
-       CASE WHEN exact IS NOT NULL THEN 0 ELSE coalesce(best // 1000000, -1) END AS distance
+       CASE WHEN exact IS NOT NULL THEN 0 ELSE coalesce(best // 1000000, -1) END::INT AS distance
 FROM e LEFT JOIN f ON c_name = n
 """, name="cascade_match")
 def cascade_match_customers(t: Tables) -> DataFrame:

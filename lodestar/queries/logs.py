@@ -71,7 +71,7 @@ def source_table_lineage(t: Tables) -> DataFrame:
     """Source names from an entity, from two patterns, from the expression, or none."""
     segment, key = F.col("c_mktsegment"), F.col("c_custkey").cast("string")
     expression = (
-        F.when(segment == "BUILDING", F.concat(F.lit('let S = fxGetTable("table_'), key, F.lit('") in S')))
+        F.when(segment == "BUILDING", F.concat(F.lit('let S = SourceTable("table_'), key, F.lit('") in S')))
         .when(segment == "FURNITURE", F.concat(F.lit('Source{[Item="item '), key, F.lit('"]}[Data]')))
         .when(segment == "HOUSEHOLD", "#date(2013, 1, 1)")
         .otherwise("")
@@ -83,7 +83,7 @@ def source_table_lineage(t: Tables) -> DataFrame:
         F.when(segment == "AUTOMOBILE", F.concat("c_name", F.lit(" entity"))).alias("entity_name"),
         expression.alias("expression"),
     )
-    sources = source_tables(parts, [r'fxGetTable\("([^"]+)"\)', r'\[Item="([^"]+)"\]'])
+    sources = source_tables(parts, [r'SourceTable\("([^"]+)"\)', r'\[Item="([^"]+)"\]'])
     return sources.withColumn("source_table_name", F.coalesce("source_table_name", F.lit("none")))
 
 

@@ -110,7 +110,7 @@ def _item_sum(t: Tables) -> DataFrame:
 
 
 _RELATED_SQL = f"""
-SELECT year(l_shipdate + INTERVAL 6 MONTH) AS fiscal_year,
+SELECT year(l_shipdate + INTERVAL 6 MONTH)::INT AS fiscal_year,
        round(sum(l_extendedprice * {_WEIGHT}), 2) AS total
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 """
@@ -130,7 +130,7 @@ def sumx_by_item(t: Tables) -> DataFrame:
 
 @query(f"""
 WITH r AS ({_RELATED_SQL})
-SELECT count(*) AS rows_left, count(*) AS rows_right, 0 AS only_left, 0 AS only_right,
+SELECT count(*) AS rows_left, count(*) AS rows_right, 0::BIGINT AS only_left, 0::BIGINT AS only_right,
        true AS same_schema, true AS equivalent FROM r
 """)
 def results_equivalent(t: Tables) -> DataFrame:
@@ -152,7 +152,7 @@ def distinct_count_blank(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, 0 AS chunk, count(*) AS n,
+SELECT o_custkey, 0::BIGINT AS chunk, count(*) AS n,
        string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) AS order_keys
 FROM orders GROUP BY o_custkey
 """, name="group_rows")
@@ -266,7 +266,7 @@ def rating_bands(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT year(o_orderdate + INTERVAL 6 MONTH) AS fiscal_year, round(sum(o_totalprice), 2) AS total
+SELECT year(o_orderdate + INTERVAL 6 MONTH)::INT AS fiscal_year, round(sum(o_totalprice), 2) AS total
 FROM orders WHERE year(o_orderdate + INTERVAL 6 MONTH) BETWEEN 1997 AND 1999 GROUP BY 1
 """)
 def next_n_years(t: Tables) -> DataFrame:

@@ -57,8 +57,9 @@ def dq_not_null(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT count(*) AS rows, count_if(l_quantity < 1) AS a, count_if(l_discount >= 0.1) AS b,
-                  count_if(l_shipdate < DATE '1995-06-01') AS c, count_if(l_tax > 1) AS d FROM lineitem)
+WITH c AS (SELECT count(*) AS rows, count_if(l_quantity < 1)::BIGINT AS a, count_if(l_discount >= 0.1)::BIGINT AS b,
+                  count_if(l_shipdate < DATE '1995-06-01')::BIGINT AS c,
+                  count_if(l_tax > 1)::BIGINT AS d FROM lineitem)
 SELECT 0 AS position, 'quantity' AS "check", 'abort' AS failure_mode, rows, a AS violations,
        CASE WHEN a = 0 THEN 'passed' ELSE 'failed' END AS outcome FROM c
 UNION ALL SELECT 1, 'discount', 'continue', rows, b, CASE WHEN b = 0 THEN 'passed' ELSE 'warning' END FROM c

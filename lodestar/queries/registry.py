@@ -21,7 +21,9 @@ class Tables:
         self._folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self._folder, name)
+        table = read_table(self.spark, self._folder, name)
+        setattr(self, name, table)
+        return table
 
     @property
     def daily_orders(self) -> DataFrame:

@@ -136,7 +136,7 @@ WITH y AS (SELECT unnest(generate_series(min(year(o_orderdate + INTERVAL 6 MONTH
                                          max(year(o_orderdate + INTERVAL 6 MONTH)))) AS fy FROM orders),
 s AS (SELECT year(o_orderdate + INTERVAL 6 MONTH) AS fy, sum(o_totalprice) AS total
       FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT y.fy AS fiscal_year, round(sum(total) OVER (ORDER BY y.fy), 2) AS running_total
+SELECT y.fy::INT AS fiscal_year, round(sum(total) OVER (ORDER BY y.fy), 2) AS running_total
 FROM y LEFT JOIN s ON y.fy = s.fy
 """)
 def running_total_fy(t: Tables) -> DataFrame:
@@ -157,7 +157,7 @@ s AS (SELECT year(l_shipdate + INTERVAL 6 MONTH) AS fy,
       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
       JOIN nation ON s_nationkey = n_nationkey
       WHERE n_name <> 'NATION_7' AND l_linestatus = 'F' GROUP BY 1)
-SELECT y.fy AS fiscal_year, round(sum(total) OVER (ORDER BY y.fy), 2) AS running_total
+SELECT y.fy::INT AS fiscal_year, round(sum(total) OVER (ORDER BY y.fy), 2) AS running_total
 FROM y LEFT JOIN s ON y.fy = s.fy
 """, name="running_total_adjusted")
 def running_total_of_lines(t: Tables) -> DataFrame:

@@ -82,11 +82,11 @@ def test_log_star(spark):
 
 def test_source_tables(spark):
     parts = spark.createDataFrame(
-        [("w", "m", "a", "Entity", 'fxGetTable("x")'), ("w", "m", "b", "", 'f(fxGetTable("T b"))'),
-         ("w", "m", "c", None, "#date(1,1,1)"), ("w", "m", "d", None, ""), ("v", "m", "z", None, 'fxGetTable("q")')],
+        [("w", "m", "a", "Entity", 'SourceTable("x")'), ("w", "m", "b", "", 'f(SourceTable("T b"))'),
+         ("w", "m", "c", None, "#date(1,1,1)"), ("w", "m", "d", None, ""), ("v", "m", "z", None, 'SourceTable("q")')],
         "workspace string, model_name string, table_name string, entity_name string, expression string",
     )
-    got = [tuple(r) for r in source_tables(parts, [r'fxGetTable\("([^"]+)"\)']).collect()]
+    got = [tuple(r) for r in source_tables(parts, [r'SourceTable\("([^"]+)"\)']).collect()]
     assert got == [
         ("v", "m", "z", "q"), ("w", "m", "a", "Entity"), ("w", "m", "b", "T b"),
         ("w", "m", "c", "#date(1,1,1)"), ("w", "m", "d", None),
