@@ -1,15 +1,19 @@
 """Rolling distinct counts.
 
-The linear plan reads each distinct (thing, day) pair once, whatever the window
-size. A pair makes its thing count from its day on until the window has passed or
-the thing occurs again; the ends of these stretches are summed per day and added
-up along the calendar. The bridge plan joins the pairs to a stored table of windows
-and serves any window table, at one row per pair and window.
+The days of a thing are kept as bits of a long, 56 days per row, by a plain
+aggregate. However often a thing occurs, it crosses the shuffle as one small row per
+eight weeks and task.
+
+The linear plan costs the same for any window size. A day makes its thing count until
+the window has passed or the thing occurs again; the ends of these stretches are
+summed per date and added up along the calendar. The bridge plan joins the bits of the
+things to the bits of the windows of a stored table and serves any window table.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,67 +21,132 @@ from pyspark.sql import functions as F
 from lodestar.functions.dates import end_of_month
 from lodestar.functions.measures import distinct_count
 
+BLOCK = 56  # days per row: seven bytes, so the sign bit of a long stays free
 
 Dates = tuple[dt.date, dt.date]
 
 
-def _pairs(
-    fact: DataFrame, thing: str, day: str, size: int, shift: int, between: Dates | None
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def _shifted(bits: Column, by: Column) -> Column:
+    return F.call_function("shiftright", bits, by)
+
+
+def _lowest(bits: Column) -> Column:
+    """Position of the lowest set bit."""
+    return F.bit_count(bits.bitwiseAND(-bits) - 1)
+
+
+def _as_marks(day: Column) -> tuple[Column, Column]:
+    """Block of a date and its bit within the block."""
+    number = F.unix_date(day)
+    return F.floor(number / BLOCK).cast("int").alias("_block"), F.bit_or(
+        _bit(F.pmod(number, F.lit(BLOCK)))
+    ).alias("_days")
+
+
+def mark_days(
+    fact: DataFrame,
+    by: Sequence[str],
+    day: str,
+    between: Dates | None = None,
+    size: int = 1,
+    shift: int = 0,
 ) -> DataFrame:
-    """Distinct (thing, day) pairs that a window ending in the date range can hold."""
+    """The days on which each combination of keys occurs, as bits of ``_days``.
+
+    The result has the key columns, ``_block`` and ``_days``, so filters on the keys can
+    follow. With ``between``, the first and last result date, only days that a window of
+    the size and shift can hold are read.
+    """
     rows = fact.filter(F.col(day).isNotNull())
     if between is not None:
         first = between[0] + dt.timedelta(days=shift - size + 1)
         last = between[1] + dt.timedelta(days=shift)
         rows = rows.filter(F.col(day).between(F.lit(first), F.lit(last)))
-    return rows.select(F.col(thing).alias("_thing"), F.col(day).alias("_day")).distinct()
+    block, days = _as_marks(F.col(day))
+    return rows.groupBy(*by, block).agg(days)
 
 
-def rolling_distinct(
-    fact: DataFrame,
+def count_marked(
+    marks: DataFrame,
     thing: str,
-    day: str,
     size: int,
     days: DataFrame,
     name: str = "n",
     shift: int = 0,
-    between: Dates | None = None,
 ) -> DataFrame:
-    """Distinct things in the ``size`` days up to each date of ``days`` (column ``day``).
-
-    Null is one more thing. A shift moves the counted days away from the date:
-    -365 counts the window of a year earlier. Dates with nothing to count are left
-    out; facts before the first date still count. With ``between``, the first and last
-    of the dates, only facts their windows can hold are read.
-    """
-    pairs = _pairs(fact, thing, day, size, shift, between)
-    if shift:
-        pairs = pairs.select("_thing", F.date_add("_day", -shift).alias("_day"))
-    # after the distinct a thing has at most one row per calendar day
-    again = F.lead("_day").over(Window.partitionBy("_thing").orderBy("_day"))
-    stretches = pairs.select(
-        "_day", F.least(F.date_add("_day", size), again).alias("_end")
+    """Rolling distinct count over the result of :func:`mark_days`."""
+    merged = marks.groupBy(thing, "_block").agg(F.bit_or("_days").alias("_days"))
+    # a thing has one row per block of the calendar
+    base = F.col("_block") * BLOCK
+    later = F.lead(base + _lowest(F.col("_days"))).over(
+        Window.partitionBy(thing).orderBy("_block")
+    )
+    bits, at = F.col("_days"), F.col("_at")
+    bytes_set = (
+        merged.withColumn("_later", later)
+        .withColumn("_byte", F.explode(F.array(*[F.lit(8 * i) for i in range(7)])))
+        .filter(_shifted(bits, F.col("_byte")).bitwiseAND(F.lit(255)) != 0)
     )
-    edges = stretches.select(
+    single = (
+        bytes_set.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+        .select("_days", "_later", base.alias("_base"), (F.col("_byte") + F.col("_i")).alias("_at"))
+        .filter(_shifted(bits, at).bitwiseAND(F.lit(1)) == 1)
+    )
+    here = F.col("_base") + at
+    rest = _shifted(bits, at + 1)
+    again = F.when(rest != 0, here + 1 + _lowest(rest)).otherwise(F.col("_later"))
+    edges = single.select(
         F.inline(
             F.array(
-                F.struct(F.col("_day").alias("day"), F.lit(1).alias("_change")),
-                F.struct(F.col("_end").alias("day"), F.lit(-1).alias("_change")),
+                F.struct((here - shift).alias("_number"), F.lit(1).alias("_change")),
+                F.struct(
+                    (F.least(here + size, again) - shift).alias("_number"),
+                    F.lit(-1).alias("_change"),
+                ),
             )
         )
     )
-    changes = edges.groupBy("day").agg(F.sum("_change").alias("_change"))
-    wanted = days.select("day", F.lit(0).cast("long").alias("_change"), F.lit(True).alias("_w"))
+    changes = edges.groupBy("_number").agg(F.sum("_change").alias("_change"))
+    wanted = days.select(
+        F.unix_date("day").alias("_number"), F.lit(0).cast("long").alias("_change"),
+        F.lit(True).alias("_wanted"),
+    )
     timeline = (
-        changes.withColumn("_w", F.lit(False)).unionByName(wanted)
-        .groupBy("day").agg(F.sum("_change").alias("_change"), F.max("_w").alias("_w"))
+        changes.withColumn("_wanted", F.lit(False)).unionByName(wanted)
+        .groupBy("_number").agg(F.sum("_change").alias("_change"), F.max("_wanted").alias("_wanted"))
     )
     # one row per calendar day is left, so this window is small however large the fact
     running = F.sum("_change").over(
-        Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        Window.orderBy("_number").rowsBetween(Window.unboundedPreceding, 0)
     )
-    counted = timeline.select("day", "_w", running.alias(name))
-    return counted.filter(F.col("_w") & (F.col(name) > 0)).select("day", name)
+    counted = timeline.select(
+        F.date_from_unix_date("_number").alias("day"), "_wanted", running.alias(name)
+    )
+    return counted.filter(F.col("_wanted") & (F.col(name) > 0)).select("day", name)
+
+
+def rolling_distinct(
+    fact: DataFrame,
+    thing: str,
+    day: str,
+    size: int,
+    days: DataFrame,
+    name: str = "n",
+    shift: int = 0,
+    between: Dates | None = None,
+) -> DataFrame:
+    """Distinct things in the ``size`` days up to each date of ``days`` (column ``day``).
+
+    Null is one more thing. A shift moves the counted days away from the date:
+    -365 counts the window of a year earlier. Dates with nothing to count are left
+    out; facts before the first date still count.
+    """
+    marks = mark_days(fact, [thing], day, between, size, shift)
+    return count_marked(marks, thing, size, days, name, shift)
 
 
 def days_with_facts(fact: DataFrame, day: str) -> DataFrame:
@@ -92,34 +161,23 @@ def reported(date: Column, last: Column) -> Column:
     )
 
 
-def _last_fact_day(fact: DataFrame, day: str, days: DataFrame) -> DataFrame:
+def _last_fact_day(fact: DataFrame, day: str, days: DataFrame) -> Column:
     inside = days_with_facts(fact, day).join(days, "day", "left_semi")
-    return inside.agg(F.max("day").alias("last"))
+    return inside.agg(F.max("day").alias("last")).scalar()
 
 
-def rolling_distinct_month_end(
-    fact: DataFrame,
-    unfiltered: DataFrame,
-    thing: str,
-    day: str,
-    size: int,
-    days: DataFrame,
-    name: str = "n",
-    between: Dates | None = None,
-) -> DataFrame:
-    """Rolling distinct count for the days of the last month and earlier month ends.
+def month_end_days(unfiltered: DataFrame, day: str, days: DataFrame) -> DataFrame:
+    """The days of the last month and the earlier month ends of a selection.
 
     ``days`` are the selected calendar days, with or without facts. The last month
     is that of the latest selected day in ``unfiltered``, the fact without the
-    filters of its dimensions; facts before the selection still count.
+    filters of its dimensions.
     """
-    last = _last_fact_day(unfiltered, day, days).scalar()
-    shown = days.filter(reported(F.col("day"), last))
-    return rolling_distinct(fact, thing, day, size, shown, name, between=between)
+    return days.filter(reported(F.col("day"), _last_fact_day(unfiltered, day, days)))
 
 
-def rolling_distinct_bridge(
-    fact: DataFrame,
+def count_marked_by_window(
+    marks: DataFrame,
     unfiltered: DataFrame,
     thing: str,
     day: str,
@@ -128,26 +186,28 @@ def rolling_distinct_bridge(
     size: int = 28,
     shift: int = 0,
     name: str = "n",
-    between: Dates | None = None,
 ) -> DataFrame:
-    """The same measure by window date, through a stored calendar window bridge.
+    """The month-end measure by window date, through a stored calendar window bridge.
 
     Windows start no earlier than the first selected day.
     """
-    last = _last_fact_day(unfiltered, day, days).scalar()
+    last = _last_fact_day(unfiltered, day, days)
     first = days.agg(F.min("day").alias("first")).scalar()
     windows = bridge.filter(
         (F.col("WindowDaySize") == size)
         & (F.col("WindowDayShift") == shift)
         & (F.col("Window") >= first)
         & reported(F.col("Window"), last)
-    ).select(F.col("DIM_CalendarKey").alias("_day"), "Window").distinct()
-    pairs = _pairs(fact, thing, day, size, shift, between)
-    # a month has one window, the last one up to 31, each of ``size`` days: the windows
-    # are a few hundred rows per year whatever the fact
-    rows = pairs.join(F.broadcast(windows), "_day")
-    return rows.groupBy(F.col("Window").alias("window_day")).agg(
-        distinct_count("_thing").alias(name)
+    )
+    block, held = _as_marks(F.col("DIM_CalendarKey"))
+    pieces = windows.groupBy("Window", block).agg(held.alias("_held"))
+    # a month has one window, the last one up to 31, in two blocks or a few more: a few
+    # dozen rows per year whatever the fact
+    met = marks.join(F.broadcast(pieces), "_block").filter(
+        F.col("_days").bitwiseAND(F.col("_held")) != 0
+    )
+    return met.groupBy(F.col("Window").alias("window_day")).agg(
+        distinct_count(thing).alias(name)
     )
 
 
@@ -160,14 +220,17 @@ def rolling_distinct_trend(
     by: str = "day",
     bridge: DataFrame | None = None,
     size: int = 28,
+    shift: int = 0,
     name: str = "n",
-    between: Dates | None = None,
 ) -> DataFrame:
-    """One measure for both groupings: by calendar day or by bridge window."""
+    """One measure for both groupings: by calendar ``day`` or by bridge ``window``.
+
+    Counts the things of ``fact`` on the days of the last selected month and on the
+    month ends before it; see :func:`month_end_days` for the other arguments.
+    """
+    marks = mark_days(fact, [thing], day)
     if by == "window":
-        return rolling_distinct_bridge(
-            fact, unfiltered, thing, day, bridge, days, size, 0, name, between
+        return count_marked_by_window(
+            marks, unfiltered, thing, day, bridge, days, size, shift, name
         )
-    return rolling_distinct_month_end(
-        fact, unfiltered, thing, day, size, days, name, between
-    )
+    return count_marked(marks, thing, size, month_end_days(unfiltered, day, days), name, shift)

@@ -12,10 +12,12 @@ from lodestar.operators.joins import Dimension, Star, join_and_expand
 from lodestar.operators.measures import include_or_exclude
 from lodestar.operators.ordered import add_index, cumulative_to_incremental
 from lodestar.plans.rolling import (
+    count_marked,
+    count_marked_by_window,
     days_with_facts,
+    mark_days,
+    month_end_days,
     rolling_distinct,
-    rolling_distinct_bridge,
-    rolling_distinct_trend,
 )
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
 from lodestar.plans.time_intelligence import Measure, time_intelligence
@@ -27,13 +29,13 @@ FIRST, LAST = dt.date(1995, 6, 1), dt.date(2001, 6, 30)
 _SELECTED = f"day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"
 
 
-def _building(t: Tables) -> DataFrame:
-    """Customers of one segment with their order days.
+def _building(t: Tables, shift: int = 0) -> DataFrame:
+    """Customers of one segment with their order days for windows of 28 days.
 
-    Pairs are made distinct before the join: a busy customer is one row per day.
+    The filter follows the marking: a busy customer is one row per eight weeks.
     """
-    pairs = t.daily_orders.select("o_custkey", "day").distinct()
-    star = Star(pairs, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    marks = mark_days(t.daily_orders, ["o_custkey"], "day", (FIRST, LAST), 28, shift)
+    star = Star(marks, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
     return star.filtered({"customer": F.col("c_mktsegment") == "BUILDING"})
 
 
@@ -59,9 +61,7 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 def rolling_distinct_28d(t: Tables) -> DataFrame:
     """Customers of a segment with an order in the last 28 days, for days with orders."""
     days = days_with_facts(t.daily_orders, "day").filter(_SELECTED)
-    counts = rolling_distinct(
-        _building(t), "o_custkey", "day", 28, days, between=(FIRST, LAST)
-    )
+    counts = count_marked(_building(t), "o_custkey", 28, days)
     return counts.withColumn("day", iso("day"))
 
 
@@ -93,10 +93,8 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 """)
 def rolling_distinct_month_end(t: Tables) -> DataFrame:
     """Days of the last selected month and earlier month ends, also without orders."""
-    counts = rolling_distinct_trend(
-        _building(t), t.daily_orders, "o_custkey", "day", _calendar(t).filter(_SELECTED),
-        between=(FIRST, LAST),
-    )
+    days = month_end_days(t.daily_orders, "day", _calendar(t).filter(_SELECTED))
+    counts = count_marked(_building(t), "o_custkey", 28, days)
     return counts.withColumn("day", iso("day"))
 
 
@@ -107,10 +105,14 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 """, name="rolling_distinct_bridge")
 def rolling_distinct_by_window(t: Tables) -> DataFrame:
     """The same measure by window date through the bridge."""
+    return _by_window(t)
+
+
+def _by_window(t: Tables, shift: int = 0) -> DataFrame:
     calendar = _calendar(t)
-    counts = rolling_distinct_trend(
-        _building(t), t.daily_orders, "o_custkey", "day", calendar.filter(_SELECTED),
-        by="window", bridge=calendar_window_bridge(calendar, "day"), between=(FIRST, LAST),
+    counts = count_marked_by_window(
+        _building(t, shift), t.daily_orders, "o_custkey", "day",
+        calendar_window_bridge(calendar, "day"), calendar.filter(_SELECTED), 28, shift,
     )
     return counts.withColumn("window_day", iso("window_day"))
 
@@ -122,13 +124,7 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 - 365 AND d.day - 365 GROUP BY d.day
 """)
 def rolling_distinct_bridge_py(t: Tables) -> DataFrame:
     """The windows of a year earlier."""
-    calendar = _calendar(t)
-    counts = rolling_distinct_bridge(
-        _building(t), t.daily_orders, "o_custkey", "day",
-        calendar_window_bridge(calendar, "day"), calendar.filter(_SELECTED),
-        size=28, shift=-365, between=(FIRST, LAST),
-    )
-    return counts.withColumn("window_day", iso("window_day"))
+    return _by_window(t, shift=-365)
 
 
 @query("""

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from lodestar.plans.rolling import (
     days_with_facts,
     rolling_distinct,
-    rolling_distinct_bridge,
-    rolling_distinct_month_end,
     rolling_distinct_trend,
 )
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
@@ -18,6 +16,7 @@ from lodestar.plans.time_intelligence import Measure, generated_names, time_inte
 from lodestar.sources.calendars import calendar_window_bridge, days_between
 
 START = dt.date(2024, 1, 1)
+EARLY = dt.date(1969, 12, 1)  # day numbers change sign a month later
 
 
 def day(n):
@@ -30,11 +29,27 @@ FACTS = st.lists(st.tuples(st.integers(0, 4) | st.none(), st.integers(0, 70)), m
 @settings(max_examples=4, deadline=None)
 @given(FACTS, st.sampled_from([1, 7, 28]), st.sampled_from([0, -7, 3]))
 def test_linear_plan_counts_every_window(spark, facts, size, shift):
+    check_windows(spark, facts, size, shift, START)
+
+
+def test_linear_plan_before_the_epoch(spark):
+    facts = [(t, t * 7 + n * n % 71) for t in range(5) for n in range(12)] + [(None, 30)]
+    check_windows(spark, facts, 28, 0, EARLY)
+    check_windows(spark, facts, 7, -365, EARLY)
+    check_windows(spark, facts, 90, 0, EARLY)
+
+
+def check_windows(spark, facts, size, shift, start):
+    def day(n):
+        return start + dt.timedelta(days=n)
+
     df = spark.createDataFrame([(t, day(n)) for t, n in facts], "thing int, d date")
-    days = days_between(spark, day(-5), day(110))
-    got = {r["day"]: r["n"] for r in rolling_distinct(df, "thing", "d", size, days, shift=shift).collect()}
+    days = days_between(spark, day(-5), day(470))
+    between = (day(-5), day(470))
+    counts = rolling_distinct(df, "thing", "d", size, days, shift=shift, between=between)
+    got = {r["day"]: r["n"] for r in counts.collect()}
     expected = {}
-    for n in range(-5, 111):
+    for n in range(-5, 471):
         last = n + shift
         seen = {t for t, x in facts if last - size < x <= last}
         if seen:
@@ -47,7 +62,7 @@ def test_days_of_the_last_month_and_month_ends(spark):
     df = spark.createDataFrame([(t, day(n)) for t, n in facts], "thing int, d date")
     extra = spark.createDataFrame([(9, day(65))], "thing int, d date")
     days = days_between(spark, day(10), day(90))
-    got = rolling_distinct_month_end(df, df.unionByName(extra), "thing", "d", 28, days)
+    got = rolling_distinct_trend(df, df.unionByName(extra), "thing", "d", days)
     shown = {r["day"].isoformat(): r["n"] for r in got.collect()}
     # the latest fact of the unfiltered table is on 6 March; January ends with things 2
     # and, from before the selection, none: thing 1 of 1 January is 30 days back
@@ -71,7 +86,9 @@ def test_bridge_shift_counts_earlier_days(spark):
     df = spark.createDataFrame([(1, day(0)), (2, day(3)), (2, day(368))], "thing int, d date")
     bridge = calendar_window_bridge(days_between(spark, day(0), day(400)), "day")
     days = days_between(spark, day(360), day(380))
-    got = rolling_distinct_bridge(df, df, "thing", "d", bridge, days, size=7, shift=-365)
+    got = rolling_distinct_trend(
+        df, df, "thing", "d", days, by="window", bridge=bridge, size=7, shift=-365
+    )
     shown = {r["window_day"]: r["n"] for r in got.collect()}
     assert shown[day(365)] == 1 and shown[day(368)] == 2 and day(364) not in shown
 
