@@ -102,11 +102,8 @@ def reduce_bridge(
     bridge: DataFrame, bridge_key: str, keys: DataFrame, key: str
 ) -> DataFrame:
     """Bridge rows whose key the filtered table holds."""
-    return bridge.join(
-        keys.select(F.col(key).alias("_key")).distinct(),
-        F.col(f"`{bridge_key}`").eqNullSafe(F.col("_key")),
-        "left_semi",
-    )
+    held = keys.select(F.col(key).alias("_key")).distinct()
+    return bridge.join(held, F.col(f"`{bridge_key}`") == F.col("_key"), "left_semi")
 
 
 def through_bridge(
@@ -115,10 +112,10 @@ def through_bridge(
     """Fact rows with the bridge group they belong to, over a many-to-many bridge.
 
     The bridge is reduced to distinct pairs first, so each fact row comes once per
-    group.
+    group. A null key relates to nothing.
     """
     pairs = bridge.select(F.col(bridge_key).alias("_key"), group).distinct()
-    return fact.join(pairs, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).drop("_key")
+    return fact.join(pairs, F.col(f"`{key}`") == F.col("_key")).drop("_key")
 
 
 def values_in_use(dim: DataFrame, key: str, fact: DataFrame, fact_key: str) -> DataFrame:
@@ -127,7 +124,15 @@ def values_in_use(dim: DataFrame, key: str, fact: DataFrame, fact_key: str) -> D
     The keys in use are made distinct first, so a frequent key is one row.
     """
     used = fact.select(F.col(fact_key).alias("_key")).distinct()
-    return dim.join(used, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return dim.join(used, F.col(key) == F.col("_key"), "left_semi")
+
+
+def without_members(
+    fact: DataFrame, fact_key: str, dim: DataFrame, key: str, excluded: Column
+) -> DataFrame:
+    """Fact rows except those of the excluded members; rows without a member stay."""
+    gone = dim.filter(excluded).select(F.col(key).alias("_key"))
+    return fact.join(gone, F.col(fact_key) == F.col("_key"), "left_anti")
 
 
 def not_in_model(
@@ -180,7 +185,7 @@ class Star:
         """Fact rows with looked-up columns of a dimension (many to one)."""
         dim = self.dimensions[table]
         return join_and_expand(
-            rows, dim.rows, [dim.fact_key], columns, target_on=[dim.key]
+            rows, dim.rows, [dim.fact_key], columns, target_on=[dim.key], match_nulls=False
         )
 
 

@@ -91,7 +91,7 @@ def bridge_semi_join(t: Tables) -> DataFrame:
     """Orders of a segment by the priorities its customers have finished orders in."""
     bridge = t.orders.filter("o_orderstatus = 'F'").select(
         F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority")
-    )
+    ).distinct()
     builders = t.customer.filter("c_mktsegment = 'BUILDING'")
     bridge = reduce_bridge(bridge, "customer", builders, "c_custkey")
     # orders are summed per customer first: one row per customer crosses the bridge
@@ -126,10 +126,19 @@ def home_store_display(t: Tables) -> DataFrame:
 
 
 def _store_orders(t: Tables) -> DataFrame:
-    """Orders with the nation of the customer as the store."""
+    """Orders summed per customer, with the nation of the customer as the store."""
     places = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     places = places.select("c_custkey", F.col("n_name").alias("store"))
-    return t.orders.join(places, F.col("o_custkey") == F.col("c_custkey"))
+    sums = t.orders.groupBy("o_custkey").agg(
+        F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("orders")
+    )
+    return sums.join(places, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def _store_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("store").agg(
+        cents(F.sum("total")).alias("total"), F.sum("orders").alias("orders")
+    )
 
 
 def _users(t: Tables) -> DataFrame:
@@ -146,10 +155,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN sales ON k = n_natio
 """)
 def rls_home_store(t: Tables) -> DataFrame:
     """What every user sees under the home store label."""
-    totals = _store_orders(t).groupBy("store").agg(
-        cents(F.sum("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("orders")
-    )
-    return home_store_sales(totals, "store", _users(t))
+    return home_store_sales(_store_totals(_store_orders(t)), "store", _users(t))
 
 
 @query("""
@@ -160,9 +166,7 @@ GROUP BY 1
 def rls_all_stores(t: Tables) -> DataFrame:
     """Without a label the signed-in user sees the sales of all stores."""
     seen = visible_sales(_store_orders(t), "store", _users(t), "Supplier#000000001")
-    return seen.groupBy("store").agg(
-        cents(F.sum("o_totalprice")).alias("total"), F.count(F.lit(1)).alias("orders")
-    )
+    return _store_totals(seen)
 
 
 @query("""
@@ -240,7 +244,11 @@ FROM s GROUP BY priority
 """)
 def filter_context(t: Tables) -> DataFrame:
     """A measure under all filters next to the same measure with one table cleared."""
-    star = Star(t.orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    # one row per customer, status and priority meets the filters of the customer table
+    sums = t.orders.groupBy("o_custkey", "o_orderstatus", "o_orderpriority").agg(
+        F.sum("o_totalprice").alias("o_totalprice")
+    )
+    star = Star(sums, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
     filters = {
         "fact": F.col("o_orderstatus") == "P",
         "customer": F.col("c_mktsegment") == "BUILDING",

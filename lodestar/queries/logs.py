@@ -148,7 +148,7 @@ def perf_log_compare(t: Tables) -> DataFrame:
     )
     path = staging_path(t.spark)
     for version in ("v1", "v2"):
-        append_log(runs.filter(F.col("version") == version).repartition("run_date"), path)
+        append_log(runs.filter(F.col("version") == version), path)
     log = t.spark.read.schema(runs.schema).parquet(path)
     rows = compare_runs(log, ["query", "state"], "version", "v1", "duration", "cpu", "success")
     rounded = {

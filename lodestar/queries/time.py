@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.dates import fiscal_year
-from lodestar.operators.joins import Dimension, Star, join_and_expand
-from lodestar.operators.measures import include_or_exclude
+from lodestar.operators.joins import Dimension, Star, join_and_expand, without_members
 from lodestar.operators.ordered import add_index, cumulative_to_incremental
 from lodestar.plans.rolling import (
     count_marked,
@@ -160,10 +159,11 @@ def running_total_of_lines(t: Tables) -> DataFrame:
     """Adjusted running total of one snapshot without one location."""
     year = fiscal_year("l_shipdate")
     places = join_and_expand(t.supplier, t.nation, ["s_nationkey"], ["n_name"], target_on=["n_nationkey"])
-    lines = join_and_expand(
-        t.lineitem.filter("l_linestatus = 'F'"), places, ["l_suppkey"], ["n_name"],
-        target_on=["s_suppkey"],
-    ).filter(include_or_exclude("No", "n_name", "NATION_7"))
+    # only the keys of the excluded location meet the lines
+    lines = without_members(
+        t.lineitem.filter("l_linestatus = 'F'"), "l_suppkey", places, "s_suppkey",
+        F.col("n_name") == "NATION_7",
+    )
     out = running_total_adjusted(
         lines.select(year.alias("fiscal_year"), "l_partkey", "l_extendedprice"),
         "fiscal_year", F.col("l_extendedprice"), "l_partkey", t.part, "p_partkey",

@@ -15,14 +15,14 @@ WINDOW_DAY_SIZES = (28, 7)
 WINDOW_DAY_SHIFTS = (0, -7, -28, -365)
 
 
-def days_between(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
-    """One row per day, both ends included, in column ``day``."""
-    day = F.explode(F.sequence(F.lit(first), F.lit(last)))
+def days_between(spark: SparkSession, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """One row per day, both ends included, in column ``day``; none without ends."""
+    day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return spark.range(1).select(day.alias("day"))
 
 
-def date_bounds(df: DataFrame, day: str) -> tuple[dt.date, dt.date]:
-    """First and last date of a column, read once."""
+def date_bounds(df: DataFrame, day: str) -> tuple[dt.date | None, dt.date | None]:
+    """First and last date of a column, read once; None for an empty one."""
     return tuple(df.agg(F.min(day), F.max(day)).first())
 
 

@@ -102,5 +102,9 @@ def overwrite(df: DataFrame, path: str) -> DataFrame:
 
 
 def append_log(df: DataFrame, path: str, run_date: str = "run_date") -> None:
-    """Append log rows to a table that is partitioned by the date of the run."""
-    df.write.mode("append").partitionBy(run_date).parquet(path)
+    """Append log rows to a table that is partitioned by the date of the run.
+
+    Rows are rebalanced by date: few files for a small day, many tasks for a large one.
+    """
+    rows = df.hint("rebalance", run_date)
+    rows.write.mode("append").partitionBy(run_date).parquet(path)

@@ -18,6 +18,7 @@ from lodestar.operators.joins import (
     reduce_bridge,
     through_bridge,
     values_in_use,
+    without_members,
 )
 
 
@@ -83,10 +84,15 @@ def test_bridge(spark):
 
 
 def test_values_and_columns_in_use(spark, source, target):
-    assert [r["v"] for r in values_in_use(source, "k", target, "k").orderBy("v").collect()] == ["x", "z"]
+    assert [r["v"] for r in values_in_use(source, "k", target, "k").orderBy("v").collect()] == ["x"]
     assert rows(not_in_model(source, target, ["k"])) == [(2, "y"), (5, "w")]
 
 
+def test_excluded_members_leave_rows_without_one(source, target):
+    kept = without_members(source, "k", target, "k", F.col("place") == 1)
+    assert rows(kept) == [(2, "y"), (5, "w"), (None, "z")]
+
+
 def test_star_filters_and_clearing(spark):
     fact = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (1, 2, 7)], "c int, p int, amount int")
     customers = spark.createDataFrame([(1, "A"), (2, None)], "id int, seg string")

@@ -5,7 +5,13 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.sources.calendars import calendar_window_bridge, date_dimension, days_between
+from lodestar.sources.calendars import (
+    calendar_window_bridge,
+    date_bounds,
+    date_dimension,
+    days_between,
+    days_spanned,
+)
 from lodestar.sources.staging import stage, staging_root
 from lodestar.sources.tables import (
     append_log,
@@ -56,15 +62,31 @@ def test_json_lists(spark, tmp_path):
     assert rows(expand_json_list(text, "doc", record)) == [(1, *r) for r in expected]
 
 
-def test_warehouse_table(spark):
-    spark.sql("CREATE DATABASE IF NOT EXISTS lodestar_test")
-    spark.range(3).createOrReplaceTempView("three")
+def test_warehouse_table(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE lodestar_test LOCATION '{tmp_path}'")
     try:
-        assert spark.table("three").count() == 3
+        spark.range(3).write.saveAsTable("lodestar_test.three_rows")
+        assert warehouse_table(spark, "lodestar_test", "three_rows").count() == 3
         with pytest.raises(Exception, match="cannot be found|NOT_FOUND"):
             warehouse_table(spark, "lodestar_test", "absent").count()
     finally:
-        spark.sql("DROP DATABASE lodestar_test")
+        spark.sql("DROP DATABASE lodestar_test CASCADE")
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        conf = {"spark.master": "yarn"}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging_root(Cluster)
+    Cluster.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert staging_root(Cluster) == "hdfs:///shared"
+
+
+def test_empty_tables_have_no_calendar(spark):
+    empty = spark.createDataFrame([], "d date")
+    assert days_between(spark, *date_bounds(empty, "d")).count() == 0
+    assert days_spanned(empty, "d").count() == 0
 
 
 def test_try_types_needs_the_columns(spark):
