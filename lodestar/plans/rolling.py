@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.dates import end_of_month
-from lodestar.functions.measures import distinct_count
 
 BLOCK = 56  # days per row: seven bytes, so the sign bit of a long stays free
 
@@ -203,12 +202,12 @@ def count_marked_by_window(
     pieces = windows.groupBy("Window", block).agg(held.alias("_held"))
     # a month has one window, the last one up to 31, in two blocks or a few more: a few
     # dozen rows per year whatever the fact
-    met = marks.join(F.broadcast(pieces), "_block").filter(
+    # the marks move once, by thing, so that pairs of window and thing need not move
+    met = marks.repartition(F.col(thing)).join(F.broadcast(pieces), "_block").filter(
         F.col("_days").bitwiseAND(F.col("_held")) != 0
     )
-    return met.groupBy(F.col("Window").alias("window_day")).agg(
-        distinct_count(thing).alias(name)
-    )
+    pairs = met.select(F.col("Window").alias("window_day"), thing).distinct()
+    return pairs.groupBy("window_day").agg(F.count(F.lit(1)).alias(name))
 
 
 def rolling_distinct_trend(
@@ -222,13 +221,14 @@ def rolling_distinct_trend(
     size: int = 28,
     shift: int = 0,
     name: str = "n",
+    between: Dates | None = None,
 ) -> DataFrame:
     """One measure for both groupings: by calendar ``day`` or by bridge ``window``.
 
     Counts the things of ``fact`` on the days of the last selected month and on the
     month ends before it; see :func:`month_end_days` for the other arguments.
     """
-    marks = mark_days(fact, [thing], day)
+    marks = mark_days(fact, [thing], day, between, size, shift)
     if by == "window":
         return count_marked_by_window(
             marks, unfiltered, thing, day, bridge, days, size, shift, name
