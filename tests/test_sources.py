@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from conftest import rows
@@ -83,6 +84,14 @@ def test_staging_needs_a_shared_folder_on_a_cluster():
     assert staging_root(Cluster) == "hdfs:///shared"
 
 
+def test_staging_falls_back_on_one_machine():
+    class Local:
+        conf = {"spark.master": "local[4]"}
+
+    assert os.path.isdir(staging_root(Local))
+    assert staging_root(Local) == staging_root(Local)
+
+
 def test_empty_tables_have_no_calendar(spark):
     empty = spark.createDataFrame([], "d date")
     assert days_between(spark, *date_bounds(empty, "d")).count() == 0
