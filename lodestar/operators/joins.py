@@ -46,12 +46,16 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 def repeated_keys(
-    source: DataFrame, target: DataFrame, on: Sequence[str], target_on: Sequence[str]
+    source: DataFrame,
+    target: DataFrame,
+    on: Sequence[str],
+    target_on: Sequence[str],
+    match_nulls: bool = True,
 ) -> DataFrame:
     """Target keys that occur more than once and that the source uses."""
     names = [f"_key{i}" for i in range(len(on))]
     twice = repeated(target, target_on).drop("n").toDF(*names)
-    return source.select(*on).join(twice, matches(on, names), "left_semi")
+    return source.select(*on).join(twice, matches(on, names, match_nulls), "left_semi")
 
 
 def join_and_expand(
@@ -86,7 +90,7 @@ def join_and_expand(
         # the source is read for it only when the target has repeated keys at all
         if (
             not repeated(target, target_on).isEmpty()
-            and not repeated_keys(source, target, on, target_on).isEmpty()
+            and not repeated_keys(source, target, on, target_on, match_nulls).isEmpty()
         ):
             raise RowIntegrityError("Left join has generated additional rows")
     names = [f"_key{i}" for i in range(len(on))]

@@ -59,6 +59,16 @@ def test_first_target_row_per_key(source, target):
     assert rows(got) == [(1, "x", "uno"), (2, "y", None), (5, "w", None), (None, "z", "null")]
 
 
+def test_nulls_need_not_match(spark, source):
+    twice = spark.createDataFrame([(None, "a"), (None, "b"), (2, "c")], "k int, name string")
+    got = join_and_expand(
+        source, twice, ["k"], ["name"], integrity=RowIntegrity.CHECKED, match_nulls=False
+    )
+    assert rows(got) == [(1, "x", None), (2, "y", "c"), (5, "w", None), (None, "z", None)]
+    with pytest.raises(RowIntegrityError):
+        join_and_expand(source, twice, ["k"], ["name"], integrity=RowIntegrity.CHECKED)
+
+
 def test_renamed_keys_and_columns(source, target):
     other = target.withColumnRenamed("k", "key")
     got = join_and_expand(source, other, ["k"], ["name"], target_on=["key"], expand_as=["label"])
