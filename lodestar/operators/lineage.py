@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,43 +49,58 @@ def read_report_parts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
-def _measure_of(field: object) -> tuple[str | None, str] | None:
-    """(entity, measure) of a field object that names a measure."""
-    measure = field.get("Measure") if isinstance(field, dict) else None
-    if not isinstance(measure, dict) or not isinstance(measure.get("Property"), str):
-        return None
-    at = measure.get("Expression")
-    for step in ("SourceRef", "Entity"):
-        at = at.get(step) if isinstance(at, dict) else None
-    return at, measure["Property"]
-
-
-def _references(
-    node: object, in_filters: bool, hidden: frozenset, skip_unapplied: bool
-) -> Iterator[tuple[str | None, str]]:
-    if isinstance(node, list):
-        for item in node:
-            yield from _references(item, in_filters, hidden, skip_unapplied)
-        return
-    if not isinstance(node, dict):
-        return
-    filtered = _measure_of(node.get("field"))
-    if skip_unapplied and in_filters and filtered and "filter" not in node:
-        hidden = hidden | {filtered}
-    own = _measure_of(node)
-    if own and own not in hidden:
-        yield own
-    text = node.get("Expression")
-    if isinstance(text, str):
-        quiet = {name for _, name in hidden}
-        for part in text.split("[")[1:]:
-            name = part.partition("]")[0]
-            if "]" in part and name and name not in quiet:
-                yield None, name
-    for key, value in node.items():
-        yield from _references(
-            value, in_filters or "filterConfig" in key, hidden, skip_unapplied
-        )
+def _part_walker(skip_unapplied: bool) -> Callable[[pd.Series], pd.Series]:
+    """The function that walks a batch of report parts.
+
+    Its helpers are local, so they travel to the executors with it and the package need
+    not be installed there.
+    """
+
+    def measure_of(field: object) -> tuple[str, str] | None:
+        """(entity, measure) of a field object that names a measure."""
+        measure = field.get("Measure") if isinstance(field, dict) else None
+        if not isinstance(measure, dict) or not isinstance(measure.get("Property"), str):
+            return None
+        at = measure.get("Expression")
+        for step in ("SourceRef", "Entity"):
+            at = at.get(step) if isinstance(at, dict) else None
+        return (at, measure["Property"]) if isinstance(at, str) else None
+
+    def references(
+        node: object, in_filters: bool, hidden: frozenset
+    ) -> Iterator[tuple[str | None, str]]:
+        if isinstance(node, list):
+            for item in node:
+                yield from references(item, in_filters, hidden)
+            return
+        if not isinstance(node, dict):
+            return
+        filtered = measure_of(node.get("field"))
+        if skip_unapplied and in_filters and filtered and "filter" not in node:
+            hidden = hidden | {filtered}
+        own = measure_of(node)
+        if own and own not in hidden:
+            yield own
+        text = node.get("Expression")
+        if isinstance(text, str):
+            quiet = {name for _, name in hidden}
+            for part in text.split("[")[1:]:
+                name = part.partition("]")[0]
+                if "]" in part and name and name not in quiet:
+                    yield None, name
+        for key, value in node.items():
+            yield from references(value, in_filters or "filterConfig" in key, hidden)
+
+    def walk(texts: pd.Series) -> pd.Series:
+        def found(t: str | None) -> list[dict]:
+            if t is None:
+                return []
+            refs = references(json.loads(t), False, frozenset())
+            return [{"entity": e, "name": n} for e, n in dict.fromkeys(refs)]
+
+        return texts.map(found)
+
+    return walk
 
 
 def report_measure_refs(
@@ -99,17 +114,7 @@ def report_measure_refs(
     any depth, so each batch of parts is walked in Python.
     """
     kind = "array<struct<entity:string,name:string>>"
-
-    def walk(texts: pd.Series) -> pd.Series:
-        def found(t):
-            if t is None:
-                return []
-            tree = _references(json.loads(t), False, frozenset(), ignore_unapplied_filters)
-            return [{"entity": e, "name": n} for e, n in dict.fromkeys(tree)]
-
-        return texts.map(found)
-
-    refs = F.pandas_udf(walk, kind)
+    refs = F.pandas_udf(_part_walker(ignore_unapplied_filters), kind)
     kept = [F.col(f"`{c}`") for c in parts.columns if c != text]
     return parts.select(*kept, F.inline(refs(text)))
 

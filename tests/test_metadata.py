@@ -1,10 +1,15 @@
 import datetime as dt
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from conftest import rows
+from pyspark import cloudpickle
 
 from lodestar.operators.lineage import (
+    _part_walker,
     dependency_closure,
     read_report_parts,
     report_measure_refs,
@@ -121,6 +126,22 @@ def test_report_references(spark, tmp_path):
     assert {(r["entity"], r["name"]) for r in refs.collect()} == every | {("T", "Idle"), (None, "Idle")}
 
 
+def test_a_reference_without_its_table_is_none(spark):
+    text = json.dumps([{"Measure": {"Property": "P"}}, {"Measure": {"Property": "P", "Expression": {"SourceRef": {"Entity": {}}}}}])
+    assert report_measure_refs(spark.createDataFrame([(text,)], "json string")).count() == 0
+
+
+def test_the_walker_runs_without_the_package(tmp_path):
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(_part_walker(False)))
+    code = (
+        "import pickle, pandas as pd; f = pickle.load(open('f', 'rb'));"
+        "print(f(pd.Series(['{\"Expression\": \"[A]\"}']))[0])"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "[{'entity': None, 'name': 'A'}]"
+
+
 def test_unused_measures(spark):
     chain = [("r", "T", f"M{i}", f"[M{i + 1}]") for i in range(4)]
     measures = spark.createDataFrame(
