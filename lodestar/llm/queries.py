@@ -7,6 +7,7 @@ brute force, exact round trips or held-out labels.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.packing import pack
 from lodestar.llm.quality_rules import score_quality
+from lodestar.llm.shipping import ship_package
+from lodestar.llm.substrings import remove_repeats
 from lodestar.llm.wavelet import read_token_shards, write_token_shards
 from lodestar.sources.tables import read_table
 
@@ -26,8 +29,14 @@ END_ID = 2
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Register a query under its own name."""
-    QUERIES[fn.__name__] = fn
-    return fn
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
@@ -47,3 +56,9 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, repetition by suffix array and verdict of every document."""
     return score_quality(read_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+
+
+@query
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once runs of 50 words of earlier documents are gone."""
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
