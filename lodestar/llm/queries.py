@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.packing import pack
 from lodestar.llm.quality_rules import score_quality
 from lodestar.llm.shipping import ship_package
@@ -62,3 +63,9 @@ def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document once runs of 50 words of earlier documents are gone."""
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document, by the least doc_id in it."""
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents")).drop("t")
