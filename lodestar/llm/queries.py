@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.line_dedup import dedup_lines
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.packing import pack
 from lodestar.llm.quality_rules import score_quality
@@ -69,3 +70,11 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document, by the least doc_id in it."""
     return near_duplicate_classes(read_table(spark, sf_dir, "documents")).drop("t")
+
+
+@query
+def op8_line_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many repeat an earlier one, and the digest of the rest."""
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    )
