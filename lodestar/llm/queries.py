@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.line_dedup import dedup_lines
 from lodestar.llm.near_duplicates import near_duplicate_classes
+from lodestar.llm.neighbours import nearest_by_lists
 from lodestar.llm.packing import pack
 from lodestar.llm.quality_rules import score_quality
 from lodestar.llm.shipping import ship_package
@@ -78,3 +79,9 @@ def op8_line_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth vector id."""
+    return nearest_by_lists(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
