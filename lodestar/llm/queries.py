@@ -20,6 +20,7 @@ from lodestar.llm.packing import pack
 from lodestar.llm.quality_rules import score_quality
 from lodestar.llm.shipping import ship_package
 from lodestar.llm.substrings import remove_repeats
+from lodestar.llm.toxicity import fit_toxicity, score_toxicity
 from lodestar.llm.wavelet import read_token_shards, write_token_shards
 from lodestar.sources.tables import read_table
 
@@ -85,3 +86,14 @@ def op8_line_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found of every twentieth vector id."""
     return nearest_by_lists(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op2_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = fit_toxicity(docs, labels.filter(~held_out))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
