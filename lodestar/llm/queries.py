@@ -17,6 +17,7 @@ from lodestar.llm.line_dedup import dedup_lines
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.neighbours import nearest_by_lists
 from lodestar.llm.packing import pack
+from lodestar.llm.pii_crf import find_personal_data, fit_pii_field
 from lodestar.llm.quality_rules import score_quality
 from lodestar.llm.shipping import ship_package
 from lodestar.llm.substrings import remove_repeats
@@ -97,3 +98,11 @@ def op2_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of base spans, and all spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, fit_pii_field(docs))
+    return found.select("doc_id", "pii.*").drop("masked")
