@@ -1,9 +1,10 @@
 """Removal of lines that repeat an earlier line, or nearly, with DataFrame functions only.
 
-A line is compared as its words joined by one space. Lines shorter than ``min_chars`` are
-left alone. A line goes when an earlier line, by ``doc_id`` and then by its place, has the
-same words, or when both have ``min_words`` words and inserting, deleting or replacing one
-word makes them equal. All lines are judged on the input, so the earliest always stays.
+A line is compared by its words. Lines of fewer than ``min_chars`` characters or without a
+word are left alone. A line goes when an earlier line, by ``doc_id`` and then by its place,
+has the same words, or when both have ``min_words`` words and inserting, deleting or
+replacing one word makes them equal. All lines are judged on the input, so the earliest
+always stays.
 
 Near lines are found by their deletion neighbourhood: a line's variants are what is left
 when one word is taken out. Two lines differ by one replaced word when variants taken out
@@ -11,16 +12,18 @@ at the same place are equal, and by one inserted word when a variant of the long
 the shorter. Variants are emitted as hashes, equal ones meet in an aggregate that keeps the
 earliest line, and the match is verified on the words themselves. As any line that
 neighbours the key is a match, no pairs within a key are needed. Two lines one edit apart
-also share their first or their last half, so only lines whose half another line has emit
+also share two of three thirds, so only lines that share those with another line emit
 variants. Sums of 44-bit word hashes, with the place in them, stand for the words.
 
-A null or empty text has one empty line or none and stays as it is. Rows with equal
-``doc_id`` and text are one place: neither is earlier. Words are parted by space and by
-characters 9 to 13, lines by character 10.
+The whole texts are shuffled once, to the lines of each document that go or may go. A null
+or empty text stays as it is. Rows with equal ``doc_id`` and text are one place: neither is
+earlier. Words are parted by space and by characters 9 to 13, lines by character 10.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,70 +32,74 @@ from lodestar.sources.staging import stage
 MIN_CHARS = 20
 MIN_WORDS = 8
 
-_BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+_BLANKS = "\t\x0b\f\r"
+_PLACE = ("doc_id", "t", "line_no")
 
 
 def _words(line: Column) -> Column:
     """The words of a line; none for a blank line."""
-    return F.filter(F.split(line, _BLANKS), lambda w: w != "")
+    return F.filter(F.split(F.translate(line, _BLANKS, "    "), " "), lambda w: w != "")
 
 
 def _hash(*parts: Column | int) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def _same(*pairs: tuple[str, str]) -> Column:
+    """Equality of columns where null equals null."""
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per line that counts: its place, two hashes of its words and of its halves."""
-    line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    rows = docs.select("doc_id", "t", line).filter(F.char_length("line") >= min_chars)
-    rows = rows.select("doc_id", "t", "line_no", _words(F.col("line")).alias("w"))
-    rows = rows.withColumn("s", F.array_join("w", " ")).filter(F.char_length("s") >= min_chars)
-    n = F.size("w")
+def _thirds(n: Column) -> Column:
+    """Hashes of two of three parts of a line, for its own length and the length below."""
+
+    def parts(third: Column) -> Column:
+        first, last = F.slice("w", F.lit(1), third), F.slice("w", n - third + 1, third)
+        return F.array(
+            _hash(third, 1, F.slice("w", F.lit(1), 2 * third)),
+            _hash(third, 2, F.slice("w", n - 2 * third + 1, 2 * third)),
+            _hash(third, 3, first, last),
+        )
+
+    sizes = F.array_distinct(F.array(F.floor(n / 3).cast("int"), F.floor((n - 1) / 3).cast("int")))
+    return F.flatten(F.transform(sizes, parts))
 
-    def half(length: Column, first: bool) -> Column:
-        cut = F.floor(length / 2).cast("int")
-        part = F.slice("w", F.lit(1), cut) if first else F.slice("w", n - (length - cut) + 1, length - cut)
-        return _hash(length, int(first), F.array_join(part, " "))
 
-    halves = F.array(half(n, True), half(n, False), half(n - 1, True), half(n - 1, False))
+def _lines(source: DataFrame, min_chars: int, min_words: int) -> DataFrame:
+    """One row per line that counts: its place, two hashes of its words and of its thirds."""
+    line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    rows = source.select("doc_id", "t", line).filter(F.char_length("line") >= min_chars)
+    rows = rows.select(*_PLACE, _words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    n = F.size("w")
     return rows.select(
-        "doc_id", "t", "line_no", _hash(F.col("s")).alias("h1"), _hash(7, F.col("s")).alias("h2"),
-        n.alias("n"), F.when(n > 1, halves).alias("halves"),
-    )
-
-
-def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """The different lines (h1, h2) that an earlier line is one word away from."""
-    enough = lines.filter(F.col("n") >= min_words)
-    keyed = enough.select("h1", "h2", "place", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
-    found = keyed.join(shared, "half").select("h1", "h2", "place").distinct()
-    wanted = found.groupBy(F.col("place.doc_id").alias("d"), F.col("place.t").alias("dt")).agg(
-        F.collect_list(F.struct(F.col("place.line_no").alias("line_no"), "h1", "h2")).alias("wanted")
-    )
-    one = docs.select("doc_id", "t", "text").join(
-        wanted, _same(F.col("doc_id"), F.col("d")) & (F.col("t") == F.col("dt"))
-    ).dropDuplicates(["doc_id", "t"])
-    texts = stage(
-        one.select("doc_id", "t", F.split("text", "\n").alias("lines"), F.inline("wanted"))
-        .select(
-            F.struct("doc_id", "t", "line_no").alias("place"), "h1", "h2",
-            _words(F.get("lines", F.col("line_no"))).alias("w"),
-        )
+        *_PLACE, _hash(F.col("w")).alias("h1"), _hash(7, F.col("w")).alias("h2"),
+        F.when(n >= min_words, _thirds(n)).alias("thirds"),
     )
 
-    each = texts.select("h1", "h2", "place", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+
+def _may_be_near(different: DataFrame) -> DataFrame:
+    """The places of lines that share two thirds with another line."""
+    keyed = different.select("place", F.explode("thirds").alias("third"))
+    shared = stage(keyed.groupBy("third").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("third"))
+    return keyed.join(shared, "third").select("place.*").distinct()
+
+
+def _near(texts: DataFrame) -> DataFrame:
+    """The lines that are one word away from an earlier one.
+
+    ``texts`` has ``line``, a number in the order of places, and the words ``w``.
+    """
+    each = texts.select("line", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     bits = 20
     each = each.select(
-        "h1", "h2", "place", "n", "i",
+        "line", "n", "i",
         F.shiftrightunsigned(_hash(F.col("word"), F.col("i")), bits).alias("here"),
         F.shiftrightunsigned(_hash(F.col("word"), F.col("i") - 1), bits).alias("moved"),
     )
-    line = Window.partitionBy("h1", "h2")
+    line = Window.partitionBy("line")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     summed = each.select(
         "*", F.sum("here").over(line).alias("all_here"), F.sum("moved").over(line).alias("all_moved"),
@@ -103,28 +110,28 @@ def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     deleted = _hash(F.lit("d"), F.col("n") - 1, shorter)
     whole = _hash(F.lit("d"), F.col("n"), F.col("all_here"))
     forms = F.array(
-        F.struct(F.lit("r").alias("role"), replaced.alias("key")),
-        F.struct(F.lit("d").alias("role"), deleted.alias("key")),
-        F.struct(F.when(F.col("i") == 0, F.lit("w")).alias("role"), whole.alias("key")),
+        F.struct(F.lit(0).alias("role"), replaced.alias("key")),
+        F.struct(F.lit(1).alias("role"), deleted.alias("key")),
+        F.struct(F.when(F.col("i") == 0, F.lit(2)).alias("role"), whole.alias("key")),
     )
     variants = stage(
-        summed.select("h1", "h2", "place", "i", F.inline(forms)).filter("role is not null")
+        summed.select("line", F.inline(forms)).filter("role is not null")
+        .select("line", F.col("role").cast("byte").alias("role"), "key")
     )
 
-    def earliest(role: str) -> Column:
-        return F.min(F.when(F.col("role") == role, F.col("place")))
+    def earliest(role: int) -> Column:
+        return F.min(F.when(F.col("role") == role, F.col("line")))
 
-    keys = variants.groupBy("key").agg(
-        F.count(F.lit(1)).alias("many"), earliest("r").alias("r"), earliest("d").alias("d"), earliest("w").alias("w")
-    ).filter("many > 1")
-    other = F.when(F.col("role") == "r", F.col("r")).when(F.col("role") == "d", F.col("w")).otherwise(F.col("d"))
-    matches = (
-        variants.join(keys, "key").select("h1", "h2", "place", other.alias("other"))
-        .filter("other < place").distinct()
+    keys = stage(
+        variants.groupBy("key").agg(
+            F.count(F.lit(1)).alias("many"), earliest(0).alias("r"), earliest(1).alias("d"), earliest(2).alias("w")
+        ).filter("many > 1")
     )
-    earlier = texts.select(F.col("place").alias("other"), F.col("w").alias("v"))
-    checked = matches.join(texts.select("h1", "h2", "w"), ["h1", "h2"]).join(earlier, "other")
-    return checked.filter(_one_word_apart(F.col("w"), F.col("v"))).select("h1", "h2").distinct()
+    other = F.when(F.col("role") == 0, F.col("r")).when(F.col("role") == 1, F.col("w")).otherwise(F.col("d"))
+    matches = variants.join(keys, "key").select("line", other.alias("other")).filter("other < line").distinct()
+    earlier = texts.select(F.col("line").alias("other"), F.col("w").alias("v"))
+    checked = matches.join(texts.select("line", "w"), "line").join(earlier, "other")
+    return checked.filter(_one_word_apart(F.col("w"), F.col("v"))).select("line").distinct()
 
 
 def _one_word_apart(a: Column, b: Column) -> Column:
@@ -143,44 +150,90 @@ def _one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(size_a - size_b) <= 1) & (rest_a == rest_b)
 
 
-def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
-) -> DataFrame:
-    """Add ``n_lines``, ``n_removed`` and ``kept_text`` to every row; all columns are kept.
+def _stay(gone: Column) -> Column:
+    """The lines of ``_text`` but those at the places listed."""
+    return F.array_join(F.filter(F.split("_text", "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
 
-    ``kept_text`` has the lines that stay, unchanged; it is null for a null text.
-    """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
+
+def _deduped(
+    docs: DataFrame, text: str, own: list[str], output: Callable[[Column], Column], min_chars: int, min_words: int
+) -> DataFrame:
+    """The columns ``own``, ``n_lines``, ``n_removed`` and what ``output`` makes of the kept text."""
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
-        F.xxhash64(F.col(f"`{text}`")).alias("t"),
+        F.hash(F.col(f"`{text}`")).alias("t"),
     )
-    lines = stage(_lines(source, min_chars))
-    place = F.struct("doc_id", "t", "line_no").alias("place")
+    lines = stage(_lines(source, min_chars, min_words))
     different = stage(
         lines.groupBy("h1", "h2").agg(
-            F.min(F.struct("doc_id", "t", "line_no")).alias("place"), F.first("n").alias("n"),
-            F.first("halves").alias("halves"),
+            F.min(F.struct(*_PLACE)).alias("place"), F.count(F.lit(1)).alias("many"), F.first("thirds").alias("thirds")
         )
     )
-    near = _near(different, source, min_words).withColumn("near", F.lit(True))
-    judged = different.select("h1", "h2", F.col("place").alias("first")).join(near, ["h1", "h2"], "left")
-    gone = (
-        lines.select("h1", "h2", place).join(judged, ["h1", "h2"])
-        .filter(F.col("near") | (F.col("place") != F.col("first"))).select("place.*").distinct()
-        .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
-        .agg(F.collect_list("line_no").alias("_gone"))
+    repeated = stage(different.filter("many > 1").select("h1", "h2", F.col("place").alias("first")))
+    again = (
+        lines.select("h1", "h2", F.struct(*_PLACE).alias("place")).join(repeated, ["h1", "h2"])
+        .filter("place <> first").select("place.*", F.lit(True).alias("goes"))
+    )
+    may = _may_be_near(different.select("place", "thirds")).withColumn("goes", F.lit(False))
+    known = again.unionByName(may).distinct().groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_u")).agg(
+        F.collect_list(F.when(F.col("goes"), F.col("line_no"))).alias("_gone"),
+        F.collect_list(F.when(~F.col("goes"), F.col("line_no"))).alias("_open"),
     )
-    own = [F.col(f"`{c}`") for c in kept]
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_h"),
-        F.struct(*own).alias("_row"), F.split(F.col(f"`{text}`"), "\n").alias("_lines"),
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{text}`").alias("_text"),
+        F.col("doc_id").cast("long").alias("_id"), F.hash(F.col(f"`{text}`")).alias("_t"),
+    )
+    none = F.array().cast("array<int>")
+    joined = rows.join(known, _same(("_id", "_d"), ("_t", "_u")), "left").withColumns(
+        {"_gone": F.coalesce("_gone", none), "_open": F.coalesce("_open", none)}
+    )
+    waits = F.size("_open") > 0
+    n_lines = F.coalesce(F.array_size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines")
+    passed = stage(
+        joined.select(
+            "_row", "_id", "_t", n_lines, "_gone", "_open", F.when(waits, F.col("_text")).alias("_text"),
+            F.when(~waits, output(_stay(F.col("_gone")))).alias("_out"),
+        )
+    )
+    waiting = passed.filter("size(_open) > 0")
+    opened = waiting.select(
+        F.col("_id").alias("doc_id"), F.col("_t").alias("t"), F.explode("_open").alias("line_no"), "_text"
+    )
+    words = opened.select(*_PLACE, _words(F.get(F.split("_text", "\n"), F.col("line_no"))).alias("w"))
+    ordered = words.dropDuplicates(list(_PLACE)).repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+    texts = stage(ordered.withColumn("line", F.monotonically_increasing_id()))
+    near = (
+        _near(texts.select("line", "w")).join(texts.drop("w"), "line")
+        .groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_u")).agg(F.collect_list("line_no").alias("_near"))
     )
-    joined = rows.join(gone, _same(F.col("_id"), F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    stay = F.filter("_lines", lambda _, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    return joined.select(
-        *[F.col("_row").getField(c).alias(c) for c in kept],
-        F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_join(stay, "\n").alias("kept_text"),
+    gone = F.array_union("_gone", F.coalesce("_near", none))
+    settled = waiting.join(near, _same(("_id", "_d"), ("_t", "_u")), "left").withColumn("_gone", gone)
+    done = passed.filter("size(_open) = 0").select("_row", "n_lines", "_gone", "_out").unionByName(
+        settled.select("_row", "n_lines", "_gone", output(_stay(F.col("_gone"))).alias("_out"))
+    )
+    return done.select(
+        *[F.col("_row").getField(c).alias(c) for c in own], "n_lines",
+        F.array_size("_gone").cast("long").alias("n_removed"), "_out",
+    )
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
+) -> DataFrame:
+    """Add ``n_lines``, ``n_removed`` and ``kept_text`` to every row; all columns are kept.
+
+    ``kept_text`` has the lines that stay, unchanged; it is null for a null text.
+    """
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
+    out = _deduped(docs, text, own, lambda kept: kept, min_chars, min_words)
+    return out.withColumnRenamed("_out", "kept_text")
+
+
+def line_digests(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
+) -> DataFrame:
+    """Per document ``n_lines``, ``n_removed`` and the SHA-256 of the lines that stay."""
+    out = _deduped(
+        docs, text, ["doc_id"], lambda kept: F.sha2(F.coalesce(kept, F.lit("")), 256), min_chars, min_words
     )
+    return out.withColumnRenamed("_out", "kept_sha256")

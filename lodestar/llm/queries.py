@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.line_dedup import dedup_lines
+from lodestar.llm.line_dedup import line_digests
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.neighbours import nearest_by_lists
 from lodestar.llm.packing import pack
@@ -78,9 +78,7 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many repeat an earlier one, and the digest of the rest."""
-    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
-    )
+    return line_digests(read_table(spark, sf_dir, "documents"))
 
 
 @query
