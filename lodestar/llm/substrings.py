@@ -119,14 +119,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             )
 
     every = stage(rows.filter("doc_id is not null").mapInArrow(find, SEGMENTS))
+    # sums are staged before they are joined back, so that both sides of each join are plain
+    # shuffles and Spark can split the rows of a very common anchor
     common = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    shared = stage(every.join(common.select("anchor"), "anchor").dropDuplicates(["doc_id", "t", "at"]))
-    least = shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"))
+    shared = stage(every.join(stage(common.select("anchor")), "anchor").dropDuplicates(["doc_id", "t", "at"]))
+    least = stage(shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least")))
     forms = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms"))
+    sums = stage(least.join(forms, "anchor"))
     settled = F.col("doc_id") > F.col("least")
     place = F.struct("at", "n")
     known = (
-        shared.join(least, ["anchor", "segment"]).join(forms, "anchor")
+        shared.join(sums, ["anchor", "segment"])
         .filter(settled | (F.col("forms") > 1))
         .groupBy("doc_id", "t")
         .agg(
@@ -191,7 +194,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     done = passed.filter("windows is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "text")
     waiting = passed.filter("windows is not null")
     counted = waiting.select("doc_id", "t", F.inline("windows")).distinct()
-    earliest = counted.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"))
+    earliest = stage(counted.groupBy("anchor", "window").agg(F.min("doc_id").alias("least")))
     repeated = (
         counted.join(earliest, ["anchor", "window"]).filter("doc_id > least")
         .groupBy("doc_id", "t").agg(F.collect_list("place").alias("places"))
