@@ -19,6 +19,7 @@ from lodestar.llm.neighbours import nearest_by_lists
 from lodestar.llm.packing import pack
 from lodestar.llm.pii_crf import find_personal_data, fit_pii_field
 from lodestar.llm.quality_rules import score_quality
+from lodestar.llm.sentence_pieces import encode_and_decode
 from lodestar.llm.shipping import ship_package
 from lodestar.llm.substrings import remove_repeats
 from lodestar.llm.toxicity import fit_toxicity, score_toxicity
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -104,3 +106,9 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs, fit_pii_field(docs))
     return found.select("doc_id", "pii.*").drop("masked")
+
+
+@query
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by a SentencePiece model, and the text decoded from them."""
+    return encode_and_decode(read_table(spark, sf_dir, "documents"), PIECES)

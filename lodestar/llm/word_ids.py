@@ -17,6 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
+from lodestar.llm.remembered import RememberedIds, parts
 from lodestar.llm.text import (
     BYTE_HASH,
     IS_SPACE,
@@ -49,8 +50,7 @@ _WIDTH = np.array([len(_CHARACTER[b].encode()) for b in range(256)])
 _FIRST = np.array([_CHARACTER[b].encode()[0] for b in range(256)], np.uint8)
 _SECOND = np.array([_CHARACTER[b].encode()[-1] for b in range(256)], np.uint8)
 
-# Different pieces a process remembers before it starts afresh, and pieces in a call.
-REMEMBERED = 1_000_000
+# Pieces encoded in a call.
 _CALL = 500
 
 
@@ -71,55 +71,27 @@ class WordEncoder:
         self._pieces = Tokenizer.from_str(json.dumps(
             spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         ))
-        self._forget()
+        self._known = RememberedIds()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
         words = column_words(column)
-        if len(self._keys) > REMEMBERED:
-            self._forget()
+        self._known.make_room()
         if not len(words.doc):
             return np.zeros(0, np.uint32), np.zeros(words.n_docs, np.int64)
         data, start, end, odd = _pieces(words)
         keys = range_hashes(BYTE_HASH[data], start, end) ^ odd.astype(np.uint64)
         keys, example, which = np.unique(keys, return_index=True, return_inverse=True)
-        at = self._rows(keys)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            example = example[missing]
-            self._learn(keys[missing], data, start[example], end[example], odd[example])
-            at = self._rows(keys)
-        at = at[which]
-        sizes = self._size[at]
-        bounds = np.searchsorted(start, words.offsets)
-        return self._ids[ragged(self._first[at], sizes)], per_document(sizes, bounds)
-
-    def _forget(self) -> None:
-        self._keys = np.zeros(0, np.uint64)
-        self._first = self._size = np.zeros(0, np.int64)
-        self._ids = np.zeros(0, np.uint32)
-
-    def _rows(self, keys: np.ndarray) -> np.ndarray:
-        """Where the pieces are remembered, -1 for others."""
-        if not len(self._keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where(self._keys[at] == keys, at, -1)
-
-    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> None:
-        """Encode new pieces; keys are in rising order."""
-        size = np.zeros(len(keys), np.int64)
-        first = np.zeros(len(keys), np.int64)
-        for chosen, encode in ((~odd, self._encode_pieces), (odd, self._encode_words)):
-            new = np.flatnonzero(chosen)
-            if len(new):
-                ids, size[new] = encode(data, start[new], end[new])
-                first[new] = len(self._ids) + running(size[new])[:-1]
-                self._ids = np.concatenate([self._ids, ids])
-        to = np.searchsorted(self._keys, keys)
-        self._keys = np.insert(self._keys, to, keys)
-        self._first = np.insert(self._first, to, first)
-        self._size = np.insert(self._size, to, size)
+        new = self._known.missing(keys)
+        if len(new):
+            at, strange = example[new], odd[example[new]]
+            found = []
+            for rows, encode in ((np.flatnonzero(~strange), self._encode_pieces), (np.flatnonzero(strange), self._encode_words)):
+                if len(rows):
+                    found.append((rows, *encode(data, start[at[rows]], end[at[rows]])))
+            self._known.learn(keys[new], *parts(found, len(new)))
+        ids, sizes = self._known.lay_out(keys, which)
+        return ids, per_document(sizes, np.searchsorted(start, words.offsets))
 
     def _encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple:
         """Ids of lower-case pieces; the last id of a piece is known by its word end."""
