@@ -10,12 +10,16 @@ order of time and each belongs to a random register, which keeps the first: two
 agree in a register with the probability of their weighted Jaccard similarity. A process
 stops once it is later than all registers.
 
-Documents with the same words are one class from the start. Registers are joined to bands;
-in every bucket of a band each text is verified against the least one, by exact overlap of
-the bags, and linked texts are joined to components. Only then are texts of different
-components in one bucket compared with each other, unless their similarities to the least
-one differ by more than a link allows, which the triangle inequality rules out. So a large
-group of near copies costs a row per text and band, and no link that a band finds is lost.
+Documents with the same words are one class from the start. Registers are joined to bands.
+In every bucket of a band each text is verified, by exact overlap of the bags, against a
+pivot, the text that shares most buckets with others, and linked texts are joined to
+components. So a large group of near copies costs a row per text. Texts that miss a pivot may
+still have links to others that share it: with X+ and X- the weight that X has beyond the
+pivot P and lacks of it, and c the weight that X and Y both have beyond it, their distance
+|X| + |Y| - 2 overlap is at least X+ + Y+ - 2c + |X- - Y-|, and a link needs it to be at most
+a ninth of |X| + |Y|. A bit mask of what each text has beyond the pivot bounds c from above,
+so only pairs whose masks agree enough are verified, and no link among texts that share a
+pivot is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ BANDS = 32
 ROWS = 5
 # Similarity of a link, as a ratio of whole numbers.
 LINK = (4, 5)
+# Words of 64 bits in the mask of what a text has beyond its pivot.
+MASK = 16
 
 _SALT = seeds(8, 2)
 _UNIT = 2.0**-53
@@ -152,8 +158,9 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "t", "text").mapInArrow(run, SKETCH)
 
 
-def similarities(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted overlap and union of the bags of pairs of texts."""
+def compared(left: pa.Array, right: pa.Array) -> dict[str, np.ndarray]:
+    """Weights of the bags of pairs of texts, their overlap, and a mask of what only the
+    right text has or has more of."""
     a, b = text_bytes(left), text_bytes(right)
     n = len(left)
     words = words_of(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1][1:] + a[1][-1]]))
@@ -162,27 +169,77 @@ def similarities(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarra
     total = np.bincount(owner, weight, 2 * n).astype(np.int64)
     pair = owner % n
     order = np.lexsort((owner, hashes, pair))
-    hashes, pair, weight = hashes[order], pair[order], weight[order]
+    hashes, owner, pair, weight = hashes[order], owner[order], pair[order], weight[order]
     same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1]))
     overlap = np.bincount(pair[same], np.minimum(weight[same], weight[same + 1]), n).astype(np.int64)
-    return overlap, total[:n] + total[n:] - overlap
+    beyond = np.where(owner >= n, weight, 0)
+    beyond[same + 1] -= weight[same]
+    more = np.flatnonzero(beyond > 0)
+    bits = np.zeros((n, 64 * MASK), np.uint8)
+    bits[pair[more], (mix(hashes[more] ^ _SALT[3]) % np.uint64(64 * MASK)).astype(np.int64)] = 1
+    masks = np.packbits(bits, axis=1).view(np.int64)
+    return {
+        "size_a": total[:n], "size_b": total[n:], "overlap": overlap,
+        "link": overlap * (LINK[0] + LINK[1]) >= (total[:n] + total[n:]) * LINK[0],
+        "bits": bits.sum(1, dtype=np.int64),
+        "mask": pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * MASK, masks.reshape(-1)),
+    }
+
+
+VERIFIED = "a long, b long, size_a long, size_b long, overlap long, link boolean, bits long, mask array<long>"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The similarity of each pair of nodes a, b, and whether it is a link."""
+    """The pairs of nodes a, b with the comparison of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "ta", 1 << 19):
-            overlap, union = similarities(part.column(2), part.column(3))
+            found = compared(part.column(2), part.column(3))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(overlap / union), pa.array(overlap * LINK[1] >= union * LINK[0])],
-                names=["a", "b", "similarity", "link"],
+                [part.column(0), part.column(1), *[v if isinstance(v, pa.Array) else pa.array(v) for v in found.values()]], names=["a", "b", *found]
             )
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
-    return stage(joined.mapInArrow(run, "a long, b long, similarity double, link boolean"))
+    return stage(joined.mapInArrow(run, VERIFIED))
+
+
+def _may_link(first: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Pairs of texts in different components that share a pivot and may be linked."""
+    placed = (
+        first.join(grouped.select(F.col("node").alias("b"), "root"), "b", "left")
+        .select(
+            F.col("a").alias("pivot"), F.col("b").alias("node"), F.coalesce("root", "b").alias("root"), "link",
+            F.col("size_b").alias("size"), (F.col("size_b") - F.col("overlap")).alias("plus"),
+            (F.col("size_a") - F.col("overlap")).alias("minus"), "bits", "mask",
+        )
+    )
+    placed = stage(placed)
+    missed = placed.filter(~F.col("link"))
+    open_ = stage(missed.select("pivot").distinct())
+    x = missed.select("pivot", *[F.col(c).alias(f"{c}_x") for c in placed.columns if c not in ("pivot", "link")])
+    y = placed.join(open_, "pivot").select(
+        "pivot", *[F.col(c).alias(f"{c}_y") for c in placed.columns if c not in ("pivot", "link")]
+    )
+    both = F.col("size_x") + F.col("size_y")
+    far = F.col("plus_x") + F.col("plus_y") + F.abs(F.col("minus_x") - F.col("minus_y"))
+    # twice the weight that both must have beyond the pivot, times the scale of the ratio
+    scale = LINK[0] + LINK[1]
+    needed = F.ceil((far * scale - both * (LINK[1] - LINK[0])) / (2.0 * scale))
+    each = F.zip_with("mask_x", "mask_y", lambda a, b: F.bit_count(a.bitwiseAND(b)))
+    common = F.aggregate(each, F.lit(0), lambda a, b: a + b)
+    least = needed + F.greatest(F.col("bits_x") - F.col("plus_x"), F.col("bits_y") - F.col("plus_y"))
+    return (
+        x.join(y, "pivot")
+        .filter(
+            (F.col("node_x") != F.col("node_y")) & (F.col("root_x") != F.col("root_y"))
+            & (F.col("size_x") * LINK[1] >= F.col("size_y") * LINK[0])
+            & (F.col("size_y") * LINK[1] >= F.col("size_x") * LINK[0])
+            & ((needed <= 0) | (common >= F.greatest(F.lit(1), least)))
+        )
+        .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    )
 
 
 def near_duplicate_classes(
@@ -207,45 +264,28 @@ def near_duplicate_classes(
         .select("k1", "k2", "r.*")
         .withColumn("node", F.monotonically_increasing_id())
     )
-    banded = nodes.select("node", "size", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    members = stage(
-        banded.join(buckets.filter("last > pivot").drop("last"), "band").select("band", "node", "size", "pivot")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    # sums are staged before they are joined back, so that Spark can split a hot bucket
+    buckets = stage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    members = stage(banded.join(buckets, "band"))
+    shared = members.groupBy("node").agg(F.sum("many").alias("shared"))
+    pivots = stage(
+        members.join(shared, "node").groupBy("band")
+        .agg(F.max(F.struct("shared", (-F.col("node")).alias("node"))).alias("best"))
+        .select("band", (-F.col("best.node")).alias("pivot"))
     )
     candidates = members.select("node").distinct().join(nodes.select("node", "doc_id", "t"), "node")
     texts = stage(
         source.join(candidates, ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"])
     )
-    to_pivot = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    to_pivot = (
+        members.join(pivots, "band").filter("node <> pivot")
+        .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    )
     first = _verified(to_pivot, texts)
     linked = first.filter("link").select("a", "b")
     grouped = connected_components(linked)
-
-    # what is left: texts of one bucket in different components
-    placed = (
-        members.join(grouped, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-        .join(first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), ["pivot", "node"], "left")
-        .withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
-    )
-    placed = stage(placed.select("band", "node", "size", "root", "similarity", "pivot"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("band")
-    others = stage(placed.join(mixed, "band").filter("node <> pivot"))
-    x = others.select("band", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "root", "similarity")])
-    y = others.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "root", "similarity")])
-    most = 1 - LINK[0] / LINK[1] + 1e-9
-    pairs = (
-        x.join(y, "band")
-        .filter(
-            (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-            & (F.col("size_a") * LINK[1] >= F.col("size_b") * LINK[0])
-            & (F.col("size_b") * LINK[1] >= F.col("size_a") * LINK[0])
-            & (F.abs(F.col("similarity_a") - F.col("similarity_b")) <= most)
-        )
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    second = _verified(pairs, texts)
+    second = _verified(_may_link(first, grouped), texts)
     bridges = second.filter("link").select("a", "b")
     if not bridges.isEmpty():
         grouped = connected_components(linked.unionByName(bridges))
