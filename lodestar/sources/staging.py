@@ -19,9 +19,13 @@ _staged: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by the session, else one below its warehouse."""
+    """The shared folder named by the session; local sessions may use their warehouse."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
-    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+    if root:
+        return root.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
 
 
 def staging_path(spark: SparkSession) -> str:

@@ -48,6 +48,15 @@ def test_typed_csv(spark, tmp_path):
         read_typed_csv(spark, str(path), types, strict=True).collect()
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "other.csv"
+    path.write_text("b,a,extra\nx,1,z\n", encoding="utf-8")
+    got = read_typed_csv(spark, str(path), T.StructType.fromDDL("a int, b string"))
+    assert [r.asDict() for r in got.collect()] == [{"b": "x", "a": 1, "extra": "z"}]
+    with pytest.raises(ValueError, match="not found"):
+        read_typed_csv(spark, str(path), T.StructType.fromDDL("c int"))
+
+
 def test_hello_table(spark):
     df = inline_table(spark, ["id", "name", "score"], [(1, "a", 95), (2, "b", 88), (3, "c", 71)])
     assert [r["id"] for r in df.filter("score > 80").orderBy("id").collect()] == [1, 2]
@@ -84,11 +93,11 @@ def test_staging_needs_a_shared_folder_on_a_cluster():
     assert staging_root(Cluster) == "hdfs:///shared"
 
 
-def test_staging_falls_back_on_one_machine():
+def test_staging_falls_back_to_the_warehouse_of_a_local_session():
     class Local:
-        conf = {"spark.master": "local[4]"}
+        conf = {"spark.master": "local[4]", "spark.sql.warehouse.dir": "file:/w/"}
 
-    assert os.path.isdir(staging_root(Local))
+    assert staging_root(Local) == "file:/w/_staging"
     assert staging_root(Local) == staging_root(Local)
 
 
