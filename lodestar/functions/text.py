@@ -20,6 +20,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def split_camel_case(c: Column | str) -> Column:
     """Split camel-case text into words and capitalise the first character.
 

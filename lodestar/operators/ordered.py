@@ -1,8 +1,7 @@
 """Operators that depend on row order, safe for groups of any size.
 
-Ordinary groups use a window. A group too large for one task is range
-partitioned by its order columns instead, so it spreads over many tasks, and the
-few rows at the partition edges are joined back.
+Rows are range partitioned by group and order, so any group may spread over many
+tasks, and the few rows at the partition edges are handed over.
 """
 
 from __future__ import annotations
@@ -10,16 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import quoted
 from lodestar.sources.staging import stage
 
-# A group above this many rows is split over several tasks.
-HEAVY_ROWS = 5_000_000
-# At most this many heavy groups are told apart by a list of their keys.
-MOST_HEAVY = 10_000
-
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in these bits
 
 
@@ -71,38 +66,11 @@ def add_index(
     )
 
 
-def split_heavy(
-    df: DataFrame, by: Sequence[str], heavy_rows: int
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """The rows of ordinary groups and those of heavy groups, None where no such rows.
-
-    Groups are counted over their key columns alone. When more groups are heavy than
-    a list of keys may hold, all rows count as heavy.
-    """
-    largest = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > heavy_rows)
-        .drop("_n")
-        .limit(MOST_HEAVY + 1)
-        .collect()
-    )
-    if not largest:
-        return df, None
-    if len(largest) > MOST_HEAVY:
-        return None, df
-    names = [f"_heavy{i}" for i in range(len(by))]
-    schema = df.select(*by).schema
-    keys = F.broadcast(df.sparkSession.createDataFrame(largest, schema).toDF(*names))
-    same = matches(by, names)
-    return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
-
-
 def cumulative_to_incremental(
     df: DataFrame,
     group_by: Sequence[str],
     sort_by: str | Sequence[str],
     columns: Sequence[str],
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Turn running totals into the change from row to row within each group.
 
@@ -111,36 +79,17 @@ def cumulative_to_incremental(
     """
     order = [sort_by] if isinstance(sort_by, str) else list(sort_by)
     kept = [*group_by, *[c for c in df.columns if c not in group_by]]
-    names = {c: f"{c} Incremental" for c in columns}
-
-    def output(c: str, change: Column) -> Column:
-        kind = df.schema[c].dataType
-        return change.cast(kind).alias(names[c])
-
-    def changes(w: WindowSpec) -> list[Column]:
-        first = F.row_number().over(w) == 1
-        return [
-            output(
-                c,
-                F.when(first, F.col(f"`{c}`")).otherwise(
-                    F.col(f"`{c}`") - F.lag(f"`{c}`").over(w)
-                ),
-            )
-            for c in columns
-        ]
-
-    ordinary, heavy = split_heavy(df, group_by, heavy_rows)
-    plain = [F.col(f"`{c}`") for c in kept]
-    parts = []
-    if ordinary is not None:
-        whole = Window.partitionBy(*group_by).orderBy(*order)
-        parts.append(ordinary.select(*plain, *changes(whole)))
-    if heavy is not None:
-        piece = Window.partitionBy("_part", *group_by).orderBy("_pos")
-        rows = _with_row_before(number_partitions(heavy, [*group_by, *order]), group_by, columns)
-        split = rows.select(*plain, *changes(piece), "_pos")
-        parts.append(split.filter("_pos >= 0").drop("_pos"))
-    return reduce(DataFrame.unionByName, parts)
+    piece = Window.partitionBy("_part", *quoted(group_by)).orderBy("_pos")
+    first = F.row_number().over(piece) == 1
+    rows = _with_row_before(number_partitions(df, [*group_by, *order]), group_by, columns)
+
+    def change(c: str) -> Column:
+        own = F.col(f"`{c}`")
+        value = F.when(first, own).otherwise(own - F.lag(own).over(piece))
+        return value.cast(df.schema[c].dataType).alias(f"{c} Incremental")
+
+    changed = rows.select(*quoted(kept), *[change(c) for c in columns], "_pos")
+    return changed.filter("_pos >= 0").drop("_pos")
 
 
 def _with_row_before(
@@ -152,51 +101,47 @@ def _with_row_before(
     group is copied; it holds the group and the given columns.
     """
     values = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
-    ends = rows.groupBy("_part", *by).agg(F.max_by(values, "_pos").alias("_last"))
-    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("_part"))
+    ends = rows.groupBy("_part", *quoted(by)).agg(F.max_by(values, "_pos").alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*quoted(by)).orderBy("_part"))
     starts = ends.withColumn("_last", before).filter("_last is not null")
     copied = {c: F.col("_last").getField(f"v{i}") for i, c in enumerate(columns)}
     copied["_pos"] = F.lit(-1).cast("long")
     return rows.unionByName(
-        starts.select("_part", *by, *[v.alias(c) for c, v in copied.items()]),
+        starts.select("_part", *quoted(by), *[v.alias(c) for c, v in copied.items()]),
         allowMissingColumns=True,
     )
 
-    rows = number_partitions(heavy, [*group_by, *order])
-
 
 def group_rows(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     name: str = "Group",
-    heavy_rows: int = 100_000,
+    chunk_rows: int = 100_000,
 ) -> DataFrame:
-    """Nest the rows of each group as an array of structs in the given order.
+    """Nest the rows of each group as arrays of structs in the given order.
 
-    A group above ``heavy_rows`` comes as several rows numbered by ``chunk``, in
-    order, because one array must fit in one task; other groups have chunk 0.
+    Every group comes in chunks of ``chunk_rows`` rows numbered by ``chunk``, in order;
+    only its last chunk may be shorter. A row's chunk follows from its index within its
+    group, so the result is the same on any cluster.
     """
     rest = [c for c in df.columns if c not in by]
-    fields = F.struct(*[F.col(f"`{c}`") for c in rest])
-
-    def nest(rows: DataFrame, keys: Sequence[str], place: Column) -> DataFrame:
-        entries = F.collect_list(F.struct(place.alias("at"), fields.alias("row")))
-        nested = F.transform(F.sort_array(entries), lambda e: e["row"])
-        return rows.groupBy(*keys).agg(nested.alias(name))
-
-    ordinary, heavy = split_heavy(df, by, heavy_rows)
-    parts = []
-    if ordinary is not None:
-        at = F.struct(*[F.col(f"`{c}`") for c in order])
-        whole = nest(ordinary, by, at).withColumn("chunk", F.lit(0).cast("long"))
-        parts.append(whole.select(*by, "chunk", name))
-    if heavy is not None:
-        rows = number_partitions(heavy, [*by, *order]).withColumn(
-            "_piece", F.floor(F.col("_pos") / heavy_rows)
-        )
-        pieces = nest(rows, [*by, "_part", "_piece"], F.col("_pos"))
-        place = F.row_number().over(Window.partitionBy(*by).orderBy("_part", "_piece"))
-        numbered = pieces.withColumn("chunk", (place - 1).cast("long"))
-        parts.append(numbered.select(*by, "chunk", name))
-    return reduce(DataFrame.unionByName, parts)
+    rows = number_partitions(df, [*by, *order])
+    pieces = rows.groupBy("_part", *quoted(by)).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start")
+    )
+    before = Window.partitionBy(*quoted(by)).orderBy("_part")
+    names = [f"_by{i}" for i in range(len(by))]
+    placed = pieces.select(
+        F.col("_part").alias("_piece"), *[F.col(f"`{c}`").alias(n) for c, n in zip(by, names, strict=True)],
+        (F.sum("_n").over(before) - F.col("_n") - F.col("_start")).alias("_shift"),
+    )
+    joined = rows.join(placed, (F.col("_part") == F.col("_piece")) & matches(by, names))
+    index = F.col("_pos") + F.col("_shift")
+    entries = F.collect_list(F.struct(F.col("_pos").alias("at"), F.struct(*quoted(rest)).alias("row")))
+    chunk = F.floor(F.col("_pos") / chunk_rows).alias("chunk")
+    keyed = joined.withColumn("_pos", index)
+    nested = keyed.groupBy(*quoted(by), chunk).agg(entries.alias("_rows"))
+    return nested.select(
+        *quoted(by), "chunk", F.transform(F.sort_array("_rows"), lambda e: e["row"]).alias(name)
+    )

@@ -152,14 +152,16 @@ def distinct_count_blank(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, 0::BIGINT AS chunk, count(*) AS n,
+WITH o AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 4
+                  AS chunk FROM orders)
+SELECT o_custkey, chunk, count(*) AS n,
        string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) AS order_keys
-FROM orders GROUP BY o_custkey
+FROM o GROUP BY o_custkey, chunk
 """, name="group_rows")
 def group_rows_of_orders(t: Tables) -> DataFrame:
-    """The orders of each customer as one nested table, by date."""
+    """The orders of each customer as nested tables of four, by date."""
     rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
-    nested = group_rows(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    nested = group_rows(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], chunk_rows=4)
     keys = F.transform("Group", lambda r: r["o_orderkey"].cast("string"))
     return nested.select(
         "o_custkey", "chunk", F.size("Group").cast("long").alias("n"),

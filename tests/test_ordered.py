@@ -29,27 +29,40 @@ def test_cumulative_to_incremental(spark):
     }
 
 
-@settings(max_examples=4, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(
     st.lists(
         st.tuples(st.sampled_from(["hot", "hot", "a", "b", None]), st.integers(0, 9) | st.none()),
         min_size=1, max_size=60,
-    )
+    ),
+    st.sampled_from([1, 2, 8]),
+    st.booleans(),
 )
-def test_heavy_groups_give_the_same_changes(spark, data):
+def test_changes_on_any_cluster(spark, data, partitions, adaptive):
     df = spark.createDataFrame(
-        [(i, g, v) for i, (g, v) in enumerate(data)], "i int, g string, v int"
+        [(i, g, v) for i, (g, v) in enumerate(data)], "i int, `g.g` string, v int"
     )
-    whole = rows(cumulative_to_incremental(df, ["g"], "i", ["v"]))
-    assert rows(cumulative_to_incremental(df, ["g"], "i", ["v"], heavy_rows=2)) == whole
-    assert rows(cumulative_to_incremental(df, ["g"], "i", ["v"], heavy_rows=0)) == whole
-
-
-def test_more_heavy_groups_than_the_list_holds(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "MOST_HEAVY", 3)
-    df = spark.range(400).select((F.col("id") % 8).alias("g"), "id", (F.col("id") * 3).alias("v"))
-    whole = rows(cumulative_to_incremental(df, ["g"], "id", ["v"]))
-    assert rows(cumulative_to_incremental(df, ["g"], "id", ["v"], heavy_rows=5)) == whole
+    before = {}
+    expected = []
+    for i, (g, v) in enumerate(data):
+        last = before.get(g, 0) if g in before else 0
+        expected.append((g, i, v, None if v is None or last is None else v - last))
+        before[g] = v
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = rows(cumulative_to_incremental(df, ["g.g"], "i", ["v"]))
+        chunks = group_rows(df, ["g.g"], ["i"], chunk_rows=3).orderBy("`g.g`", "chunk").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=lambda r: r[1]) == expected
+    for g in {g for g, _ in data}:
+        mine = [r for r in chunks if r["g.g"] == g]
+        ids = [i for i, (h, _) in enumerate(data) if h == g]
+        assert [r["chunk"] for r in mine] == list(range(len(mine)))
+        assert [[x["i"] for x in r["Group"]] for r in mine] == [ids[k : k + 3] for k in range(0, len(ids), 3)]
 
 
 def test_heavy_group_spreads_over_partitions(spark):
@@ -57,7 +70,7 @@ def test_heavy_group_spreads_over_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         parts = ordered.number_partitions(hot, ["g", "id"]).groupBy("_part").count().collect()
-        got = cumulative_to_incremental(hot, ["g"], "id", ["v"], heavy_rows=100)
+        got = cumulative_to_incremental(hot, ["g"], "id", ["v"])
         assert got.agg(F.sum("v Incremental")).first()[0] == 1  # increments add up to the last reading
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -90,7 +103,7 @@ def test_group_rows(spark):
     )
     whole = {r["g"]: [x["id"] for x in r["Group"]] for r in group_rows(df, ["g"], ["o"]).collect()}
     assert whole["hot"] == list(range(39, -1, -1)) and len(whole) == 11
-    pieces = group_rows(df, ["g"], ["o"], heavy_rows=6).orderBy("g", "chunk").collect()
+    pieces = group_rows(df, ["g"], ["o"], chunk_rows=6).orderBy("g", "chunk").collect()
     joined = {}
     for r in pieces:
         assert len(r["Group"]) <= 6
