@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.text import _col
 
@@ -28,6 +31,11 @@ def age_bucket(moment: Column | str, now: Column) -> Column:
     )
 
 
+def local_moment(value: dt.datetime, kind: T.DataType | str = "timestamp_ntz") -> Column:
+    """A local date and time as a literal, whatever zone this process runs in."""
+    return F.lit(value.isoformat(sep=" ")).cast(kind)
+
+
 def shift_hours(moment: Column | str, hours: int) -> Column:
     """The moment moved by whole hours."""
     return _col(moment) + F.make_dt_interval(F.lit(0), F.lit(hours))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import bracket_references, first_capture
-from lodestar.sources.staging import stage
+from lodestar.sources.staging import stage, staging_path
 
 
 def source_tables(parts: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -40,13 +41,46 @@ def expression_references(df: DataFrame, expression: str, name: str = "reference
     return df.select(*kept, F.explode(bracket_references(expression)).alias(name))
 
 
+# The files of a report definition that hold references, and its measures.
+PART_FILES = r"/definition/(report\.json|pages/[^/]+/page\.json|pages/[^/]+/visuals/[^/]+/visual\.json|bookmarks/[^/]+\.bookmark\.json)$"
+MEASURE_FILES = r"/definition/reportExtensions\.json$"
+
+
+def _report_files(spark: SparkSession, folder: str, wanted: str) -> DataFrame:
+    """Files of report definitions: report, path and json, without a byte order mark.
+
+    The report is the folder that holds the definition. ``error`` tells of text that is
+    not JSON.
+    """
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True, recursiveFileLookup=True)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    text = F.regexp_replace("value", "^\ufeff", "")
+    return files.select(path.alias("path"), text.alias("json")).filter(F.col("path").rlike(wanted)).select(
+        F.regexp_extract("path", "([^/]+)/definition/", 1).alias("report"), "path", "json",
+        F.when(F.try_parse_json("json").isNull(), "not JSON").alias("error"),
+    )
+
+
 def read_report_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """The JSON files below a folder, one row per file with its path."""
-    files = (
-        spark.read.option("pathGlobFilter", "*.json")
-        .text(folder, wholetext=True, recursiveFileLookup=True)
+    """The parts of all reports below a folder: report, path, json and error."""
+    return _report_files(spark, folder, PART_FILES)
+
+
+def read_report_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures that reports below a folder define themselves.
+
+    A file that is not JSON comes as one row with its error and no measure.
+    """
+    measure = "name string, expression string, dataType string, formatString string, dataCategory string"
+    schema = f"entities array<struct<name: string, measures: array<struct<{measure}>>>>"
+    files = _report_files(spark, folder, MEASURE_FILES)
+    entities = files.select("report", "error", F.explode_outer(F.from_json("json", schema)["entities"]).alias("e"))
+    rows = entities.select("report", "error", F.col("e.name").alias("table"), F.explode_outer("e.measures").alias("m"))
+    return rows.filter("m.name is not null or error is not null").select(
+        "report", "table", F.col("m.name").alias("name"), F.col("m.expression").alias("expression"),
+        F.col("m.dataType").alias("data_type"), F.col("m.formatString").alias("format_string"),
+        F.col("m.dataCategory").alias("data_category"), "error",
     )
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
 
 
 def _part_walker(skip_unapplied: bool) -> Callable[[pd.Series], pd.Series]:
@@ -66,36 +100,42 @@ def _part_walker(skip_unapplied: bool) -> Callable[[pd.Series], pd.Series]:
             at = at.get(step) if isinstance(at, dict) else None
         return (at, measure["Property"]) if isinstance(at, str) else None
 
-    def references(
-        node: object, in_filters: bool, hidden: frozenset
-    ) -> Iterator[tuple[str | None, str]]:
-        if isinstance(node, list):
-            for item in node:
-                yield from references(item, in_filters, hidden)
-            return
-        if not isinstance(node, dict):
-            return
-        filtered = measure_of(node.get("field"))
-        if skip_unapplied and in_filters and filtered and "filter" not in node:
-            hidden = hidden | {filtered}
-        own = measure_of(node)
-        if own and own not in hidden:
-            yield own
-        text = node.get("Expression")
-        if isinstance(text, str):
-            quiet = {name for _, name in hidden}
-            for part in text.split("[")[1:]:
-                name = part.partition("]")[0]
-                if "]" in part and name and name not in quiet:
-                    yield None, name
-        for key, value in node.items():
-            yield from references(value, in_filters or "filterConfig" in key, hidden)
+    def references(root: object) -> Iterator[tuple[str | None, str]]:
+        # a stack of its own, so that trees may be of any depth
+        stack: list[tuple[object, bool, frozenset]] = [(root, False, frozenset())]
+        while stack:
+            node, in_filters, hidden = stack.pop()
+            if isinstance(node, list):
+                stack += [(item, in_filters, hidden) for item in reversed(node)]
+                continue
+            if not isinstance(node, dict):
+                continue
+            filtered = measure_of(node.get("field"))
+            if skip_unapplied and in_filters and filtered and "filter" not in node:
+                hidden = hidden | {filtered}
+            own = measure_of(node)
+            if own and own not in hidden:
+                yield own
+            text = node.get("Expression")
+            if isinstance(text, str):
+                quiet = {name for _, name in hidden}
+                for part in text.split("[")[1:]:
+                    name = part.partition("]")[0]
+                    if "]" in part and name and name not in quiet:
+                        yield None, name
+            stack += [
+                (value, in_filters or "filterConfig" in key, hidden)
+                for key, value in reversed(list(node.items()))
+            ]
 
     def walk(texts: pd.Series) -> pd.Series:
         def found(t: str | None) -> list[dict]:
             if t is None:
                 return []
-            refs = references(json.loads(t), False, frozenset())
+            try:
+                refs = references(json.loads(t.lstrip("\ufeff")))
+            except json.JSONDecodeError:
+                return []
             return [{"entity": e, "name": n} for e, n in dict.fromkeys(refs)]
 
         return texts.map(found)
@@ -111,7 +151,8 @@ def report_measure_refs(
     A part refers to a measure by a ``Measure`` object, or by ``[name]`` in an
     ``Expression`` text, where the entity is null. With ``ignore_unapplied_filters``
     a filter pane entry without a condition does not count. Parts are JSON trees of
-    any depth, so each batch of parts is walked in Python.
+    any depth, so each batch of parts is walked in Python. Text that is not JSON has no
+    references; ``read_report_parts`` tells which parts those are.
     """
     kind = "array<struct<entity:string,name:string>>"
     refs = F.pandas_udf(_part_walker(ignore_unapplied_filters), kind)
@@ -120,60 +161,60 @@ def report_measure_refs(
 
 
 def unused_measures(
-    measures: DataFrame, refs: DataFrame, max_rounds: int = 10
+    measures: DataFrame, refs: DataFrame, max_rounds: int | None = None
 ) -> tuple[DataFrame, int]:
     """Measures nothing refers to, found in rounds, and the number of rounds run.
 
     ``measures`` has report, table, name and expression; ``refs`` has report, entity
     and name. Each round drops the measures that neither a report part nor the
-    expression of a remaining measure refers to. Self-references and cycles keep a
-    measure. All reports are treated at once; the last, empty round is counted.
+    expression of a remaining measure refers to, until none is left to drop; the last,
+    empty round is counted. Self-references and cycles keep a measure. All reports are
+    treated at once. With ``max_rounds`` more rounds than that are an error.
+
+    The references to a name are counted once; a round only subtracts those of the
+    names that the round before dropped.
     """
     by_name = ["report", "name"]
     measures = stage(measures.select("report", "table", "name", "expression"))
+    shown = refs.select(
+        F.col("report").alias("_report"), F.col("name").alias("_name"), "entity"
+    ).distinct()
     hits = measures.select("report", "name", "table").join(
-        refs.select(
-            F.col("report").alias("_report"), F.col("name").alias("_name"), "entity"
-        ).distinct(),
+        shown,
         (F.col("report") == F.col("_report")) & (F.col("name") == F.col("_name"))
         & (F.col("entity").isNull() | (F.col("entity") == F.col("table"))),
         "left_semi",
-    )
-    shown = hits.select(*by_name).distinct().withColumn("_shown", F.lit(True))
-    alive = stage(
-        measures.select(*by_name, "table").join(shown, by_name, "left")
-        .withColumn("_shown", F.coalesce("_shown", F.lit(False)))
-    )
-    names = alive.select(*by_name).distinct()
-    edges = stage(
+    ).select(*by_name).distinct().withColumn("shown", F.lit(True))
+    names = measures.select(*by_name).distinct()
+    calls = stage(
         expression_references(
             measures.select("report", F.col("name").alias("from"), "expression"), "expression", "name"
         ).distinct().join(names, by_name, "left_semi")
     )
-    gone: list[DataFrame] = []
-    rounds = 0
-    while rounds < max_rounds:
+    # an unshown name and the number of names that refer to it
+    open_names = stage(
+        names.join(hits, by_name, "left_anti")
+        .join(calls.groupBy(*by_name).agg(F.count(F.lit(1)).alias("calls")), by_name, "left")
+        .withColumn("calls", F.coalesce("calls", F.lit(0)))
+    )
+    newest = stage(open_names.filter("calls = 0").select(*by_name))
+    lost = newest.withColumn("n", F.lit(0).cast("long")).limit(0)
+    gone, rounds = [newest.withColumn("round", F.lit(1))], 1
+    while not newest.isEmpty():
+        if rounds == max_rounds:
+            raise ValueError(f"more than {max_rounds} rounds are needed")
         rounds += 1
-        sources = alive.select("report", F.col("name").alias("from"))
-        called = edges.join(sources, ["report", "from"], "left_semi").select(*by_name)
-        state = stage(
-            alive.join(
-                called.distinct().withColumn("_called", F.lit(True)), by_name, "left"
-            ).select(
-                *by_name, "table", "_shown",
-                (F.col("_shown") | F.coalesce("_called", F.lit(False))).alias("_used"),
-            )
+        callers = newest.select("report", F.col("name").alias("from"))
+        less = calls.join(callers, ["report", "from"], "left_semi").groupBy(*by_name).agg(F.count(F.lit(1)).alias("n"))
+        sums = stage(
+            lost.unionByName(less).groupBy(*by_name).agg(F.sum("n").alias("n"))
+            .join(open_names, by_name)
         )
-        unused = state.filter(~F.col("_used"))
-        if unused.isEmpty():
-            break
-        gone.append(unused.select(*by_name, "table", F.lit(rounds).alias("round")))
-        alive = state.filter("_used").drop("_used")
-    empty = alive.select(*by_name, "table", F.lit(0).alias("round")).limit(0)
-    out = empty
-    for part in gone:
-        out = out.unionByName(part)
-    return out, rounds
+        newest = sums.filter("n = calls").select(*by_name)
+        lost = sums.filter("n < calls").select(*by_name, "n")
+        gone.append(newest.withColumn("round", F.lit(rounds)))
+    dropped = reduce(DataFrame.unionByName, gone)
+    return measures.join(dropped, by_name).select(*by_name, "table", "round"), rounds
 
 
 def dependency_closure(edges: DataFrame, seeds: DataFrame, key: str = "object") -> DataFrame:
@@ -182,16 +223,22 @@ def dependency_closure(edges: DataFrame, seeds: DataFrame, key: str = "object")
     ``edges`` has the columns ``object`` and ``depends_on``. Each round follows the
     edges of the objects found last; an object is kept once, so cycles end.
     """
-    found = stage(seeds.select(F.col(key).alias("object")).distinct().withColumn("depth", F.lit(0)))
-    seen, newest, depth = found, found, 0
+    spark = edges.sparkSession
+    edges = stage(edges.select("object", "depends_on"))
+    found = seeds.select(F.col(key).alias("object")).distinct().withColumn("depth", F.lit(0))
+    path, depth = staging_path(spark), 0
+    found.write.parquet(path)
     while True:
-        depth += 1
+        # one table holds all that is known; each round appends to it
+        seen = spark.read.schema(found.schema).parquet(path)
+        newest = seen.filter(F.col("depth") == depth)
         reached = (
             edges.join(newest.select("object"), "object", "left_semi")
             .select(F.col("depends_on").alias("object")).distinct()
             .join(seen.select("object"), "object", "left_anti")
         )
-        newest = stage(reached.withColumn("depth", F.lit(depth)))
-        if newest.isEmpty():
+        depth += 1
+        more = stage(reached.withColumn("depth", F.lit(depth)))
+        if more.isEmpty():
             return seen
-        seen = seen.unionByName(newest)
+        more.write.mode("append").parquet(path)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.dates import shift_hours
-from lodestar.functions.text import contains_any, xml_json_field
+from lodestar.functions.dates import local_moment, shift_hours
+from lodestar.functions.text import contains_any, quoted, xml_json_field
 from lodestar.operators.joins import join_and_expand
 from lodestar.operators.keys import SKEY_PREFIX, add_surrogate_key
 
@@ -45,8 +45,9 @@ def spike_query_log(
     JSON paths in the application context of the begin event. Dearest first.
     """
     shift = dt.timedelta(hours=hour_offset)
+    kind = ends.schema[moment].dataType
     spike = ends.filter(
-        F.col(moment).between(F.lit(start + shift), F.lit(end + shift))
+        F.col(moment).between(local_moment(start + shift, kind), local_moment(end + shift, kind))
     ).select(*on, moment, *keep, cpu)
     # only the begins of these queries are parsed
     asked = begins.join(spike.select(*on).distinct(), list(on), "left_semi")
@@ -65,7 +66,7 @@ def spike_query_log(
 
 def object_query_count(logs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Number of queries per model object, user, report or any of them together."""
-    return logs.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"))
+    return logs.groupBy(*quoted(by)).agg(F.count(F.lit(1)).alias("queries"))
 
 
 def error_status(
@@ -116,7 +117,7 @@ def compare_runs(
     ``by`` names the query and what else must be equal, such as cache state and
     model. ``ratio`` is the mean duration over the baseline's.
     """
-    runs = log.groupBy(*by, version).agg(
+    runs = log.groupBy(*quoted(by), version).agg(
         F.count(F.lit(1)).alias("runs"),
         F.avg(duration).alias("avg_duration"),
         F.min(duration).alias("min_duration"),
@@ -127,54 +128,70 @@ def compare_runs(
     )
     # one row per query, state and version is left
     base = F.max(F.when(F.col(version) == baseline, F.col("avg_duration"))).over(
-        Window.partitionBy(*by)
+        Window.partitionBy(*quoted(by))
     )
     return runs.withColumn("ratio", F.try_divide("avg_duration", base))
 
 
-@dataclass(frozen=True)
 class LogStar:
-    """The star schema of a query log."""
+    """The star schema of a query log; each part is built when it is first asked for."""
 
-    dim_model_object: DataFrame
-    dim_model: DataFrame
-    dim_report: DataFrame
-    dim_user: DataFrame
-    fact_object_query_count: DataFrame
-    fact_logs: DataFrame
-    fact_object_statistics: DataFrame
+    KEYS: Mapping[str, Sequence[str]] = {
+        "Model Object": ("model", "object"),
+        "Model": ("model",),
+        "Report": ("report",),
+        "User": ("user",),
+    }
+
+    def __init__(self, logs: DataFrame, statistics: DataFrame, objects: DataFrame | None = None) -> None:
+        self._logs = logs
+        self._statistics = statistics
+        self._objects = objects
+        self._dimensions: dict[str, DataFrame] = {}
+
+    def dimension(self, name: str) -> DataFrame:
+        """A dimension with its surrogate key.
+
+        Models and their objects come from the metadata and the statistics too, so an
+        object that nobody has queried yet is among them.
+        """
+        if name not in self._dimensions:
+            on = list(self.KEYS[name])
+            members = self._logs.select(*on)
+            if set(on) <= {"model", "object"}:
+                for more in (self._statistics, self._objects):
+                    if more is not None:
+                        members = members.unionByName(more.select(*on))
+            self._dimensions[name] = add_surrogate_key(members.distinct(), name, order=on)
+        return self._dimensions[name]
+
+    def _keyed(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+        for name in names:
+            key = list(self.KEYS[name])
+            rows = join_and_expand(rows, self.dimension(name), key, [SKEY_PREFIX + name])
+        return rows.drop(*{c for name in names for c in self.KEYS[name]})
+
+    @cached_property
+    def fact_object_query_count(self) -> DataFrame:
+        counts = object_query_count(self._logs, ["model", "object", "report", "user"])
+        return self._keyed(counts, list(self.KEYS))
+
+    @cached_property
+    def fact_logs(self) -> DataFrame:
+        return self._keyed(self._logs, list(self.KEYS))
+
+    @cached_property
+    def fact_object_statistics(self) -> DataFrame:
+        return self._keyed(self._statistics, ["Model Object", "Model"])
 
 
-def build_log_star(logs: DataFrame, statistics: DataFrame) -> LogStar:
+def build_log_star(
+    logs: DataFrame, statistics: DataFrame, objects: DataFrame | None = None
+) -> LogStar:
     """Dimensions with surrogate keys and facts that refer to them.
 
     ``logs`` has the columns model, object, report, user, moment and any measures;
-    ``statistics`` has model, object and figures per object.
+    ``statistics`` has model, object and figures per object; ``objects`` has the model
+    and object of everything the models hold, from their metadata.
     """
-    keys = {
-        "Model Object": ["model", "object"],
-        "Model": ["model"],
-        "Report": ["report"],
-        "User": ["user"],
-    }
-    dims = {
-        name: add_surrogate_key(logs.select(*on).distinct(), name, order=on)
-        for name, on in keys.items()
-    }
-
-    def keyed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        for name in names:
-            rows = join_and_expand(rows, dims[name], keys[name], [SKEY_PREFIX + name])
-        used = {c for name in names for c in keys[name]}
-        return rows.drop(*used)
-
-    counts = object_query_count(logs, ["model", "object", "report", "user"])
-    return LogStar(
-        dims["Model Object"],
-        dims["Model"],
-        dims["Report"],
-        dims["User"],
-        keyed(counts, list(keys)),
-        keyed(logs, list(keys)),
-        keyed(statistics, ["Model Object", "Model"]),
-    )
+    return LogStar(logs, statistics, objects)

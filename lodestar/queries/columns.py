@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.dates import age_bucket, end_of_month
+from lodestar.functions.dates import age_bucket, end_of_month, local_moment
 from lodestar.functions.measures import selected_value
 from lodestar.functions.text import is_like_null, split_camel_case, xml_json_field
 from lodestar.operators.clean import (
@@ -56,6 +56,19 @@ def csv_typed_scan(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer
+""")
+def csv_other_column_order(t: Tables) -> DataFrame:
+    """Customers from a CSV whose header lists the columns in another order."""
+    path = staging_path(t.spark)
+    t.customer.select("c_mktsegment", "c_acctbal", "c_name", "c_custkey").write.option(
+        "header", True
+    ).option("quote", "").csv(path)
+    types = T.StructType.fromDDL("c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+    return read_typed_csv(t.spark, path, types).withColumn("c_acctbal", cents(F.col("c_acctbal")))
+
+
 @query("""
 WITH objects AS (
   SELECT event_id AS Number, event_type AS Title, 'open' AS State, ts FROM events
@@ -88,7 +101,7 @@ def json_list_expand(t: Tables) -> DataFrame:
     record = T.StructType.fromDDL("number long, title string, state string, created_at string")
     issues = expand_json_list(lists, "document", record, ["Number", "Title", "State", "CreatedAt"])
     moment = F.col("CreatedAt").cast("timestamp_ntz")
-    now = F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz")
+    now = local_moment(dt.datetime(2024, 1, 31))
     return issues.select(
         "Number", "Title", "State",
         F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("CreatedAt"),
@@ -160,7 +173,7 @@ FROM (SELECT event_id,
       FROM events)
 """, name="age_bucket")
 def age_bucket_of_events(t: Tables) -> DataFrame:
-    now = F.lit(dt.datetime(2024, 1, 31, 12)).cast("timestamp_ntz")
+    now = local_moment(dt.datetime(2024, 1, 31, 12))
     return t.events.select("event_id", age_bucket("ts", now).alias("age"))
 
 

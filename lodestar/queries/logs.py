@@ -7,9 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.dates import local_moment
 from lodestar.operators.lineage import (
     dependency_closure,
     expression_references,
+    read_report_measures,
+    read_report_parts,
     report_measure_refs,
     source_tables,
 )
@@ -24,7 +27,8 @@ from lodestar.operators.logs import spike_query_log as find_spike
 from lodestar.queries.columns import request_properties
 from lodestar.queries.registry import Tables, query
 from lodestar.sources.staging import staging_path
-from lodestar.sources.tables import append_log
+from lodestar.sources.tables import append_log, write_text
+
 
 def _k() -> Column:
     return F.get_json_object("props", "$.k")
@@ -141,7 +145,7 @@ def perf_log_compare(t: Tables) -> DataFrame:
     runs = t.events.select(
         F.col("event_type").alias("query"),
         F.when(k < 30, "cold").when(k < 60, "warm").otherwise("hot").alias("state"),
-        F.when(F.col("ts") < F.lit(dt.datetime(2024, 1, 16)).cast("timestamp_ntz"), "v1")
+        F.when(F.col("ts") < local_moment(dt.datetime(2024, 1, 16)), "v1")
         .otherwise("v2").alias("version"),
         F.col("value").alias("duration"), (F.col("value") / 2).alias("cpu"),
         (F.col("value") < 100).alias("success"), F.to_date("ts").alias("run_date"),
@@ -208,6 +212,30 @@ def log_star_statistics(t: Tables) -> DataFrame:
     return _log_star(t).fact_object_statistics.withColumnsRenamed(_STAR_KEYS)
 
 
+@query("""
+WITH e AS (SELECT CASE WHEN value < 10 THEN 'small' ELSE 'large' END AS model, event_type AS object,
+                  value FROM events),
+     o AS (SELECT model, object FROM e WHERE object <> 'error' UNION SELECT model, object FROM e
+           UNION SELECT 'small', r_name FROM region),
+     k AS (SELECT *, dense_rank() OVER (ORDER BY model, object) - 1 AS object_key,
+                  dense_rank() OVER (ORDER BY model) - 1 AS model_key FROM o),
+     s AS (SELECT model, object, count(*) AS rows FROM e GROUP BY ALL)
+SELECT object_key, model_key, rows FROM s JOIN k USING (model, object)
+""")
+def log_star_unqueried_objects(t: Tables) -> DataFrame:
+    """Statistics of objects that no log row names keep their keys."""
+    every = t.events.select(
+        F.when(F.col("value") < 10, "small").otherwise("large").alias("model"),
+        F.col("event_type").alias("object"), F.concat(F.lit("r"), _k()).alias("report"),
+        F.col("user_id").alias("user"), F.col("ts").alias("moment"),
+    )
+    logs = every.filter("object <> 'error'")
+    statistics = every.groupBy("model", "object").agg(F.count(F.lit(1)).alias("rows"))
+    objects = t.region.select(F.lit("small").alias("model"), F.col("r_name").alias("object"))
+    star = build_log_star(logs, statistics, objects)
+    return star.fact_object_statistics.withColumnsRenamed(_STAR_KEYS)
+
+
 def _source_ref(entity, name) -> Column:
     source = F.struct(F.struct(entity.alias("Entity")).alias("SourceRef"))
     return F.struct(
@@ -293,6 +321,58 @@ def unused_measures(t: Tables) -> DataFrame:
     return unused.drop("table")
 
 
+@query("""
+WITH l AS (SELECT c_custkey // 50 AS chain, c_custkey % 50 AS place FROM customer),
+     n AS (SELECT chain, min(place) AS first FROM l GROUP BY chain)
+SELECT 'chain ' || chain AS report, 'Measure ' || place AS name, place - first + 1 AS round
+FROM l JOIN n USING (chain) WHERE chain % 2 = 0
+""")
+def unused_measure_chains(t: Tables) -> DataFrame:
+    """Chains of up to fifty measures; in every other report a part shows the first."""
+    chain, place = F.floor(F.col("c_custkey") / 50), F.col("c_custkey") % 50
+    report = F.concat(F.lit("chain "), chain.cast("string")).alias("report")
+    measures = t.customer.select(
+        report, F.lit("customer").alias("table"), F.concat(F.lit("Measure "), place.cast("string")).alias("name"),
+        F.concat(F.lit("1 + [Measure "), (place + 1).cast("string"), F.lit("]")).alias("expression"),
+    )
+    lowest = t.customer.groupBy(chain.alias("chain")).agg(F.min(place).alias("place")).filter("chain % 2 = 1")
+    refs = lowest.select(
+        F.concat(F.lit("chain "), F.col("chain").cast("string")).alias("report"), F.lit("customer").alias("entity"),
+        F.concat(F.lit("Measure "), F.col("place").cast("string")).alias("name"),
+    )
+    unused, _ = find_unused(measures, refs)
+    return unused.select("report", "name", F.col("round").cast("long").alias("round"))
+
+
+@query("""
+SELECT r_name || '.Report' AS report, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey
+WHERE n_nationkey % 3 <> 0
+""")
+def unused_measures_from_files(t: Tables) -> DataFrame:
+    """Reports written as definition files, read back, and their unused measures."""
+    root = staging_path(t.spark)
+    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    measure = F.struct(F.col("n_name").alias("name"), F.lit("SUM(sales)").alias("expression"), F.lit("Double").alias("dataType"))
+    visual = F.when(F.col("n_nationkey") % 3 == 0, F.struct(F.struct(_source_ref(F.lit("Sales"), F.col("n_name"))).alias("field")))
+    reports = nations.groupBy("r_name").agg(
+        F.to_json(F.struct(F.array(F.struct(F.lit("Sales").alias("name"), F.collect_list(measure).alias("measures"))).alias("entities"))).alias("extensions"),
+        F.to_json(F.struct(F.collect_list(visual).alias("visuals"))).alias("page"),
+    )
+    # a handful of reports, each a few small files
+    files = reports.select(
+        F.concat(F.lit(f"{root}/"), "r_name", F.lit(".Report/definition/")).alias("folder"), "extensions", "page"
+    ).collect()
+    for row in files:
+        write_text(t.spark, row["folder"] + "reportExtensions.json", "\ufeff" + row["extensions"])
+        write_text(t.spark, row["folder"] + "pages/one/page.json", row["page"])
+        write_text(t.spark, row["folder"] + "report.json", "{broken")
+        write_text(t.spark, row["folder"] + "other.json", row["extensions"])
+    measures = read_report_measures(t.spark, root).filter("error is null")
+    refs = report_measure_refs(read_report_parts(t.spark, root).filter("error is null"))
+    unused, _ = find_unused(measures, refs.select("report", "entity", "name"))
+    return unused.select("report", "name")
+
+
 @query("""
 WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'F')
 SELECT 'order ' || o_orderkey AS object, 0 AS depth FROM o

@@ -48,11 +48,13 @@ def read_typed_csv(
     delimiter: str = ",",
     strict: bool = False,
 ) -> DataFrame:
-    """CSV in UTF-8 with a header line, quotes taken as plain text, then typed."""
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in types.fields])
+    """CSV in UTF-8, quotes taken as plain text, typed by the names in its header line.
+
+    Columns not named in ``types`` stay text; a named column the header lacks is an error.
+    """
     text = (
-        spark.read.schema(raw)
-        .option("header", True)
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("encoding", "UTF-8")
         .option("quote", "")
         .option("sep", delimiter)
@@ -108,3 +110,14 @@ def append_log(df: DataFrame, path: str, run_date: str = "run_date") -> None:
     """
     rows = df.hint("rebalance", run_date)
     rows.write.mode("append").partitionBy(run_date).parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small UTF-8 file on any file system Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
