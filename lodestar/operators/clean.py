@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -73,4 +74,8 @@ def split_camel_case_columns(
     unknown = sorted(set(overrides) - set(df.columns))
     if unknown:
         raise ValueError(f"columns not found: {unknown}")
-    return df.toDF(*[overrides.get(c, split_camel_case_name(c)) for c in df.columns])
+    names = [overrides.get(c, split_camel_case_name(c)) for c in df.columns]
+    twice = sorted(n for n, many in Counter(names).items() if many > 1)
+    if twice:
+        raise ValueError(f"several columns would be called {twice}")
+    return df.toDF(*names)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from enum import IntEnum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import quoted
 from lodestar.operators.ordered import matches
-from lodestar.operators.quality import repeated
+from lodestar.sources.staging import stage
 
 
 class RowIntegrity(IntEnum):
@@ -21,10 +23,6 @@ class RowIntegrity(IntEnum):
     DISTINCT_TARGET = 2
 
 
-class RowIntegrityError(ValueError):
-    """The join would add rows to its source."""
-
-
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key in the given order; remaining columns break ties.
 
@@ -36,7 +34,7 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     picked = F.min(F.struct(*[F.col(f"`{c}`") for c in lead])) if lead else None
     if picked is None:
         return df.distinct()
-    first = df.groupBy(*keys).agg(picked.alias("_first"))
+    first = df.groupBy(*quoted(keys)).agg(picked.alias("_first"))
     return first.select(
         *[
             F.col(f"`{c}`") if c in keys else F.col("_first").getField(c).alias(c)
@@ -45,19 +43,6 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     )
 
 
-def repeated_keys(
-    source: DataFrame,
-    target: DataFrame,
-    on: Sequence[str],
-    target_on: Sequence[str],
-    match_nulls: bool = True,
-) -> DataFrame:
-    """Target keys that occur more than once and that the source uses."""
-    names = [f"_key{i}" for i in range(len(on))]
-    twice = repeated(target, target_on).drop("n").toDF(*names)
-    return source.select(*on).join(twice, matches(on, names, match_nulls), "left_semi")
-
-
 def join_and_expand(
     source: DataFrame,
     target: DataFrame,
@@ -73,9 +58,9 @@ def join_and_expand(
     """Left outer join that adds chosen target columns to the source.
 
     Null keys match null keys; tables bucketed by keys without nulls join in place
-    with ``match_nulls`` off. ``CHECKED`` raises when the join would add rows,
-    before anything is written; ``DISTINCT_TARGET`` keeps the first target row per
-    key in ``first_by`` order.
+    with ``match_nulls`` off. With ``CHECKED`` the job that reads the result fails when
+    a source row meets several target rows; ``DISTINCT_TARGET`` keeps the first target
+    row per key in ``first_by`` order.
     """
     target_on = list(on if target_on is None else target_on)
     expand_as = list(expand if expand_as is None else expand_as)
@@ -85,20 +70,23 @@ def join_and_expand(
     if integrity == RowIntegrity.DISTINCT_TARGET:
         wanted = dict.fromkeys([*target_on, *expand, *first_by])
         target = first_rows(target.select(*wanted), target_on, first_by)
-    elif integrity == RowIntegrity.CHECKED:
-        # the join can only add rows, so a repeated key in use is the whole test;
-        # the source is read for it only when the target has repeated keys at all
-        if (
-            not repeated(target, target_on).isEmpty()
-            and not repeated_keys(source, target, on, target_on, match_nulls).isEmpty()
-        ):
-            raise RowIntegrityError("Left join has generated additional rows")
     names = [f"_key{i}" for i in range(len(on))]
+    keys = [F.col(f"`{c}`").alias(n) for c, n in zip(target_on, names, strict=True)]
+    same = matches(on, names, match_nulls)
+    if integrity == RowIntegrity.CHECKED:
+        # one row per target key goes into the join and brings the number of its rows
+        values = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(expand)])
+        single = target.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many"), F.min(values).alias("_first"))
+        failed = F.raise_error(F.lit("Left join has generated additional rows")).cast("boolean")
+        joined = source.join(single, same, "left")
+        checked = joined.filter(F.when(F.coalesce("_many", F.lit(1)) == 1, True).otherwise(failed))
+        return checked.select(
+            *quoted(source.columns),
+            *[F.col("_first").getField(f"v{i}").alias(n) for i, n in enumerate(expand_as)],
+        )
     columns = target.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(target_on, names, strict=True)],
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(expand, expand_as, strict=True)],
+        *keys, *[F.col(f"`{c}`").alias(n) for c, n in zip(expand, expand_as, strict=True)]
     )
-    same = matches(on, names, match_nulls)
     return source.join(columns, same, "left").drop(*names)
 
 
@@ -144,7 +132,7 @@ def not_in_model(
 ) -> DataFrame:
     """Source columns that the model does not use (anti-join on table and column)."""
     names = [f"_key{i}" for i in range(len(on))]
-    used = model.select(*on).distinct().toDF(*names)
+    used = model.select(*quoted(on)).distinct().toDF(*names)
     return source.join(used, matches(on, names), "left_anti")
 
 
@@ -157,6 +145,48 @@ class Dimension:
     fact_key: str
 
 
+@dataclass(frozen=True)
+class Filter:
+    """A predicate on one column of a table; the table ``fact`` is the fact itself."""
+
+    table: str
+    column: str
+    predicate: Column
+
+
+@dataclass(frozen=True)
+class FilterContext:
+    """The filters a measure is taken under; all of them must hold."""
+
+    filters: tuple[Filter, ...] = ()
+
+    def keep(self, *added: Filter) -> FilterContext:
+        """Add filters to those already on their columns."""
+        return FilterContext((*self.filters, *added))
+
+    def replace(self, *added: Filter) -> FilterContext:
+        """Add filters in place of those on the same columns."""
+        taken = {(f.table, f.column) for f in added}
+        return FilterContext((*[f for f in self.filters if (f.table, f.column) not in taken], *added))
+
+    def clear(self, table: str, *columns: str) -> FilterContext:
+        """Drop the filters on some columns of a table, or on all of them."""
+        return FilterContext(tuple(
+            f for f in self.filters if f.table != table or (columns and f.column not in columns)
+        ))
+
+    def clear_except(self, *kept: tuple[str, str] | str) -> FilterContext:
+        """Drop all filters but those on the given tables or (table, column) pairs."""
+        return FilterContext(tuple(f for f in self.filters if f.table in kept or (f.table, f.column) in kept))
+
+    def by_table(self) -> dict[str, Column]:
+        """One predicate per filtered table."""
+        out: dict[str, Column] = {}
+        for f in self.filters:
+            out[f.table] = out[f.table] & f.predicate if f.table in out else f.predicate
+        return out
+
+
 @dataclass(frozen=True)
 class Star:
     """A fact with its dimensions; measures are taken over a filtered fact."""
@@ -185,6 +215,10 @@ class Star:
             rows = rows.join(keys, F.col(dim.fact_key) == F.col("_key"), "left_semi")
         return rows
 
+    def under(self, context: FilterContext) -> DataFrame:
+        """Fact rows under the filters of a context."""
+        return self.filtered(context.by_table())
+
     def related(self, rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
         """Fact rows with looked-up columns of a dimension (many to one)."""
         dim = self.dimensions[table]
@@ -193,28 +227,33 @@ class Star:
         )
 
 
-def _shortened(text: Column, times: int) -> Column:
-    """The text with up to ``times`` characters left out, in every way."""
-    forms = F.array(text)
-    for _ in range(times):
-        forms = F.array_distinct(
-            F.concat(
-                forms,
-                F.flatten(
-                    F.transform(
-                        forms,
-                        lambda t: F.transform(
-                            F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
-                            lambda i: F.concat(
-                                F.substring(t, F.lit(1), i - 1),
-                                F.substring(t, i + 1, F.length(t)),
-                            ),
-                        ),
-                    )
-                ),
-            )
+def _segments(text: Column, limit: int) -> Column:
+    """A text cut into ``limit + 1`` even parts, each with the text's length and its number."""
+    n, parts = F.char_length(text), limit + 1
+    return F.array(*[
+        F.struct(
+            n.alias("length"), F.lit(i).alias("part"),
+            F.substring(text, (F.floor(n * i / parts) + 1).cast("int"), (F.floor(n * (i + 1) / parts) - F.floor(n * i / parts)).cast("int")).alias("piece"),
         )
-    return forms
+        for i in range(parts)
+    ])
+
+
+def _shared_pieces(text: Column, limit: int) -> Column:
+    """The pieces a text within ``limit`` edits can have, for every length it can have."""
+    n, parts = F.char_length(text), limit + 1
+    found = []
+    for more in range(-limit, limit + 1):
+        length = n + more
+        for i in range(parts):
+            start = F.floor(length * i / parts)
+            size = F.floor(length * (i + 1) / parts) - start
+            for shift in range(-limit, limit + 1):
+                at = start + shift
+                fits = (length >= 0) & (at >= 0) & (at + size <= n)
+                piece = F.substring(text, (at + 1).cast("int"), size.cast("int"))
+                found.append(F.when(fits, F.struct(length.alias("length"), F.lit(i).alias("part"), piece.alias("piece"))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
 
 
 def closest_texts(
@@ -222,22 +261,19 @@ def closest_texts(
 ) -> DataFrame:
     """For each left text the right text within ``limit`` edits: closest, then least key.
 
-    Two texts within n edits become equal after leaving out at most n characters of
-    each, so an equality join on shortened forms finds every pair without comparing
-    all texts with all others. Distinct texts only; ``limit`` of 1 or 2 for names.
+    Of n + 1 parts of a text at least one is whole in any text within n edits, shifted by
+    n places at most, so an equality join on these few parts finds every pair without
+    comparing all texts with all others. Distinct texts only; ``limit`` of 1 or 2 for names.
     """
     a = left.select(F.col(text).alias("_a")).filter("_a is not null").distinct()
     b = right.filter(F.col(other).isNotNull()).groupBy(F.col(other).alias("_b")).agg(
         F.min(key).alias("_key")
     )
-
-    def forms(df: DataFrame, c: str) -> DataFrame:
-        form = F.explode(_shortened(F.col(c), limit))
-        return df.select("*", form.alias("_form"))
-
+    asked = a.select("_a", F.inline(_shared_pieces(F.col("_a"), limit)))
+    held = b.select("_b", "_key", F.inline(_segments(F.col("_b"), limit)))
     distance = F.levenshtein("_a", "_b", limit)
     pairs = (
-        forms(a, "_a").join(forms(b, "_b"), "_form")
+        asked.join(held, ["length", "part", "piece"])
         .select("_a", "_key", distance.alias("_distance"))
         .filter(F.col("_distance") >= 0)
     )
@@ -263,28 +299,31 @@ def cascade_match(
     missing value matches nothing.
     """
     on = [a for a, _ in exact]
-    first = right.dropna(subset=[b for _, b in exact]).groupBy(
-        *[F.col(b).alias(f"_on{i}") for i, (_, b) in enumerate(exact)]
-    )
-    keys = [f"_on{i}" for i in range(len(exact))]
-    by_exact = join_and_expand(
-        left, first.agg(F.min(key).alias("_exact")), on, ["_exact"], target_on=keys
+    names = [f"_on{i}" for i in range(len(exact))]
+    first = (
+        right.dropna(subset=[b for _, b in exact])
+        .groupBy(*[F.col(f"`{b}`").alias(n) for n, (_, b) in zip(names, exact, strict=True)])
+        .agg(F.min(key).alias("_exact"))
     )
+    whole = reduce(Column.__and__, [F.col(f"`{a}`").isNotNull() for a in on])
+    same = matches(on, names, match_nulls=False)
+    keyed = left.filter(whole)
+    matched = keyed.join(first, same)
+    # rows that miss a key need no join to be open
+    open_rows = stage(keyed.join(first, same, "left_anti").unionByName(left.filter(~whole)))
     text, other = fuzzy
-    open_rows = by_exact.filter(F.col("_exact").isNull())
-    close = closest_texts(open_rows, text, right, other, key, limit)
-    both = join_and_expand(
-        by_exact.withColumn(
-            "_text", F.when(F.col("_exact").isNull(), F.col(text))
-        ),
-        close, ["_text"], [key, "distance"], target_on=[text],
-        expand_as=["_fuzzy", "_distance"],
+    close = closest_texts(open_rows, text, right, other, key, limit).select(
+        F.col(text).alias("_text"), F.col(key).alias("_found"), F.col("distance").alias("_distance")
     )
-    return both.select(
-        *left.columns,
-        F.coalesce("_exact", "_fuzzy").alias(key),
-        F.when(F.col("_exact").isNotNull(), "exact")
-        .when(F.col("_fuzzy").isNotNull(), "fuzzy")
-        .alias("rule"),
-        F.when(F.col("_exact").isNotNull(), 0).otherwise(F.col("_distance")).alias("distance"),
+    named = open_rows.filter(F.col(text).isNotNull()).join(close, F.col(text) == F.col("_text"), "left")
+
+    def outcome(rows: DataFrame, found: Column, rule: Column, distance: Column) -> DataFrame:
+        return rows.select(*quoted(left.columns), found.alias(key), rule.alias("rule"), distance.alias("distance"))
+
+    none = F.lit(None).cast(right.schema[key].dataType)
+    fuzzy_rule = F.when(F.col("_found").isNotNull(), "fuzzy")
+    return (
+        outcome(matched, F.col("_exact"), F.lit("exact"), F.lit(0))
+        .unionByName(outcome(named, F.col("_found"), fuzzy_rule, F.col("_distance")))
+        .unionByName(outcome(open_rows.filter(F.col(text).isNull()), none, F.lit(None).cast("string"), F.lit(None).cast("int")))
     )

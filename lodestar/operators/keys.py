@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import quoted
 from lodestar.operators.joins import join_and_expand
 from lodestar.operators.ordered import add_index
 from lodestar.operators.quality import require_in_plan
@@ -31,7 +32,7 @@ def add_surrogate_key(
         if not order:
             raise ValueError("rows have no order of their own: give order columns")
         return add_index(df, column, order)
-    combinations = df.select(*group_by).distinct()
+    combinations = df.select(*quoted(group_by)).distinct()
     keyed = add_index(combinations, column, list(order or group_by))
     # each combination occurs once, so the join cannot add rows
     return join_and_expand(df, keyed, group_by, [column])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import quoted
 from lodestar.functions.measures import divide
 from lodestar.operators.joins import join_and_expand
 
@@ -27,7 +28,7 @@ def summarize_columns(
 
 def existing_combinations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Combinations of values that occur."""
-    return df.select(*columns).distinct()
+    return df.select(*quoted(columns)).distinct()
 
 
 def sum_over_related(
@@ -45,10 +46,10 @@ def sum_over_related(
     The factor is the same for all rows of a key, so amounts are summed per group
     and key before the join: a frequent key crosses the shuffle as one row per task.
     """
-    sums = fact.groupBy(*by, key).agg(F.sum(amount).alias("_amount"))
+    sums = fact.groupBy(*quoted(by), key).agg(F.sum(amount).alias("_amount"))
     factors = dim.select(F.col(dim_key).alias("_dim_key"), factor.alias("_factor"))
     joined = join_and_expand(sums, factors, [key], ["_factor"], target_on=["_dim_key"])
-    return joined.groupBy(*by).agg(F.sum(F.col("_amount") * F.col("_factor")).alias(name))
+    return joined.groupBy(*quoted(by)).agg(F.sum(F.col("_amount") * F.col("_factor")).alias(name))
 
 
 def sum_by_item(
@@ -61,13 +62,13 @@ def sum_by_item(
     name: str,
 ) -> DataFrame:
     """Two-level sum: per item the summed amount times the ratio of two maxima."""
-    items = rows.groupBy(*by, item).agg(
+    items = rows.groupBy(*quoted(by), item).agg(
         F.sum(amount).alias("_amount"),
         F.max(numerator).alias("_numerator"),
         F.max(divisor).alias("_divisor"),
     )
     weighted = F.col("_amount") * divide("_numerator", "_divisor")
-    return items.groupBy(*by).agg(F.sum(weighted).alias(name))
+    return items.groupBy(*quoted(by)).agg(F.sum(weighted).alias(name))
 
 
 def count_non_null(df: DataFrame, by: Sequence[str | Column], column: str) -> DataFrame:
@@ -90,10 +91,10 @@ def first_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
 
 def top_n(groups: DataFrame, measure: str, n: int) -> DataFrame:
     """Groups with the n largest measures; ties with the last one are kept."""
-    largest = groups.orderBy(F.desc_nulls_last(measure)).limit(n)
-    return groups.filter(
-        F.col(measure) >= largest.agg(F.min(measure).alias("nth")).scalar()
-    )
+    # every task keeps its own n first, so the one window sees few rows
+    place = F.rank().over(Window.orderBy(F.desc(measure)))
+    ranked = groups.filter(F.col(measure).isNotNull()).withColumn("_place", place)
+    return ranked.filter(F.col("_place") <= n).drop("_place")
 
 
 def above(groups: DataFrame, measure: str, bound: float, hide: bool = True) -> DataFrame:

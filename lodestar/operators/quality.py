@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import quoted
+
 
 class DataQualityError(ValueError):
     """A data-quality test has failed."""
@@ -37,7 +39,7 @@ def require_in_plan(df: DataFrame, condition: Column, message: Column | str) ->
 
 def repeated(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their row count ``n``."""
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return df.groupBy(*quoted(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def require_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -51,7 +53,7 @@ def require_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def many_values(df: DataFrame, determinant: Sequence[str], dependent: str) -> DataFrame:
     """Determinant values with more than one dependent value (null is a value)."""
     pairs = df.select(*determinant, dependent).distinct()
-    return pairs.groupBy(*determinant).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return pairs.groupBy(*quoted(determinant)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def require_one_to_many(df: DataFrame, one: Sequence[str], dependent: str) -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The stand-ins for historical members.
@@ -73,11 +72,13 @@ def historical_member_dim(
     day: str,
     cutoff: Column,
 ) -> DataFrame:
-    """Keep members with rows since the cutoff and add the historical member.
+    """Keep members with rows that are not old and add the historical member.
 
-    Every key of the remapped fact is found in the result.
+    A row is old when its day is before the cutoff; a row without a day is not. Every key
+    of the remapped fact is found in the result.
     """
-    recent = fact.filter(F.col(day) >= cutoff).select(F.col(fact_key).alias("_key")).distinct()
+    old = F.coalesce(F.col(day) < cutoff, F.lit(False))
+    recent = fact.filter(~old).select(F.col(fact_key).alias("_key")).distinct()
     kept = dim.join(recent, F.col(dim_key) == F.col("_key"), "left_semi")
     values = {dim_key: HISTORICAL_CUSTOMER_KEY, name: HISTORICAL_CUSTOMER}
     member = dim.sparkSession.range(1).select(
@@ -100,16 +101,16 @@ def column_statistics(
         return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)).cast("long")
 
     if exact:
-        parts = [
-            df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
-                F.lit(c).alias("column"),
-                F.count("v").alias("cardinality"),
-                F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-                F.coalesce(F.sum(size(F.col("v")) * F.col("n")), F.lit(0)).alias("size"),
-            )
-            for c in columns
-        ]
-        stats = reduce(DataFrame.unionByName, parts)
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns
+        ])
+        # one scan: a frequent value of a column is combined before the shuffle
+        values = df.select(F.inline(cells)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        stats = values.groupBy("column").agg(
+            F.count("v").alias("cardinality"),
+            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+            F.coalesce(F.sum(size(F.col("v")) * F.col("n")), F.lit(0)).alias("size"),
+        )
     else:
         cells = [
             (c, F.approx_count_distinct(f"`{c}`", 0.02), F.count_if(F.col(f"`{c}`").isNull()),
@@ -126,5 +127,6 @@ def column_statistics(
             ]
         )
         stats = one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cells))])))
-    total = stats.agg(F.sum("size").alias("total")).scalar()
+    # one row per column is left
+    total = F.sum("size").over(Window.partitionBy())
     return stats.withColumn("share", F.try_divide(F.col("size"), total))

@@ -130,6 +130,20 @@ def historical_member_orders(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey")
 
 
+@query("""
+WITH c AS (SELECT max(o_orderdate) - INTERVAL 1 YEAR AS cutoff FROM orders),
+     f AS (SELECT o_custkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS day FROM orders)
+SELECT c_custkey, c_name FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM f, c WHERE day IS NULL OR day >= cutoff)
+UNION ALL SELECT -1, 'Historical Customer'
+""")
+def historical_member_without_dates(t: Tables) -> DataFrame:
+    """Facts without a date keep their customers."""
+    fact = t.daily_orders.withColumn("day", F.when(F.col("o_orderpriority") != "5-LOW", F.col("day")))
+    dim = t.customer.select("c_custkey", "c_name")
+    return historical_member_dim(dim, "c_custkey", "c_name", fact, "o_custkey", "day", _year_before(t))
+
+
 _STATS_SQL = """SELECT '{c}' AS "column", count(DISTINCT {v}) AS cardinality,
   count(*) - count({v}) AS nulls, sum(coalesce(strlen({v}::VARCHAR), 0))::BIGINT AS size FROM orders"""
 

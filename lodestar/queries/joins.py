@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.joins import (
     Dimension,
+    Filter,
+    FilterContext,
     RowIntegrity,
     Star,
     cascade_match,
@@ -169,6 +171,31 @@ def rls_all_stores(t: Tables) -> DataFrame:
     return _store_totals(seen)
 
 
+@query("""
+SELECT n_name AS store, round(sum(o_totalprice), 2) AS total, count(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_name = 'Supplier#000000001')
+GROUP BY 1
+""")
+def rls_home_label(t: Tables) -> DataFrame:
+    """Under the home store label a user sees the own store."""
+    seen = visible_sales(_store_orders(t), "store", _users(t), "Supplier#000000001", "Home Store")
+    return _store_totals(seen)
+
+
+@query("""
+WITH home AS (SELECT s_nationkey AS h FROM supplier WHERE s_name = 'Supplier#000000001')
+SELECT n_name AS store, round(sum(o_totalprice), 2) AS total, count(*) AS orders
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE n_name = (SELECT min(n_name) FROM nation) AND EXISTS (SELECT 1 FROM home WHERE h <> n_nationkey)
+GROUP BY 1
+""")
+def rls_other_store(t: Tables) -> DataFrame:
+    """Under another store's name a user sees that store."""
+    name = t.nation.agg(F.min("n_name").alias("name")).first()["name"]
+    return _store_totals(visible_sales(_store_orders(t), "store", _users(t), "Supplier#000000001", name))
+
+
 @query("""
 SELECT DISTINCT p_brand AS table_name, p_name || ' ' || p_size AS column_name FROM part
 EXCEPT
@@ -262,3 +289,61 @@ def filter_context(t: Tables) -> DataFrame:
         "priority", cents(F.col("kept")).alias("filtered"), cents(F.col("every")).alias("cleared"),
         F.round(F.try_divide("kept", "every"), 6).alias("share"),
     )
+
+
+def _priority_star(t: Tables) -> Star:
+    """Order sums per customer, status and priority with their customers."""
+    sums = t.orders.groupBy("o_custkey", "o_orderstatus", "o_orderpriority").agg(
+        F.sum("o_totalprice").alias("o_totalprice")
+    )
+    return Star(sums, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+
+
+def _context() -> FilterContext:
+    return FilterContext((
+        Filter("fact", "o_orderstatus", F.col("o_orderstatus") == "P"),
+        Filter("customer", "c_mktsegment", F.col("c_mktsegment").isin("BUILDING", "MACHINERY")),
+        Filter("customer", "c_acctbal", F.col("c_acctbal") > 0),
+    ))
+
+
+def _by_priority(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(cents(F.sum("o_totalprice")).alias(name))
+
+
+@query("""
+SELECT o_orderpriority AS priority,
+       round(sum(CASE WHEN o_orderstatus = 'P' AND c_acctbal > 0 AND c_mktsegment = 'BUILDING' THEN o_totalprice END), 2) AS kept,
+       round(sum(CASE WHEN o_orderstatus = 'P' AND c_acctbal > 0 AND c_mktsegment = 'FURNITURE' THEN o_totalprice END), 2) AS replaced
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+""")
+def filters_kept_or_replaced(t: Tables) -> DataFrame:
+    """A filter that joins those on its column, and one that takes their place."""
+    star = _priority_star(t)
+    kept = _context().keep(Filter("customer", "c_mktsegment", F.col("c_mktsegment") == "BUILDING"))
+    replaced = _context().replace(Filter("customer", "c_mktsegment", F.col("c_mktsegment") == "FURNITURE"))
+    every = _by_priority(star.fact, "every").drop("every")
+    for name, context in (("kept", kept), ("replaced", replaced)):
+        every = join_and_expand(every, _by_priority(star.under(context), name), ["priority"], [name])
+    return every
+
+
+@query("""
+SELECT o_orderpriority AS priority,
+       round(sum(CASE WHEN o_orderstatus = 'P' AND c_acctbal > 0 THEN o_totalprice END), 2) AS one_cleared,
+       round(sum(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN o_totalprice END), 2) AS all_but_one,
+       round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS table_cleared
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+""")
+def filters_cleared(t: Tables) -> DataFrame:
+    """One column's filter dropped, all filters but one dropped, a table's filters dropped."""
+    star = _priority_star(t)
+    every = _by_priority(star.fact, "every").drop("every")
+    contexts = {
+        "one_cleared": _context().clear("customer", "c_mktsegment"),
+        "all_but_one": _context().clear_except(("customer", "c_mktsegment")),
+        "table_cleared": _context().clear("customer"),
+    }
+    for name, context in contexts.items():
+        every = join_and_expand(every, _by_priority(star.under(context), name), ["priority"], [name])
+    return every

@@ -59,3 +59,8 @@ def test_column_names(spark):
     assert got.columns == ["Customer Name", "HTML Page", "Key"]
     with pytest.raises(ValueError, match="not found"):
         split_camel_case_columns(df, {"nope": "x"})
+
+
+def test_two_columns_must_not_get_one_name(spark):
+    with pytest.raises(ValueError, match="several columns"):
+        split_camel_case_columns(spark.createDataFrame([(1, 2)], ["aB", "a B"]))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.joins import (
     Dimension,
+    Filter,
+    FilterContext,
     RowIntegrity,
-    RowIntegrityError,
     Star,
     cascade_match,
     closest_texts,
@@ -44,8 +45,11 @@ def test_left_join_matches_null_to_null(source, target):
 
 
 def test_checked_join_raises_only_for_keys_in_use(source, target):
-    with pytest.raises(RowIntegrityError, match="additional rows"):
-        join_and_expand(source, target, ["k"], ["name"], integrity=RowIntegrity.CHECKED)
+    checked = join_and_expand(source, target, ["k"], ["name"], integrity=RowIntegrity.CHECKED)
+    with pytest.raises(Exception, match="additional rows"):
+        checked.collect()
+    with pytest.raises(Exception, match="additional rows"):
+        checked.select("v").collect()
     other = target.filter("name <> 'uno' OR name IS NULL")  # 7 stays repeated but unused
     got = join_and_expand(source, other, ["k"], ["name"], integrity=RowIntegrity.CHECKED)
     assert got.count() == source.count()
@@ -65,8 +69,8 @@ def test_nulls_need_not_match(spark, source):
         source, twice, ["k"], ["name"], integrity=RowIntegrity.CHECKED, match_nulls=False
     )
     assert rows(got) == [(1, "x", None), (2, "y", "c"), (5, "w", None), (None, "z", None)]
-    with pytest.raises(RowIntegrityError):
-        join_and_expand(source, twice, ["k"], ["name"], integrity=RowIntegrity.CHECKED)
+    with pytest.raises(Exception, match="additional rows"):
+        join_and_expand(source, twice, ["k"], ["name"], integrity=RowIntegrity.CHECKED).collect()
 
 
 def test_renamed_keys_and_columns(source, target):
@@ -157,3 +161,35 @@ def test_cascade(spark):
     assert rows(got.select("id", "ref", "rule", "distance")) == [
         (1, 9, "exact", 0), (2, 11, "fuzzy", 1), (3, None, None, None), (4, None, None, None),
     ]
+
+
+def test_cascade_spreads_exact_matches(spark):
+    left = spark.range(0, 40000, 1, 8).select("id", (F.col("id") % 997).alias("k"), F.lit("same").alias("name"))
+    right = spark.range(980).select(F.col("id").alias("ref"), F.col("id").alias("rk"), F.lit("other").alias("rn"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cascade_match(left, right, [("k", "rk")], ("name", "rn"), "ref")
+        parts = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exact = sorted(r["count"] for r in parts)
+    assert sum(exact) == 40000 and exact[-1] < 2 * 40000 / 4
+
+
+def test_filter_contexts(spark):
+    context = FilterContext((
+        Filter("c", "seg", F.lit(True)), Filter("c", "age", F.lit(True)), Filter("fact", "amount", F.lit(True)),
+    ))
+
+    def names(c):
+        return [(f.table, f.column) for f in c.filters]
+
+    assert names(context.clear("c")) == [("fact", "amount")]
+    assert names(context.clear("c", "seg")) == [("c", "age"), ("fact", "amount")]
+    assert names(context.clear_except("fact")) == [("fact", "amount")]
+    assert names(context.clear_except(("c", "age"))) == [("c", "age")]
+    assert names(context.replace(Filter("c", "seg", F.lit(False)))) == [("c", "age"), ("fact", "amount"), ("c", "seg")]
+    assert names(context.keep(Filter("c", "seg", F.lit(False)))).count(("c", "seg")) == 2
+    assert set(context.by_table()) == {"c", "fact"}

@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from lodestar.operators.keys import add_surrogate_key
 from lodestar.operators.quality import (
     Check,
     DataQualityError,
@@ -83,3 +84,9 @@ def test_equivalence(spark, table):
     assert not equivalence(table, table.drop("c")).first()["equivalent"]
     empty = equivalence(table.limit(0), table.limit(0)).first()
     assert tuple(empty) == (0, 0, 0, 0, True, True)
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "y")], "`a.b` int, c string")
+    assert rows(repeated(df, ["a.b"])) == [(1, 2)]
+    assert add_surrogate_key(df, "Thing", ["a.b"]).select("`_SKey Thing`").distinct().count() == 1

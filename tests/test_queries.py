@@ -22,6 +22,19 @@ def test_query(spark, con, name):
     assert difference(QUERIES[name](spark, FOLDER), con, ORACLES[name]) is None
 
 
+@pytest.fixture
+def new_york(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_in_another_zone(spark, con, new_york, name):
+    assert difference(QUERIES[name](spark, FOLDER), con, ORACLES[name]) is None
+
+
 def test_entry(spark):
     import __spark_entry__
 
