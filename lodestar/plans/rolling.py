@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.dates import end_of_month
+from lodestar.sources.staging import stage
 
 BLOCK = 56  # days per row: seven bytes, so the sign bit of a long stays free
 
@@ -148,6 +149,42 @@ def rolling_distinct(
     return count_marked(marks, thing, size, days, name, shift)
 
 
+def _count_met(marks: DataFrame, thing: str, pieces: DataFrame, by: str, name: str) -> DataFrame:
+    """Distinct things per window: ``pieces`` has the days of each window as bits by block.
+
+    The pieces are written first, so Spark knows their size and sends them to all tasks when
+    they are few, as they are for some dozens of windows.
+    """
+    met = marks.join(stage(pieces), "_block").filter(F.col("_days").bitwiseAND(F.col("_held")) != 0)
+    pairs = met.select(by, thing).distinct()
+    return pairs.groupBy(by).agg(F.count(F.lit(1)).alias(name))
+
+
+def count_marked_on(
+    marks: DataFrame, thing: str, size: int, days: DataFrame, name: str = "n", shift: int = 0
+) -> DataFrame:
+    """As :func:`count_marked`, for few dates: the bits of things meet the bits of windows."""
+    held_days = F.sequence(F.date_add("day", shift - size + 1), F.date_add("day", shift))
+    spans = days.select("day").distinct().select("day", F.explode(held_days).alias("_key"))
+    block, held = _as_marks(F.col("_key"))
+    return _count_met(marks, thing, spans.groupBy("day", block).agg(held.alias("_held")), "day", name)
+
+
+def append_marks(marks: DataFrame, path: str) -> None:
+    """Add marks to a stored table, in folders by block; a period is appended once it is over."""
+    marks.hint("rebalance", "_block").write.mode("append").partitionBy("_block").parquet(path)
+
+
+def read_marks(marks: DataFrame, path: str, between: Dates | None = None) -> DataFrame:
+    """The stored marks with the columns of ``marks``; only blocks between the dates are read."""
+    stored = marks.sparkSession.read.schema(marks.schema).parquet(path)
+    if between is None:
+        return stored
+    epoch = dt.date(1970, 1, 1)
+    first, last = ((d - epoch).days // BLOCK for d in between)
+    return stored.filter(F.col("_block").between(first, last))
+
+
 def days_with_facts(fact: DataFrame, day: str) -> DataFrame:
     """The dates that occur in a fact, in column ``day``."""
     return fact.select(F.col(day).alias("day")).filter("day is not null").distinct()
@@ -200,14 +237,7 @@ def count_marked_by_window(
     )
     block, held = _as_marks(F.col("DIM_CalendarKey"))
     pieces = windows.groupBy("Window", block).agg(held.alias("_held"))
-    # a month has one window, the last one up to 31, in two blocks or a few more: a few
-    # dozen rows per year whatever the fact
-    # the marks move once, by thing, so that pairs of window and thing need not move
-    met = marks.repartition(F.col(thing)).join(F.broadcast(pieces), "_block").filter(
-        F.col("_days").bitwiseAND(F.col("_held")) != 0
-    )
-    pairs = met.select(F.col("Window").alias("window_day"), thing).distinct()
-    return pairs.groupBy("window_day").agg(F.count(F.lit(1)).alias(name))
+    return _count_met(marks, thing, pieces.withColumnRenamed("Window", "window_day"), "window_day", name)
 
 
 def rolling_distinct_trend(
@@ -233,4 +263,4 @@ def rolling_distinct_trend(
         return count_marked_by_window(
             marks, unfiltered, thing, day, bridge, days, size, shift, name
         )
-    return count_marked(marks, thing, size, month_end_days(unfiltered, day, days), name, shift)
+    return count_marked_on(marks, thing, size, month_end_days(unfiltered, day, days), name, shift)

@@ -11,29 +11,34 @@ from lodestar.functions.dates import fiscal_year
 from lodestar.operators.joins import Dimension, Star, join_and_expand, without_members
 from lodestar.operators.ordered import add_index, cumulative_to_incremental
 from lodestar.plans.rolling import (
+    append_marks,
     count_marked,
     count_marked_by_window,
+    count_marked_on,
     days_with_facts,
     mark_days,
     month_end_days,
+    read_marks,
     rolling_distinct,
+    rolling_distinct_trend,
 )
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
 from lodestar.plans.time_intelligence import Measure, time_intelligence
 from lodestar.queries.registry import Tables, cents, iso, query
 from lodestar.sources.calendars import calendar_window_bridge, date_bounds, days_between
+from lodestar.sources.staging import staging_path
 
 FIRST, LAST = dt.date(1995, 6, 1), dt.date(2001, 6, 30)
 
 _SELECTED = f"day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"
 
 
-def _building(t: Tables, shift: int = 0) -> DataFrame:
-    """Customers of one segment with their order days for windows of 28 days.
+def _building(t: Tables, shift: int = 0, size: int = 28) -> DataFrame:
+    """Customers of one segment with their order days for windows of some days.
 
     The filter follows the marking: a busy customer is one row per eight weeks.
     """
-    marks = mark_days(t.daily_orders, ["o_custkey"], "day", (FIRST, LAST), 28, shift)
+    marks = mark_days(t.daily_orders, ["o_custkey"], "day", (FIRST, LAST), size, shift)
     star = Star(marks, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
     return star.filtered({"customer": F.col("c_mktsegment") == "BUILDING"})
 
@@ -93,7 +98,7 @@ FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
 def rolling_distinct_month_end(t: Tables) -> DataFrame:
     """Days of the last selected month and earlier month ends, also without orders."""
     days = month_end_days(t.daily_orders, "day", _calendar(t).filter(_SELECTED))
-    counts = count_marked(_building(t), "o_custkey", 28, days)
+    counts = count_marked_on(_building(t), "o_custkey", 28, days)
     return counts.withColumn("day", iso("day"))
 
 
@@ -107,11 +112,11 @@ def rolling_distinct_by_window(t: Tables) -> DataFrame:
     return _by_window(t)
 
 
-def _by_window(t: Tables, shift: int = 0) -> DataFrame:
+def _by_window(t: Tables, shift: int = 0, size: int = 28) -> DataFrame:
     calendar = _calendar(t)
     counts = count_marked_by_window(
-        _building(t, shift), t.daily_orders, "o_custkey", "day",
-        calendar_window_bridge(calendar, "day"), calendar.filter(_SELECTED), 28, shift,
+        _building(t, shift, size), t.daily_orders, "o_custkey", "day",
+        calendar_window_bridge(calendar, "day"), calendar.filter(_SELECTED), size, shift,
     )
     return counts.withColumn("window_day", iso("window_day"))
 
@@ -126,6 +131,76 @@ def rolling_distinct_bridge_py(t: Tables) -> DataFrame:
     return _by_window(t, shift=-365)
 
 
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS window_day, count(DISTINCT thing) AS n
+FROM d JOIN p ON p.day BETWEEN d.day - 6 - 7 AND d.day - 7 GROUP BY d.day
+""")
+def rolling_distinct_bridge_7d_week(t: Tables) -> DataFrame:
+    """Windows of seven days, a week earlier."""
+    return _by_window(t, shift=-7, size=7)
+
+
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS window_day, count(DISTINCT thing) AS n
+FROM d JOIN p ON p.day BETWEEN d.day - 27 - 28 AND d.day - 28 GROUP BY d.day
+""")
+def rolling_distinct_bridge_28d_back(t: Tables) -> DataFrame:
+    """Windows of 28 days, 28 days earlier."""
+    return _by_window(t, shift=-28)
+
+
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS window_day, count(DISTINCT thing) AS n
+FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
+""")
+def rolling_distinct_stored_marks(t: Tables) -> DataFrame:
+    """The bridge over marks that were stored in two periods."""
+    path = staging_path(t.spark)
+    marks = mark_days(t.daily_orders, ["o_custkey"], "day")
+    for half in (0, 1):
+        append_marks(marks.filter(F.col("_block") % 2 == half), path)
+    stored = read_marks(marks, path, (FIRST - dt.timedelta(days=27), LAST))
+    star = Star(stored, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    calendar = _calendar(t)
+    counts = count_marked_by_window(
+        star.filtered({"customer": F.col("c_mktsegment") == "BUILDING"}), t.daily_orders, "o_custkey", "day",
+        calendar_window_bridge(calendar, "day"), calendar.filter(_SELECTED),
+    )
+    return counts.withColumn("window_day", iso("window_day"))
+
+
+def _trend(t: Tables, by: str) -> DataFrame:
+    star = Star(t.daily_orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    calendar = _calendar(t)
+    return rolling_distinct_trend(
+        star.filtered({"customer": F.col("c_mktsegment") == "BUILDING"}), t.daily_orders, "o_custkey", "day",
+        calendar.filter(_SELECTED), by, calendar_window_bridge(calendar, "day"), between=(FIRST, LAST),
+    )
+
+
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS day, count(DISTINCT thing) AS n
+FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
+""")
+def rolling_trend_by_day(t: Tables) -> DataFrame:
+    """The one measure for both groupings, by calendar day."""
+    return _trend(t, "day").withColumn("day", iso("day"))
+
+
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS window_day, count(DISTINCT thing) AS n
+FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
+""")
+def rolling_trend_by_window(t: Tables) -> DataFrame:
+    """The one measure for both groupings, by window."""
+    return _trend(t, "window").withColumn("window_day", iso("window_day"))
+
+
 @query("""
 WITH y AS (SELECT unnest(generate_series(min(year(o_orderdate + INTERVAL 6 MONTH)),
                                          max(year(o_orderdate + INTERVAL 6 MONTH)))) AS fy FROM orders),
