@@ -43,10 +43,13 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write the frame once and return a frame that reads it back."""
+def stage(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write the frame once and return a frame that reads it back.
+
+    ``compression`` names a codec for large texts, else the session's is used.
+    """
     path = staging_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
