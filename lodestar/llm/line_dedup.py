@@ -193,7 +193,8 @@ def _deduped(
         joined.select(
             "_row", "_id", "_t", n_lines, "_gone", "_open", F.when(waits, F.col("_text")).alias("_text"),
             F.when(~waits, output(_stay(F.col("_gone")))).alias("_out"),
-        )
+        ),
+        "zstd",
     )
     waiting = passed.filter("size(_open) > 0")
     opened = waiting.select(
@@ -229,6 +230,15 @@ def dedup_lines(
     return out.withColumnRenamed("_out", "kept_text")
 
 
+def without_repeated_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
+) -> DataFrame:
+    """The same columns, with only the lines that stay in the text."""
+    own = [c for c in docs.columns if c != text]
+    out = _deduped(docs, text, own, lambda kept: kept, min_chars, min_words)
+    return out.select(*[F.col("_out" if c == text else f"`{c}`").alias(c) for c in docs.columns])
+
+
 def line_digests(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
 ) -> DataFrame:
