@@ -32,7 +32,7 @@ from lodestar.sources.staging import stage
 
 WINDOW = 4096
 MOST_QUEUES = 1024
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 
 
 @dataclass

@@ -10,7 +10,7 @@ from lodestar.llm.text import ragged, running
 class RememberedIds:
     """Maps 64-bit keys to runs of ids; starts afresh beyond ``most`` keys."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 600_000) -> None:
         self._most = most
         self.forget()
 

@@ -28,7 +28,7 @@ from lodestar.llm.word_ids import encoder, with_end
 from lodestar.sources.staging import stage, staging_path
 
 SHARD_TOKENS = 1 << 20
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 
 _MAGIC = b"LWM1"
 _BLOCK = 512
