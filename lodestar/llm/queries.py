@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm import oracles
 from lodestar.llm.line_dedup import line_digests
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.neighbours import nearest_by_lists
@@ -27,7 +28,12 @@ from lodestar.llm.wavelet import read_token_shards, write_token_shards
 from lodestar.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_bagminhash": oracles.NEAR_DUPLICATES,
+    "op6_suffix_repetition": oracles.QUALITY,
+    "op8_line_neighbourhoods": oracles.LINES,
+    "op9_repeated_windows": oracles.REPEATS,
+}
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,7 +68,7 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, repetition by suffix array and verdict of every document."""
-    return score_quality(read_table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    return score_quality(read_table(spark, sf_dir, "documents")).select("doc_id", "quality.*").drop("longest_repeat")
 
 
 @query
