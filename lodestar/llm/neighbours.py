@@ -39,8 +39,9 @@ class ListSettings:
 
     A vector has at most ``copies`` postings and a query at most ``probes`` lists for a
     thousand lists, growing with the square root of their number. Lists are taken up to
-    ``ratio`` times the distance of the ``near``-th centroid. ``piece`` and ``block`` bound
-    the postings and queries of a cell, on average.
+    ``ratio`` times the distance of the ``near``-th centroid, ``least`` of them in any case
+    for a query. A walk keeps the best ``beam`` centroids, or twice the lists wanted.
+    ``piece`` and ``block`` bound the postings and queries of a cell, on average.
     """
 
     sample: int = 100_000
@@ -49,7 +50,9 @@ class ListSettings:
     probes: int = 96
     least_probes: int = 64
     near: int = 8
+    least: int = 24
     ratio: float = 1.15
+    beam: int = 64
     degree: int = 24
     piece: int = 4_096
     block: int = 1_024
@@ -201,16 +204,17 @@ def nearest_by_lists(
     posted = rows.select("vec_id", "v").withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1)
     asked = rows.filter("asks").groupBy("v").agg(F.min("vec_id").alias("query"))
 
-    def lists_of(most: int, near: int, lift: bool):
+    def lists_of(most: int, near: int, least: int, lift: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     v = _matrix(part.column(1), dimension)
                     lifted = _lifted(v, longest) if lift else np.concatenate([v, np.zeros((len(v), 1))], 1)
-                    ids, far = graph.value.search(lifted, 2 * most)
+                    ids, far = graph.value.search(lifted, max(settings.beam, 2 * most))
                     anchor = far[:, min(near, far.shape[1]) - 1]
                     chosen = far <= settings.ratio**2 * anchor[:, None]
+                    chosen[:, :least] = True
                     chosen[:, most:] = False
                     chosen &= np.isfinite(far)
                     row = np.repeat(np.arange(len(v)), chosen.sum(1))
@@ -222,8 +226,8 @@ def nearest_by_lists(
         return run
 
     kinds = "id long, v binary, list int"
-    postings = stage(posted.select("vec_id", "v").mapInArrow(lists_of(settings.copies, settings.copies // 2, True), kinds))
-    probes = stage(asked.select("query", "v").mapInArrow(lists_of(most_probes, settings.near, False), kinds))
+    postings = stage(posted.select("vec_id", "v").mapInArrow(lists_of(settings.copies, settings.copies // 2, 1, True), kinds))
+    probes = stage(asked.select("query", "v").mapInArrow(lists_of(most_probes, settings.near, settings.least, False), kinds))
     # one row per list, so the sides joined are bounded by ``most_lists``
     pieces = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.piece).cast("int").alias("pieces"))
     blocks = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias("blocks"))
