@@ -193,8 +193,7 @@ def _deduped(
         joined.select(
             "_row", "_id", "_t", n_lines, "_gone", "_open", F.when(waits, F.col("_text")).alias("_text"),
             F.when(~waits, output(_stay(F.col("_gone")))).alias("_out"),
-        ),
-        "zstd",
+        )
     )
     waiting = passed.filter("size(_open) > 0")
     opened = waiting.select(
