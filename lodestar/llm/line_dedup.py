@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.sources.staging import stage
+from lodestar.sources.staging import stage, staging_path
 
 MIN_CHARS = 20
 MIN_WORDS = 8
@@ -150,6 +150,13 @@ def _one_word_apart(a: Column, b: Column) -> Column:
     return (F.abs(size_a - size_b) <= 1) & (rest_a == rest_b)
 
 
+def _stage_texts(df: DataFrame) -> DataFrame:
+    """As ``stage``, for whole texts, with a codec that takes less disk."""
+    path = staging_path(df.sparkSession)
+    df.write.option("compression", "gzip").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _stay(gone: Column) -> Column:
     """The lines of ``_text`` but those at the places listed."""
     return F.array_join(F.filter(F.split("_text", "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
@@ -189,7 +196,7 @@ def _deduped(
     )
     waits = F.size("_open") > 0
     n_lines = F.coalesce(F.array_size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines")
-    passed = stage(
+    passed = _stage_texts(
         joined.select(
             "_row", "_id", "_t", n_lines, "_gone", "_open", F.when(waits, F.col("_text")).alias("_text"),
             F.when(~waits, output(_stay(F.col("_gone")))).alias("_out"),
