@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.line_dedup import without_repeated_lines
+from lodestar.llm.line_dedup import EVERY_LINE, without_repeated_lines
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.packing import pack
 from lodestar.llm.pii_crf import find_personal_data, fit_pii_field
@@ -41,8 +41,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier line, or nearly."""
-    return _with_text(docs, without_repeated_lines(docs), "text")
+    """Documents without the lines that repeat an earlier line, or nearly, however short."""
+    return _with_text(docs, without_repeated_lines(docs, **EVERY_LINE), "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

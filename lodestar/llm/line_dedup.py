@@ -3,11 +3,16 @@
 A line is compared by its words. Lines of fewer than ``min_chars`` characters or without a
 word are left alone. A line goes when an earlier line, by ``doc_id`` and then by its place,
 has the same words, or when both have ``min_words`` words and inserting, deleting or
-replacing one word makes them equal. All lines are judged on the input, so the earliest
-always stays.
+replacing one word makes them equal. With ``short_bytes`` lines of fewer words, as all are in
+scripts without spaces, are held against each other by characters: one goes when both have
+that many bytes of UTF-8, words joined by one space, and one character makes them equal. All
+lines are judged on the input, so the earliest always stays.
+
+The defaults are those of the SQL of ``op8_line_neighbourhoods``. ``EVERY_LINE`` are the
+parameters under which every line with a word is compared.
 
 Near lines are found by their deletion neighbourhood: a line's variants are what is left
-when one word is taken out. Two lines differ by one replaced word when variants taken out
+when one word is taken out; in a short line a character stands for a word. Two lines differ by one replaced word when variants taken out
 at the same place are equal, and by one inserted word when a variant of the longer equals
 the shorter. Variants are emitted as hashes, equal ones meet in an aggregate that keeps the
 earliest line, and the match is verified on the words themselves. As any line that
@@ -31,6 +36,7 @@ from lodestar.sources.staging import stage, staging_path
 
 MIN_CHARS = 20
 MIN_WORDS = 8
+EVERY_LINE = {"min_chars": 1, "short_bytes": 20}
 
 _BLANKS = "\t\x0b\f\r"
 _PLACE = ("doc_id", "t", "line_no")
@@ -41,6 +47,17 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.translate(line, _BLANKS, "    "), " "), lambda w: w != "")
 
 
+def _units(words: Column, min_words: int, short_bytes: int | None) -> Column:
+    """What may differ by one: words, or characters of a short line; null if it has too few."""
+    long = F.when(F.size(words) >= min_words, words)
+    if short_bytes is None:
+        return long
+    joined = F.array_join(words, " ")
+    # no word has a space, so characters never equal words
+    characters = F.transform(F.split(joined, ""), lambda c: F.concat(F.lit(" "), c))
+    return long.when(F.octet_length(joined) >= short_bytes, characters)
+
+
 def _hash(*parts: Column | int) -> Column:
     return F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
 
@@ -57,10 +74,10 @@ def _thirds(n: Column) -> Column:
     """Hashes of two of three parts of a line, for its own length and the length below."""
 
     def parts(third: Column) -> Column:
-        first, last = F.slice("w", F.lit(1), third), F.slice("w", n - third + 1, third)
+        first, last = F.slice("u", F.lit(1), third), F.slice("u", n - third + 1, third)
         return F.array(
-            _hash(third, 1, F.slice("w", F.lit(1), 2 * third)),
-            _hash(third, 2, F.slice("w", n - 2 * third + 1, 2 * third)),
+            _hash(third, 1, F.slice("u", F.lit(1), 2 * third)),
+            _hash(third, 2, F.slice("u", n - 2 * third + 1, 2 * third)),
             _hash(third, 3, first, last),
         )
 
@@ -68,15 +85,15 @@ def _thirds(n: Column) -> Column:
     return F.flatten(F.transform(sizes, parts))
 
 
-def _lines(source: DataFrame, min_chars: int, min_words: int) -> DataFrame:
+def _lines(source: DataFrame, min_chars: int, min_words: int, short_bytes: int | None) -> DataFrame:
     """One row per line that counts: its place, two hashes of its words and of its thirds."""
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     rows = source.select("doc_id", "t", line).filter(F.char_length("line") >= min_chars)
     rows = rows.select(*_PLACE, _words(F.col("line")).alias("w")).filter(F.size("w") > 0)
-    n = F.size("w")
+    rows = rows.select("*", _units(F.col("w"), min_words, short_bytes).alias("u"))
     return rows.select(
         *_PLACE, _hash(F.col("w")).alias("h1"), _hash(7, F.col("w")).alias("h2"),
-        F.when(n >= min_words, _thirds(n)).alias("thirds"),
+        F.when(F.col("u").isNotNull(), _thirds(F.size("u"))).alias("thirds"),
     )
 
 
@@ -88,9 +105,9 @@ def _may_be_near(different: DataFrame) -> DataFrame:
 
 
 def _near(texts: DataFrame) -> DataFrame:
-    """The lines that are one word away from an earlier one.
+    """The lines that are one word away from an earlier one, or one character if short.
 
-    ``texts`` has ``line``, a number in the order of places, and the words ``w``.
+    ``texts`` has ``line``, a number in the order of places, and as ``w`` the words or characters.
     """
     each = texts.select("line", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     bits = 20
@@ -163,14 +180,15 @@ def _stay(gone: Column) -> Column:
 
 
 def _deduped(
-    docs: DataFrame, text: str, own: list[str], output: Callable[[Column], Column], min_chars: int, min_words: int
+    docs: DataFrame, text: str, own: list[str], output: Callable[[Column], Column], min_chars: int, min_words: int,
+    short_bytes: int | None,
 ) -> DataFrame:
     """The columns ``own``, ``n_lines``, ``n_removed`` and what ``output`` makes of the kept text."""
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
         F.hash(F.col(f"`{text}`")).alias("t"),
     )
-    lines = stage(_lines(source, min_chars, min_words))
+    lines = stage(_lines(source, min_chars, min_words, short_bytes))
     different = stage(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct(*_PLACE)).alias("place"), F.count(F.lit(1)).alias("many"), F.first("thirds").alias("thirds")
@@ -207,7 +225,8 @@ def _deduped(
         F.col("_id").alias("doc_id"), F.col("_t").alias("t"), F.explode("_open").alias("line_no"), "_text"
     )
     words = opened.select(*_PLACE, _words(F.get(F.split("_text", "\n"), F.col("line_no"))).alias("w"))
-    ordered = words.dropDuplicates(list(_PLACE)).repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+    units = words.select(*_PLACE, _units(F.col("w"), min_words, short_bytes).alias("w"))
+    ordered = units.dropDuplicates(list(_PLACE)).repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
     texts = stage(ordered.withColumn("line", F.monotonically_increasing_id()))
     near = (
         _near(texts.select("line", "w")).join(texts.drop("w"), "line")
@@ -225,31 +244,35 @@ def _deduped(
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text",
+    short_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``n_lines``, ``n_removed`` and ``kept_text`` to every row; all columns are kept.
 
     ``kept_text`` has the lines that stay, unchanged; it is null for a null text.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")]
-    out = _deduped(docs, text, own, lambda kept: kept, min_chars, min_words)
+    out = _deduped(docs, text, own, lambda kept: kept, min_chars, min_words, short_bytes)
     return out.withColumnRenamed("_out", "kept_text")
 
 
 def without_repeated_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text",
+    short_bytes: int | None = None,
 ) -> DataFrame:
     """The same columns, with only the lines that stay in the text."""
     own = [c for c in docs.columns if c != text]
-    out = _deduped(docs, text, own, lambda kept: kept, min_chars, min_words)
+    out = _deduped(docs, text, own, lambda kept: kept, min_chars, min_words, short_bytes)
     return out.select(*[F.col("_out" if c == text else f"`{c}`").alias(c) for c in docs.columns])
 
 
 def line_digests(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text"
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, text: str = "text",
+    short_bytes: int | None = None,
 ) -> DataFrame:
     """Per document ``n_lines``, ``n_removed`` and the SHA-256 of the lines that stay."""
     out = _deduped(
-        docs, text, ["doc_id"], lambda kept: F.sha2(F.coalesce(kept, F.lit("")), 256), min_chars, min_words
+        docs, text, ["doc_id"], lambda kept: F.sha2(F.coalesce(kept, F.lit("")), 256), min_chars, min_words,
+        short_bytes,
     )
     return out.withColumnRenamed("_out", "kept_sha256")

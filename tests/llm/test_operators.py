@@ -174,6 +174,60 @@ def test_near_lines_of_few_words(spark):
     assert Counter(map(tuple, found.collect())) == brute_lines(data)
 
 
+def brute_every_line(data):
+    """Kept texts by id when every line with a word counts, of texts without nulls or copies."""
+
+    def form(line):
+        words = tuple(WORD.findall(line))
+        joined = " ".join(words)
+        units = words if len(words) >= 8 else joined if len(joined.encode()) >= 20 else None
+        return words, units
+
+    def apart(a, b):
+        if type(a) is not type(b) or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        long, short = (a, b) if len(a) > len(b) else (b, a)
+        return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+    seen, out = {}, {}
+    for i, text, *_ in sorted(data):
+        kept = []
+        for line in text.split("\n"):
+            words, units = form(line)
+            again = words in seen or units is not None and any(apart(units, u) for u in seen.values() if u is not None)
+            if not words or not again:
+                kept.append(line)
+            if words:
+                seen.setdefault(words, units)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_pipeline_compares_every_line(spark):
+    rng = random.Random(5)
+    short = ["Home | About | Contact", "Read  more", "By Jane", "}", "--- \t", "次の記事", "w1 w2 w3 w4 w5 w6 w7 w8 w9"]
+    chinese = "".join(chr(0x4E00 + rng.randrange(500)) for _ in range(60))
+    spaced = "a b c d e f g h i j k l m n o p q r s t"
+    near = [
+        chinese, chinese[:20] + "变" + chinese[21:], chinese[:41] + chinese[42:], chinese[:7], chinese[:6] + "变",
+        chinese[:6], "字" + chinese[:5], "an unspaced 𝒳 heading", "an unspaced 𝒴 heading", "an unspaced  heading!",
+        "Subscribe to our letter", "Subscribe to our letters", "Subscribed to our letters", "Chapter 1", "Chapter 2",
+        spaced, spaced.replace(" ", ""), spaced.replace(" ", "")[:-1], "one two three four five six seven",
+        "one two three four five six seven eight", "one two three four five six sevene ight",
+    ]
+    data = []
+    for i in range(25):
+        lines = rng.sample(short, 4) + rng.sample(near, 5) + ["", f"only here {i * 1234567}"]
+        rng.shuffle(lines)
+        data.append((i, "\n".join(lines), *[None] * 7))
+    found = corpus_pipeline.line_dedup(spark, frame(spark, data), "unused")
+    kept = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert kept == brute_every_line(data)
+    assert "\n".join(kept.values()).count("Home | About | Contact") == 1
+
+
 def test_lines_use_no_python(docs):
     plan = line_digests(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
