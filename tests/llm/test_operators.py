@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from odd_rows import SCHEMA, frame, rows
+from odd_rows import SCHEMA, frame, prose, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -459,6 +459,58 @@ def test_packing_of_odd_rows(docs, none, weights):
     assert pack(none, TOKENIZER, 2).count() == 0
 
 
+def packed_by_source(spark, texts, weights, window):
+    """Tokens by sequence and source, after testing that every token is packed once, without gaps."""
+    data = [(i, text, None, source, *[None] * 5) for i, (source, text) in enumerate(texts)]
+    found = pack(frame(spark, data), TOKENIZER, 2, weights, window, with_ids=True).collect()
+    by_doc, by_sequence, given = defaultdict(list), defaultdict(list), Counter()
+    for r in found:
+        by_doc[r["doc_id"]].append((r["start"], bytes(r["ids"])))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        given[r["sequence_id"], texts[r["doc_id"]][0]] += r["length"]
+    known = {text: np.array(ids_of(text), "<u4").tobytes() for text in {t for _, t in texts}}
+    for i, (_, text) in enumerate(texts):
+        assert b"".join(ids for _, ids in sorted(by_doc[i])) == known[text]
+    for sequence in by_sequence.values():
+        at = 0
+        for offset, length in sorted(sequence):
+            assert offset == at
+            at += length
+    total = sum(len(k) for k in (known[t] for _, t in texts)) // 4
+    return given, total
+
+
+@pytest.mark.parametrize("window", [512, 4096])
+def test_packing_deals_many_small_sources(spark, window):
+    rng = random.Random(2)
+    text = prose(rng, [f"w{i}" for i in range(50)], 12)
+    texts = [(f"s{i}", text) for i in range(3000)] + [("big", text)] * 1500
+    rng.shuffle(texts)
+    given, total = packed_by_source(spark, texts, None, window)
+    each = len(ids_of(text))
+    turn = max(1, window // 1024)
+    had = Counter()
+    for sequence in range(total // window):
+        assert abs(given[sequence, "big"] - window / 3) <= 1
+        for i in range(3000):
+            had[i] += given[sequence, f"s{i}"]
+            assert abs(had[i] - (sequence + 1) * window * each / total) <= 4 * turn
+
+
+def test_packing_gives_small_sources_their_weights(spark):
+    rng = random.Random(4)
+    text = prose(rng, [f"w{i}" for i in range(50)], 12)
+    texts = [("big", text)] * 1500 + [("small", text)] * 10 + [(f"s{i}", text) for i in range(200)]
+    rng.shuffle(texts)
+    weights = {"big": 0.4, "small": 0.2, **{f"s{i}": 0.4 / 200 for i in range(200)}}
+    given, _ = packed_by_source(spark, texts, weights, 512)
+    lasts = min(10 * len(ids_of(text)) // 103, 200 * len(ids_of(text)) // 205)
+    for sequence in range(lasts):
+        assert abs(given[sequence, "small"] - 0.2 * 512) <= 1
+        assert abs(sum(given[sequence, f"s{i}"] for i in range(200)) - 0.4 * 512) <= 1
+        assert max(given[sequence, f"s{i}"] for i in range(200)) <= 5
+
+
 def test_sentence_pieces_of_odd_rows(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentence_pieces(path)._library
