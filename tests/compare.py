@@ -17,6 +17,11 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def rows(df) -> list[tuple]:
+    """Rows as a sorted list of tuples."""
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is None, str(v)) for v in r])
+
+
 def _bag(names: list[str], rows: list) -> tuple[list[str], Counter]:
     order = sorted(range(len(names)), key=names.__getitem__)
     return [names[i] for i in order], Counter(

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from compare import rows
 
 from lodestar.operators.clean import (
     replace_with_default,

@@ -1,7 +1,7 @@
 import itertools
 
 import pytest
-from conftest import rows
+from compare import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

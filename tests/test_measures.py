@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from lodestar.operators.measures import (

@@ -5,7 +5,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark import cloudpickle
 
 from lodestar.operators.lineage import (

@@ -2,7 +2,7 @@ import datetime as dt
 import os
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
