@@ -78,3 +78,90 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents
           UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other)
 SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id
 """
+
+_FILTERS = "ABCDE"
+
+INTERACTIONS = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, part,
+             (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails FROM d),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+      FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(string_split('{_FILTERS}', '')) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+           FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, 1 << (instr('{_FILTERS}', substr(filter_order, step, 1)) - 1) AS bit,
+                 list_sum([0] || list_transform(range(1, step),
+                          lambda k: 1 << (instr('{_FILTERS}', substr(filter_order, k, 1)) - 1)))::BIGINT AS before
+          FROM orders, range(1, 6) AS t(step)),
+r AS (SELECT part, filter_order, step, bit,
+             coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed,
+             coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost
+      FROM c, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM r
+"""
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+def _cells(pattern: str, cells: int) -> str:
+    return ", ".join(pattern.format(j=j) for j in range(cells))
+
+
+def _level(i: int, cells: int, most_branches: int, most_distance: float) -> str:
+    """One level of the path tree: from t{i} to t{i + 1}."""
+    label = ("good", "bad", "n - good - bad")
+    sums = ", ".join(f"sum(CASE WHEN kind = {j // 3} THEN {label[j % 3]} ELSE 0 END)::BIGINT AS c{j}" for j in range(cells))
+    overlap = " + ".join(f"sqrt((c{j} / n) * ((w{j} - c{j}) / (whole - n)))" for j in range(cells))
+    used = " + ".join(f"(w{j} > 0)::INT" for j in range(cells))
+    return f"""
+h{i} AS (SELECT *, CASE WHEN len(s) > {i} THEN s[{i + 1}] END AS segment,
+                CASE WHEN len(s) <= {i + 1} THEN 0 WHEN s[{i + 2}] = '#' THEN 1 WHEN contains(s[{i + 2}], '#') THEN 2
+                     WHEN contains(s[{i + 2}], '.') THEN 3 ELSE 4 END AS kind FROM t{i}),
+b{i} AS (SELECT host, node, segment, sum(n)::BIGINT AS n, {sums} FROM h{i} WHERE segment IS NOT NULL GROUP BY ALL),
+w{i} AS (SELECT *, count(*) OVER p AS width, sum(n) OVER p::BIGINT AS whole, {_cells("sum(c{j}) OVER p::BIGINT AS w{j}", cells)}
+         FROM b{i} WINDOW p AS (PARTITION BY host, node)),
+o{i} AS (SELECT host, node, segment FROM w{i} WHERE width = 1 OR (width <= {most_branches} AND
+         1.0::DOUBLE - ({overlap}) - ({used} - 1) / (8.0::DOUBLE * n) - ({used} - 1) / (8.0::DOUBLE * (whole - n)) > {most_distance}::DOUBLE)),
+t{i + 1} AS (SELECT host, path, s, n, good, bad,
+                    CASE WHEN segment IS NULL THEN node WHEN (host, node, segment) IN (FROM o{i}) THEN node || '/' || segment
+                         ELSE node || '/?' END AS node FROM h{i})"""
+
+
+def urls(rules: list[tuple[str, str, bool]], levels: int, most_branches: int, most_distance: float, least_purity: float, cells: int) -> str:
+    """Verdicts by rules (host, path, allow) and templates; the longest rule that fits counts."""
+    order = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for h, p, _ in order)
+    allowed = ", ".join(f"'{h}{p}'" for h, p, allow in rules if allow)
+    tree = ",".join(_level(i, cells, most_branches, most_distance) for i in range(levels))
+    segments = """list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x:
+    CASE WHEN regexp_full_match(x, '[0-9A-Fa-f-]{16,}') THEN '#' ELSE regexp_replace(x, '[0-9]+', '#', 'g') END)"""
+    return f"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+q AS (SELECT *, CASE {rule} END AS rule, {segments} AS s FROM p),
+t0 AS (SELECT host, array_to_string(s, '/') AS path, s, count(*) AS n, count(*) FILTER (rule IN ({allowed})) AS good,
+              count(*) FILTER (rule NOT IN ({allowed})) AS bad, '' AS node FROM q GROUP BY ALL),{tree},
+t AS (SELECT host, path, node || CASE WHEN len(s) > {levels} THEN '/??' ELSE '' END AS template, good, bad FROM t{levels}),
+v AS (SELECT host, path, template,
+             (sum(bad) OVER x + 1) / (sum(bad) OVER x + sum(good) OVER x + 2) >= {least_purity} AS rejected
+      FROM t WINDOW x AS (PARTITION BY host, template))
+SELECT page_id, q.host, q.path, rule, template,
+       CASE WHEN CASE WHEN rule IS NULL THEN NOT rejected ELSE rule IN ({allowed}) END THEN 'allow' ELSE 'block' END AS verdict
+FROM q LEFT JOIN v ON v.host = q.host AND v.path = array_to_string(s, '/')
+"""

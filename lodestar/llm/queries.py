@@ -14,25 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import oracles
+from lodestar.llm.filter_audit import audit_filters
 from lodestar.llm.line_dedup import line_digests
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.neighbours import nearest_by_lists
 from lodestar.llm.packing import pack
 from lodestar.llm.pii_crf import find_personal_data, fit_pii_field
 from lodestar.llm.quality_rules import score_quality
+from lodestar.llm.resampling import resample
 from lodestar.llm.sentence_pieces import encode_and_decode
 from lodestar.llm.shipping import ship_package
 from lodestar.llm.substrings import remove_repeats
 from lodestar.llm.toxicity import fit_toxicity, score_toxicity
+from lodestar.llm.url_templates import CELLS, Rule, TemplateSettings, judge_urls
 from lodestar.llm.wavelet import read_token_shards, write_token_shards
 from lodestar.sources.tables import read_table
 
+URL_RULES = [
+    Rule("com", "/", True), Rule("example.com", "/en/", False), Rule("www.example.com", "/en/", True),
+    Rule("net", "/es/", False), Rule("net", "/fr/", False),
+]
+TEMPLATES = TemplateSettings()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op4_bagminhash": oracles.NEAR_DUPLICATES,
     "op6_suffix_repetition": oracles.QUALITY,
     "op8_line_neighbourhoods": oracles.LINES,
     "op9_repeated_windows": oracles.REPEATS,
+    "op12_path_templates": oracles.urls(
+        [(r.host, r.path, r.allow) for r in URL_RULES], TEMPLATES.levels, TEMPLATES.most_branches,
+        TEMPLATES.most_distance, TEMPLATES.least_purity, CELLS,
+    ),
+    "op13_filter_interactions": oracles.INTERACTIONS,
 }
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -118,3 +132,28 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by a SentencePiece model, and the text decoded from them."""
     return encode_and_decode(read_table(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark, and ranks of the tenth drawn."""
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by the listed rules, else by the template of its path."""
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES, settings=TEMPLATES)
+
+
+@query
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by source."""
+    fails = [
+        ("A", F.col("n_words") < 200),
+        ("B", 100 * F.col("n_distinct") < 50 * F.col("n_words")),
+        ("C", 100 * F.col("n_capitals") > 2 * F.col("n_points")),
+        ("D", F.col("n_symbols") > 0),
+        ("E", F.col("copy")),
+    ]
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), fails)
