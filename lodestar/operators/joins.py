@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from enum import IntEnum
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import quoted
 from lodestar.operators.ordered import matches
-from lodestar.sources.staging import stage
 
 
 class RowIntegrity(IntEnum):
@@ -227,33 +227,80 @@ class Star:
         )
 
 
-def _segments(text: Column, limit: int) -> Column:
-    """A text cut into ``limit + 1`` even parts, each with the text's length and its number."""
-    n, parts = F.char_length(text), limit + 1
-    return F.array(*[
-        F.struct(
-            n.alias("length"), F.lit(i).alias("part"),
-            F.substring(text, (F.floor(n * i / parts) + 1).cast("int"), (F.floor(n * (i + 1) / parts) - F.floor(n * i / parts)).cast("int")).alias("piece"),
-        )
-        for i in range(parts)
-    ])
-
-
-def _shared_pieces(text: Column, limit: int) -> Column:
-    """The pieces a text within ``limit`` edits can have, for every length it can have."""
-    n, parts = F.char_length(text), limit + 1
-    found = []
-    for more in range(-limit, limit + 1):
-        length = n + more
-        for i in range(parts):
-            start = F.floor(length * i / parts)
-            size = F.floor(length * (i + 1) / parts) - start
-            for shift in range(-limit, limit + 1):
-                at = start + shift
-                fits = (length >= 0) & (at >= 0) & (at + size <= n)
-                piece = F.substring(text, (at + 1).cast("int"), size.cast("int"))
-                found.append(F.when(fits, F.struct(length.alias("length"), F.lit(i).alias("part"), piece.alias("piece"))))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+def _without_one(texts: Column) -> Column:
+    """Every text of an array with one character left out, at every place."""
+
+    def cut(text: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+        return F.transform(places, lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))
+
+    return F.array_distinct(F.flatten(F.transform(texts, cut)))
+
+
+def _deletion_keys(text: Column, limit: int) -> Column:
+    """Hashes of the text with up to ``limit`` characters left out.
+
+    Texts within the limit have one of these in common.
+    """
+    level = F.array(text)
+    levels = [level]
+    for _ in range(limit):
+        level = _without_one(level)
+        levels.append(level)
+    return F.array_distinct(F.transform(F.concat(*levels), lambda t: F.xxhash64(t)))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Every run of ``size`` characters with its place."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1)))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.substr(text, i, F.lit(size)).alias("gram")))
+
+
+def _rarest_apart(grams: str, size: int, n: int) -> Column:
+    """The first n entries of an array in order of rarity that do not overlap."""
+    none = F.filter(grams, lambda _: F.lit(False))
+
+    def add(chosen: Column, gram: Column) -> Column:
+        apart = F.forall(chosen, lambda c: F.abs(c["place"] - gram["place"]) >= size)
+        return F.when(apart & (F.size(chosen) < n), F.concat(chosen, F.array(gram))).otherwise(chosen)
+
+    return F.aggregate(grams, none, add)
+
+
+def near_candidates(a: DataFrame, b: DataFrame, limit: int, most_keys: int = 2_000) -> DataFrame:
+    """Pairs (_a, _b, _key) of texts that hold every pair within ``limit`` edits.
+
+    Texts meet in a deletion key: one text with some characters left out is the other with
+    some left out. A key covers a whole text, so what many texts share, as a common prefix,
+    makes no pairs. Texts with more than ``most_keys`` keys meet in grams instead: of
+    limit + 1 runs apart from each other one is whole in any text within the limit, at most
+    ``limit`` places away, and those are taken that the fewest texts of ``b`` have there.
+    """
+    longest = 0
+    while sum(comb(longest + 1, j) for j in range(limit + 1)) <= most_keys:
+        longest += 1
+    # any place that is picked rules out fewer than two sizes of places around it
+    size = (longest - limit + 1 + limit) // (2 * limit + 1)
+    if size < 1:
+        raise ValueError(f"most_keys is too small for a limit of {limit}")
+    n, m = F.char_length("_a"), F.char_length("_b")
+    keys = a.filter(n <= longest).select("_a", F.explode(_deletion_keys(F.col("_a"), limit)).alias("_on"))
+    held = b.filter(m <= longest).select("_b", "_key", F.explode(_deletion_keys(F.col("_b"), limit)).alias("_on"))
+    short = keys.join(held, "_on").select("_a", "_b", "_key")
+
+    every = b.filter(m > longest - limit).select("_b", "_key", F.inline(_grams(F.col("_b"), size)))
+    count = every.groupBy("place", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = (
+        every.join(count, ["place", "gram"]).groupBy("_b", "_key")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "place", "gram"))).alias("grams"))
+        .select("_b", "_key", F.inline(_rarest_apart("grams", size, limit + 1)))
+        .select("_b", "_key", "place", "gram")
+    )
+    asked = a.filter(n > longest - limit).select("_a", F.inline(_grams(F.col("_a"), size))).select(
+        "_a", "gram", F.explode(F.sequence(F.col("place") - limit, F.col("place") + limit)).alias("place")
+    )
+    long = asked.join(rare, ["place", "gram"]).select("_a", "_b", "_key")
+    return short.unionByName(long).filter(F.abs(n - m) <= limit)
 
 
 def closest_texts(
@@ -261,26 +308,24 @@ def closest_texts(
 ) -> DataFrame:
     """For each left text the right text within ``limit`` edits: closest, then least key.
 
-    Of n + 1 parts of a text at least one is whole in any text within n edits, shifted by
-    n places at most, so an equality join on these few parts finds every pair without
-    comparing all texts with all others. Distinct texts only; ``limit`` of 1 or 2 for names.
+    Distinct texts only; an equal text ends the search, the others are compared with the
+    ``near_candidates``.
     """
-    a = left.select(F.col(text).alias("_a")).filter("_a is not null").distinct()
     b = right.filter(F.col(other).isNotNull()).groupBy(F.col(other).alias("_b")).agg(
         F.min(key).alias("_key")
     )
-    asked = a.select("_a", F.inline(_shared_pieces(F.col("_a"), limit)))
-    held = b.select("_b", "_key", F.inline(_segments(F.col("_b"), limit)))
-    distance = F.levenshtein("_a", "_b", limit)
-    pairs = (
-        asked.join(held, ["length", "part", "piece"])
-        .select("_a", "_key", distance.alias("_distance"))
+    asked = left.select(F.col(text).alias("_a")).filter("_a is not null").distinct()
+    met = asked.join(b, F.col("_a") == F.col("_b"), "left")
+    near = (
+        near_candidates(met.filter("_b is null").select("_a"), b, limit)
+        .select("_a", "_key", F.levenshtein("_a", "_b", limit).alias("_distance"))
         .filter(F.col("_distance") >= 0)
+        .groupBy("_a").agg(F.min(F.struct("_distance", "_key")).alias("_best"))
+        .select("_a", "_best.*")
     )
-    best = pairs.groupBy("_a").agg(F.min(F.struct("_distance", "_key")).alias("_best"))
-    return best.select(
-        F.col("_a").alias(text), F.col("_best._distance").alias("distance"),
-        F.col("_best._key").alias(key),
+    same = met.filter("_b is not null").select("_a", F.lit(0).alias("_distance"), "_key")
+    return same.unionByName(near).select(
+        F.col("_a").alias(text), F.col("_distance").alias("distance"), F.col("_key").alias(key)
     )
 
 
@@ -306,12 +351,15 @@ def cascade_match(
         .agg(F.min(key).alias("_exact"))
     )
     whole = reduce(Column.__and__, [F.col(f"`{a}`").isNotNull() for a in on])
-    same = matches(on, names, match_nulls=False)
-    keyed = left.filter(whole)
-    matched = keyed.join(first, same)
+    none = F.lit(None).cast(right.schema[key].dataType)
     # rows that miss a key need no join to be open
-    open_rows = stage(keyed.join(first, same, "left_anti").unionByName(left.filter(~whole)))
+    tried = (
+        left.filter(whole).join(first, matches(on, names, match_nulls=False), "left")
+        .select(*quoted(left.columns), "_exact")
+        .unionByName(left.filter(~whole).withColumn("_exact", none))
+    )
     text, other = fuzzy
+    open_rows = tried.filter("_exact is null").drop("_exact")
     close = closest_texts(open_rows, text, right, other, key, limit).select(
         F.col(text).alias("_text"), F.col(key).alias("_found"), F.col("distance").alias("_distance")
     )
@@ -320,10 +368,9 @@ def cascade_match(
     def outcome(rows: DataFrame, found: Column, rule: Column, distance: Column) -> DataFrame:
         return rows.select(*quoted(left.columns), found.alias(key), rule.alias("rule"), distance.alias("distance"))
 
-    none = F.lit(None).cast(right.schema[key].dataType)
     fuzzy_rule = F.when(F.col("_found").isNotNull(), "fuzzy")
     return (
-        outcome(matched, F.col("_exact"), F.lit("exact"), F.lit(0))
+        outcome(tried.filter("_exact is not null"), F.col("_exact"), F.lit("exact"), F.lit(0))
         .unionByName(outcome(named, F.col("_found"), fuzzy_rule, F.col("_distance")))
         .unionByName(outcome(open_rows.filter(F.col(text).isNull()), none, F.lit(None).cast("string"), F.lit(None).cast("int")))
     )

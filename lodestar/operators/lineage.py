@@ -165,56 +165,97 @@ def unused_measures(
 ) -> tuple[DataFrame, int]:
     """Measures nothing refers to, found in rounds, and the number of rounds run.
 
-    ``measures`` has report, table, name and expression; ``refs`` has report, entity
-    and name. Each round drops the measures that neither a report part nor the
+    ``measures`` has report, table, name and expression, ``refs`` report, entity and name;
+    repeated rows count once. Each round drops the measures that neither a report part nor the
     expression of a remaining measure refers to, until none is left to drop; the last,
     empty round is counted. Self-references and cycles keep a measure. All reports are
     treated at once. With ``max_rounds`` more rounds than that are an error.
 
-    The references to a name are counted once; a round only subtracts those of the
-    names that the round before dropped.
+    The round of a name is one more than the latest round of its callers. Where all callers
+    but one are settled, it is a function max(m, x + w) of that caller's round x, and such
+    functions are closed under composition. So each pass settles what it can and lets every
+    name with a single open caller point past it, which halves the way of a long chain: the
+    passes grow with the logarithm of the depth.
     """
-    by_name = ["report", "name"]
-    measures = stage(measures.select("report", "table", "name", "expression"))
+    names = stage(_names(measures, refs))
+    state = stage(_first_state(names))
+    while True:
+        state = stage(_next_state(state))
+        left = state.agg(F.bool_or("moved").alias("moved"), F.bool_or(F.col("caller").isNotNull()).alias("open")).first()
+        if not (left["moved"] and left["open"]):
+            break
+    dropped = _nodes(state).filter("callers = 0 and not kept").select("node", F.col("m").alias("round"))
+    last = dropped.agg(F.max("round")).first()[0] or 0
+    if max_rounds is not None and last >= max_rounds:
+        raise ValueError(f"more than {max_rounds} rounds are needed")
+    found = names.join(dropped, "node").select("report", "name", F.inline("tables"), "round")
+    return found.select("report", "name", "table", "round"), last + 1
+
+
+def _names(measures: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each report and name with a number, its tables and calls, and if a part shows it."""
     shown = refs.select(
-        F.col("report").alias("_report"), F.col("name").alias("_name"), "entity"
+        F.col("report").alias("_report"), F.col("name").alias("_name"), F.col("entity").alias("_entity")
     ).distinct()
-    hits = measures.select("report", "name", "table").join(
-        shown,
-        (F.col("report") == F.col("_report")) & (F.col("name") == F.col("_name"))
-        & (F.col("entity").isNull() | (F.col("entity") == F.col("table"))),
-        "left_semi",
-    ).select(*by_name).distinct().withColumn("shown", F.lit(True))
-    names = measures.select(*by_name).distinct()
-    calls = stage(
-        expression_references(
-            measures.select("report", F.col("name").alias("from"), "expression"), "expression", "name"
-        ).distinct().join(names, by_name, "left_semi")
+    same = (F.col("report") == F.col("_report")) & (F.col("name") == F.col("_name"))
+    hit = same & (F.col("_entity").isNull() | (F.col("_entity") == F.col("table")))
+    return (
+        measures.select("report", "name", "table", "expression").join(shown, hit, "left")
+        .groupBy("report", "name").agg(
+            F.bool_or(F.col("_name").isNotNull()).alias("kept"), F.collect_set(F.struct("table")).alias("tables"),
+            F.array_distinct(F.flatten(F.collect_set(bracket_references("expression")))).alias("calls"),
+        )
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    # an unshown name and the number of names that refer to it
-    open_names = stage(
-        names.join(hits, by_name, "left_anti")
-        .join(calls.groupBy(*by_name).agg(F.count(F.lit(1)).alias("calls")), by_name, "left")
-        .withColumn("calls", F.coalesce("calls", F.lit(0)))
+
+
+def _first_state(names: DataFrame) -> DataFrame:
+    """A row per name, and one per call of it, in numbers.
+
+    Columns node, ``caller`` (open, or null), m and w as in ``unused_measures``, and
+    ``kept`` (the name stays).
+    """
+    calls = names.select("report", F.col("node").alias("caller"), F.explode("calls").alias("name")).join(
+        names.select("report", "name", "node"), ["report", "name"]
+    )
+    none, zero = F.lit(None).cast("long"), F.lit(0)
+    return names.select("node", none.alias("caller"), F.lit(1).alias("m"), zero.alias("w"), "kept").unionByName(
+        calls.select("node", "caller", zero.alias("m"), F.lit(1).alias("w"), F.lit(False).alias("kept"))
+    )
+
+
+def _nodes(state: DataFrame) -> DataFrame:
+    """Each name with its number of open callers, one of them, its function and if it stays."""
+    return state.groupBy("node").agg(
+        F.count("caller").alias("callers"), F.max("caller").alias("up"), F.max("m").alias("m"), F.max("w").alias("w"),
+        F.bool_or(F.col("kept") | F.coalesce(F.col("caller") == F.col("node"), F.lit(False))).alias("kept"),
+    )
+
+
+def _next_state(state: DataFrame) -> DataFrame:
+    """Callers that are settled become numbers, those with one open caller give way to it.
+
+    ``moved`` tells the calls whose caller was settled.
+    """
+    known = _nodes(state).filter("callers <= 1 or kept").select(
+        F.col("node").alias("_node"), "up", F.col("m").alias("_m"), F.col("w").alias("_w"), F.col("kept").alias("_kept")
+    )
+    rows = state.select("node", "caller", "m", "w", "kept")
+    met = rows.filter(F.col("caller").isNotNull()).join(known, F.col("caller") == F.col("_node"), "left")
+    found = F.col("_node").isNotNull()
+    stays = F.coalesce("_kept", F.lit(False))
+    moved = met.select(
+        "node",
+        F.when(stays, None).when(found, F.col("up")).otherwise(F.col("caller")).alias("caller"),
+        F.when(found & ~stays, F.greatest("m", F.col("_m") + F.col("w"))).otherwise(F.col("m")).alias("m"),
+        F.when(~found, F.col("w")).when(~stays & F.col("up").isNotNull(), F.col("w") + F.col("_w")).otherwise(0).alias("w"),
+        (F.col("kept") | stays).alias("kept"),
+        (found & (stays | F.col("up").isNull())).alias("moved"),
+    )
+    done = rows.filter(F.col("caller").isNull()).withColumn("moved", F.lit(False))
+    return done.unionByName(moved).groupBy("node", "caller").agg(
+        F.max("m").alias("m"), F.max("w").alias("w"), F.bool_or("kept").alias("kept"), F.bool_or("moved").alias("moved")
     )
-    newest = stage(open_names.filter("calls = 0").select(*by_name))
-    lost = newest.withColumn("n", F.lit(0).cast("long")).limit(0)
-    gone, rounds = [newest.withColumn("round", F.lit(1))], 1
-    while not newest.isEmpty():
-        if rounds == max_rounds:
-            raise ValueError(f"more than {max_rounds} rounds are needed")
-        rounds += 1
-        callers = newest.select("report", F.col("name").alias("from"))
-        less = calls.join(callers, ["report", "from"], "left_semi").groupBy(*by_name).agg(F.count(F.lit(1)).alias("n"))
-        sums = stage(
-            lost.unionByName(less).groupBy(*by_name).agg(F.sum("n").alias("n"))
-            .join(open_names, by_name)
-        )
-        newest = sums.filter("n = calls").select(*by_name)
-        lost = sums.filter("n < calls").select(*by_name, "n")
-        gone.append(newest.withColumn("round", F.lit(rounds)))
-    dropped = reduce(DataFrame.unionByName, gone)
-    return measures.join(dropped, by_name).select(*by_name, "table", "round"), rounds
 
 
 def dependency_closure(edges: DataFrame, seeds: DataFrame, key: str = "object") -> DataFrame:

@@ -260,6 +260,30 @@ def cascade_match_customers(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+WITH l AS (SELECT c_custkey AS ref, 'Custmer#' || substr(c_name, 10) AS title FROM customer WHERE c_mktsegment <> 'BUILDING'),
+p AS (SELECT c_custkey, ref, levenshtein(c_name, title) AS distance FROM customer, l
+      WHERE length(c_name) - length(title) BETWEEN -2 AND 2 AND levenshtein(c_name, title) <= 2)
+SELECT c_custkey, coalesce(arg_min(ref, distance * 10000000000 + ref), -1) AS ref,
+       CASE WHEN count(ref) > 0 THEN 'fuzzy' ELSE 'none' END AS rule, coalesce(min(distance), -1) AS distance
+FROM customer LEFT JOIN p USING (c_custkey) GROUP BY c_custkey
+""")
+def cascade_match_shared_prefix(t: Tables) -> DataFrame:
+    """Customers found within two edits in a list whose names all begin alike."""
+    other = t.customer.filter("c_mktsegment <> 'BUILDING'").select(
+        F.col("c_custkey").alias("ref"), (F.col("c_acctbal") + 0.5).alias("balance"),
+        F.concat(F.lit("Custmer#"), F.substring("c_name", 10, 100)).alias("title"),
+    )
+    found = cascade_match(
+        t.customer.select("c_custkey", "c_name", F.lit(-1e9).alias("c_acctbal")), other,
+        [("c_acctbal", "balance")], ("c_name", "title"), "ref", limit=2,
+    )
+    return found.select(
+        "c_custkey", F.coalesce("ref", F.lit(-1)).alias("ref"),
+        F.coalesce("rule", F.lit("none")).alias("rule"), F.coalesce("distance", F.lit(-1)).alias("distance"),
+    )
+
+
 @query("""
 WITH s AS (SELECT o_orderpriority AS priority, o_totalprice, c_mktsegment AS segment
            FROM orders JOIN customer ON o_custkey = c_custkey

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from compare import rows
@@ -15,6 +16,7 @@ from lodestar.operators.joins import (
     cascade_match,
     closest_texts,
     join_and_expand,
+    near_candidates,
     not_in_model,
     reduce_bridge,
     through_bridge,
@@ -148,6 +150,37 @@ def test_closest_texts_is_exact(spark, left, right, limit):
     assert got == expected
 
 
+def test_texts_with_a_common_beginning_make_few_candidates(spark):
+    a = spark.range(3000).select(F.format_string("Customer#%09d", "id").alias("_a"))
+    b = spark.range(3000).select(F.format_string("Custmer#%09d", "id").alias("_b"), F.col("id").alias("_key"))
+    assert near_candidates(a, b, 1).count() < 10 * 3000
+    itself = spark.range(3000).select(F.format_string("Customer#%09d", "id").alias("t"), F.col("id").alias("key"))
+    got = closest_texts(itself, "t", itself.withColumnRenamed("t", "o"), "o", "key")
+    assert got.filter("distance = 0").count() == 3000
+
+
+@pytest.mark.parametrize("limit,most_keys", [(1, 30), (2, 300), (3, 1000)])
+def test_grams_of_long_texts_miss_no_pair(spark, limit, most_keys):
+    rng = random.Random(limit)
+    texts = ["common words of all " + "".join(rng.choice("ab cd") for _ in range(rng.randint(0, 30))) for _ in range(30)]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(20)]
+    for t in list(texts):
+        for _ in range(rng.randint(0, limit)):
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "x"]) + t[at + rng.choice([0, 1]):]
+        texts.append(t)
+    a = spark.createDataFrame([(t,) for t in set(texts)], "_a string")
+    b = spark.createDataFrame([(t, i) for i, t in enumerate(sorted(set(texts)))], "_b string, _key int")
+    found = {(r["_a"], r["_b"]) for r in near_candidates(a, b, limit, most_keys).collect()}
+    assert {(x, y) for x in texts for y in texts if edits(x, y) <= limit} <= found
+
+
+def test_too_few_keys_for_the_limit(spark):
+    a = spark.createDataFrame([("x",)], "_a string")
+    with pytest.raises(ValueError, match="too small"):
+        near_candidates(a, a.select(F.col("_a").alias("_b"), F.lit(1).alias("_key")), 2, 1)
+
+
 def test_cascade(spark):
     left = spark.createDataFrame(
         [(1, "A", "1", "Anna"), (2, "B", "2", "Berta"), (3, "C", None, "Carl"), (4, "D", "4", "Dora")],

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 import os
+import random
+import re
 import subprocess
 import sys
 
@@ -25,6 +27,7 @@ from lodestar.operators.logs import (
     object_query_count,
     spike_query_log,
 )
+from lodestar.sources.staging import _staged
 
 
 def test_spike_log(spark):
@@ -184,6 +187,50 @@ def test_long_chains_of_unused_measures(spark):
     assert rows(unused.select("name", "round")) == [(f"M{i:02}", i + 1) for i in range(14)] and rounds == 15
 
 
+def brute_unused(measures, refs):
+    """Round by round, as the definition says."""
+    shown = {(r, t, n) for r, t, n in refs}
+    left, out, k = set(measures), set(), 1
+    while True:
+        used = {(r, n) for r, t, n, _ in left if (r, t, n) in shown or (r, None, n) in shown}
+        used |= {(r, n) for r, _, _, e in left for n in re.findall(r"\[([^\]]+)\]", e or "")}
+        gone = {m for m in left if (m[0], m[2]) not in used}
+        if not gone:
+            return out, k
+        out |= {(r, n, t, k) for r, t, n, _ in gone}
+        left -= gone
+        k += 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_unused_measures_of_any_graph(spark, seed):
+    rng = random.Random(seed)
+    measures = set()
+    for report in ("r", "s"):
+        for i in range(40):
+            # mostly chains and trees, some joins and some calls back, of cycles of any length
+            calls = [j for j in range(40) if j == i + 1 and rng.random() < 0.8 or j > i and rng.random() < 0.04 or rng.random() < 0.004]
+            text = " + ".join(f"[M{j}]" for j in calls) + " + [Column]"
+            measures.add((report, rng.choice("TU"), f"M{i}", text))
+    refs = [("r", "T", "M7"), ("r", None, "M30"), ("s", "U", "M11")]
+    unused, rounds = unused_measures(
+        spark.createDataFrame(sorted(measures), "report string, table string, name string, expression string"),
+        spark.createDataFrame(refs, "report string, entity string, name string"),
+    )
+    expected, last = brute_unused(measures, refs)
+    assert {tuple(r) for r in unused.select("report", "name", "table", "round").collect()} == expected
+    assert rounds == last
+
+
+def test_passes_grow_with_the_logarithm_of_the_depth(spark):
+    chain = [("r", "T", f"M{i}", f"[M{i + 1}]") for i in range(300)] + [("r", "T", f"C{i}", f"[C{(i + 1) % 7}]") for i in range(7)]
+    measures = spark.createDataFrame(chain, "report string, table string, name string, expression string")
+    before = len(_staged)
+    unused, rounds = unused_measures(measures, spark.createDataFrame([], "report string, entity string, name string"))
+    assert rounds == 301 and unused.count() == 300
+    assert len(_staged) - before <= 13
+
+
 def test_star_of_objects_without_logs(spark):
     logs = spark.createDataFrame([("m", "a", "r", "u", 1)], "model string, object string, report string, user string, moment int")
     stats = spark.createDataFrame([("m", "b", 7), ("n", "c", 8)], "model string, object string, bytes int")
