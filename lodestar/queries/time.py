@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from lodestar.functions.dates import fiscal_year
 from lodestar.operators.joins import Dimension, Star, join_and_expand, without_members
 from lodestar.operators.ordered import add_index, cumulative_to_incremental
+from lodestar.plans.bitmaps import (
+    count_windows,
+    day_bitmaps,
+    key_bitmap,
+    read_bitmaps,
+    window_days,
+    write_bitmaps,
+)
 from lodestar.plans.rolling import (
     append_marks,
     count_marked,
@@ -25,7 +33,7 @@ from lodestar.plans.rolling import (
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
 from lodestar.plans.time_intelligence import Measure, time_intelligence
 from lodestar.queries.registry import Tables, cents, iso, query
-from lodestar.sources.calendars import calendar_window_bridge, date_bounds, days_between
+from lodestar.sources.calendars import calendar_window_bridge, date_bounds, days_between, days_spanned
 from lodestar.sources.staging import staging_path
 
 FIRST, LAST = dt.date(1995, 6, 1), dt.date(2001, 6, 30)
@@ -172,6 +180,47 @@ def rolling_distinct_stored_marks(t: Tables) -> DataFrame:
     return counts.withColumn("window_day", iso("window_day"))
 
 
+def _stored_bitmaps(t: Tables, size: int = 28) -> DataFrame:
+    """Customers by day as bitmaps, written in two runs of which the second is repeated."""
+    path = staging_path(t.spark)
+    read = (FIRST - dt.timedelta(days=size - 1), LAST)
+    bitmaps = day_bitmaps(t.daily_orders.filter(F.col("day").between(*map(F.lit, read))), "o_custkey", "day")
+    month = F.trunc(F.lit(FIRST), "month")
+    write_bitmaps(bitmaps.filter(F.col("day") < month), path)
+    for _ in range(2):
+        write_bitmaps(bitmaps.filter(F.col("day") >= month), path)
+    return read_bitmaps(bitmaps, path, read)
+
+
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS day, count(DISTINCT thing) AS n
+FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
+""")
+def rolling_bitmaps_month_end(t: Tables) -> DataFrame:
+    """Month ends from stored bitmaps, cut by the bitmap of a segment's customers."""
+    stored = _stored_bitmaps(t)
+    days = month_end_days(stored.select("day"), "day", _calendar(t).filter(_SELECTED))
+    building = key_bitmap(t.customer.filter("c_mktsegment = 'BUILDING'"), "c_custkey")
+    return count_windows(stored, window_days(days, 28), building).select(iso("window").alias("day"), "n")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT user_id AS thing, ts::DATE AS day FROM events WHERE event_type IN ('view', 'click'))
+SELECT strftime(d.day, '%Y-%m-%d') AS window_day, count(DISTINCT thing) AS n
+FROM (SELECT DISTINCT ts::DATE AS day FROM events) d JOIN p ON p.day BETWEEN d.day - 6 - 7 AND d.day - 7 GROUP BY d.day
+""")
+def rolling_bitmaps_bridge_by_kind(t: Tables) -> DataFrame:
+    """Users of two kinds of events by windows of the bridge, from bitmaps by kind of event."""
+    events = t.events.select("user_id", "event_type", F.to_date("ts").alias("day"))
+    bitmaps = day_bitmaps(events, "user_id", "day", ["event_type"]).filter(F.col("event_type").isin("view", "click"))
+    days = days_with_facts(events, "day")
+    bridge = calendar_window_bridge(days_spanned(events, "day"), "day").filter("WindowDaySize = 7 and WindowDayShift = -7")
+    windows = bridge.select(F.col("Window").alias("window"), F.col("DIM_CalendarKey").alias("held"))
+    wanted = windows.join(days.select(F.col("day").alias("window")), "window", "left_semi")
+    return count_windows(bitmaps, wanted).select(iso("window").alias("window_day"), "n")
+
+
 def _trend(t: Tables, by: str) -> DataFrame:
     star = Star(t.daily_orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
     calendar = _calendar(t)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from compare import rows
@@ -6,6 +7,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestar.plans.bitmaps import (
+    count_windows,
+    day_bitmaps,
+    key_bitmap,
+    read_bitmaps,
+    window_days,
+    write_bitmaps,
+)
 from lodestar.plans.rolling import (
     days_with_facts,
     rolling_distinct,
@@ -150,3 +159,34 @@ def test_old_variants_are_replaced(spark):
     assert list(generated_names({"S": Measure(F.sum("v"))}, ["PY"])) == ["S PY"]
     with pytest.raises(ValueError, match="unknown"):
         time_intelligence(df, "d", measures, ["WTD"])
+
+
+@pytest.mark.parametrize("shift", [0, -7])
+def test_bitmaps_count_as_marks_do(spark, tmp_path, shift):
+    rng = random.Random(shift)
+    data = [
+        (rng.choice([None, 0, 1, 32768, 32769, 100_000, 7]), dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(150)), rng.choice("ab"))
+        for _ in range(400)
+    ]
+    fact = spark.createDataFrame([*data, (5, None, "a")], "thing long, day date, kind string")
+    days = days_with_facts(fact, "day")
+    bitmaps = day_bitmaps(fact, "thing", "day", ["kind"])
+    path = str(tmp_path / "bitmaps")
+    write_bitmaps(bitmaps, path)
+    write_bitmaps(bitmaps.filter("day >= '2024-03-01'"), path)
+    stored = read_bitmaps(bitmaps, path)
+    known = fact.filter("thing is not null")
+    windows = window_days(days, 28, shift)
+
+    def counted(rows_, among=None):
+        return rows(count_windows(rows_, windows, among))
+
+    assert counted(stored) == rows(rolling_distinct(known, "thing", "day", 28, days, shift=shift))
+    some = known.filter("kind = 'a'")
+    assert counted(stored.filter("kind = 'a'")) == rows(rolling_distinct(some, "thing", "day", 28, days, shift=shift))
+    chosen = spark.createDataFrame([(0,), (32769,), (9,), (None,)], "k long")
+    among = known.join(chosen, F.col("thing") == F.col("k"), "left_semi")
+    assert counted(stored, key_bitmap(chosen, "k")) == rows(rolling_distinct(among, "thing", "day", 28, days, shift=shift))
+    assert counted(stored.limit(0)) == []
+    part = read_bitmaps(bitmaps, path, (dt.date(2024, 2, 10), dt.date(2024, 3, 2)))
+    assert rows(part.agg(F.min("day"), F.max("day"))) == [(dt.date(2024, 2, 10), dt.date(2024, 3, 2))]
