@@ -33,7 +33,7 @@ def add_surrogate_key(
             raise ValueError("rows have no order of their own: give order columns")
         return add_index(df, column, order)
     combinations = df.select(*quoted(group_by)).distinct()
-    keyed = add_index(combinations, column, list(order or group_by))
+    keyed = add_index(combinations, column, list(order or group_by), once=True)
     # each combination occurs once, so the join cannot add rows
     return join_and_expand(df, keyed, group_by, [column])
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from decimal import Decimal
 
 import pytest
 from compare import rows
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import ordered
 from lodestar.operators.keys import add_surrogate_key, build_dimension, lookup_snapshot_key
 from lodestar.operators.ordered import add_index, cumulative_to_incremental, group_rows
+from lodestar.sources.staging import _staged
 
 
 def test_cumulative_to_incremental(spark):
@@ -96,6 +99,49 @@ def test_index_of_equal_rows(spark):
     assert len(parts) == 4
 
 
+def test_ranges_follow_the_order_of_any_type(spark):
+    rng = random.Random(2)
+    moment = dt.datetime(2024, 11, 3, 5)  # the hour that comes twice in New York
+    data = [
+        (
+            rng.choice([None, float("nan"), -0.5, 1e300, float("-inf")]), rng.choice([None, "", "it's", "a\\b", "é", "日"]),
+            moment + dt.timedelta(seconds=rng.randrange(7200)), rng.choice([None, True, False]), bytes([rng.randrange(256)]),
+            Decimal(rng.randrange(-999, 999)) / 100, i,
+        )
+        for i in range(2000)
+    ]
+    schema = "f double, `s``x` string, ts timestamp, b boolean, raw binary, d decimal(10,2), i int"
+    df = spark.createDataFrame(data, schema).repartition(6)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in (zone, "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            for order in (["ts", "i"], ["f", "s`x", "i"], ["raw", "d", "i"], ["b", "ts", "i"]):
+                cuts = ordered.range_cuts(df, order)
+                assert len(cuts) == 15
+                cols = ["`" + c.replace("`", "``") + "`" for c in order]
+                placed = df.select(*cols, ordered.range_number(df, order, cuts).alias("part")).orderBy(*cols).collect()
+                parts = [r["part"] for r in placed]
+                assert parts == sorted(parts) and set(parts) == set(range(16))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_heavy_values_and_odd_types_have_no_cuts(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("few"), F.array("id").alias("list"), "id")
+    assert ordered.range_cuts(df, ["few"]) is None and ordered.range_cuts(df, ["list"]) is None
+    assert ordered.range_cuts(df.limit(0), ["id"]) == []
+    assert len(ordered.range_cuts(df, ["few", "id"])) == 15
+
+
+def test_wide_rows_are_not_stored(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 2).alias("v"))
+    before = len(_staged)
+    got = cumulative_to_incremental(df, ["g"], "id", ["v"]).filter("`v Incremental` <> if(id < 2, id * 2, 4)")
+    assert got.count() == 0 and add_index(df, "n", ["id"]).filter("n <> id").count() == 0
+    assert len(_staged) == before
+
+
 def test_group_rows(spark):
     df = spark.range(50).select(
         F.when(F.col("id") < 40, "hot").otherwise(F.col("id").cast("string")).alias("g"),
