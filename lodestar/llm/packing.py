@@ -307,7 +307,7 @@ def _with_paths(queues: DataFrame, turn: int) -> DataFrame:
     depth = (pooled.count() - 1).bit_length() if not pooled.isEmpty() else 0
     if not depth:
         return alone.unionByName(pooled.select("source", "queue", *[F.lit(None).alias(c) for c in ("rank", "turns", "odd")]))
-    leaves = stage(add_index(pooled, "rank", ["queue", "source"]))
+    leaves = stage(add_index(pooled, "rank", ["queue", "source"], once=True))
     levels = leaves.select(
         "source", "queue", "rank", F.floor(F.col("n") / turn).alias("turns"), (F.col("n") % turn).alias("odd"),
         F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"),
