@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.text import BYTE_HASH, mix, per_document, ragged, range_hashes, running, slices, text_bytes
+from lodestar.llm.text import EXACT, mix, per_document, slices, span_checks, text_bytes
 from lodestar.sources.staging import stage
 
 # Byte classes; a byte above 127 that starts a character is OTHER.
@@ -47,10 +47,6 @@ _EVENTS = np.array([CODE_POINT, CODE_POINT | IS_CAPITAL, 0, CODE_POINT | IS_SYMB
 _EMIT = np.stack([_EVENTS | np.where(_NEXT == INSIDE, WORD_START, 0), _EVENTS | np.where(_NEXT == BETWEEN, WORD_END, 0)])
 _EMIT = _EMIT.astype(np.uint8)
 
-# Spans of more bytes are hashed and compared whole.
-_SHORT = 16
-_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
 MEASURES = "n_words long, n_distinct long, n_capitals long, n_points long, n_symbols long, digest binary"
 
 
@@ -73,27 +69,16 @@ class _Spans:
 
     def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         self._raw = data.tobytes()
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-        self.start, self.end, self.size = start, end, end - start
-        head = np.minimum(self.size, 8)
-        self.head = eights[start] & _MASK[head]
-        self.tail = eights[end - head] & _MASK[head]
-        self._long = self.size > _SHORT
-        self.key = self.head ^ mix(self.tail + self.size.astype(np.uint64))
-        at = np.flatnonzero(self._long)
-        if len(at):
-            edges = running(self.size[at])
-            values = BYTE_HASH[data[ragged(start[at], self.size[at])]]
-            self.key[at] = range_hashes(values, edges[:-1], edges[1:])
+        self._start, self._end, self._long = start, end, end - start > EXACT
+        self._checks = span_checks(data, start, end)
+        self.key = mix(self._checks[0] ^ mix(self._checks[1] + self._checks[2]))
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the bytes of ranges a and b are equal, pair by pair."""
-        equal = (self.size[a] == self.size[b]) & (self.head[a] == self.head[b]) & (self.tail[a] == self.tail[b])
-        equal &= self.key[a] == self.key[b]
+        equal = (self._checks[:, a] == self._checks[:, b]).all(0)
         for i in np.flatnonzero(equal & self._long[a]).tolist():
             x, y = a[i], b[i]
-            equal[i] = self._raw[self.start[x] : self.end[x]] == self._raw[self.start[y] : self.end[y]]
+            equal[i] = self._raw[self._start[x] : self._end[x]] == self._raw[self._start[y] : self._end[y]]
         return equal
 
 

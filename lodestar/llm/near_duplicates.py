@@ -137,10 +137,9 @@ def _sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = column_words(part.column(2))
-            values = words.hashes()
+            # two keys of the words in order that have nothing in common
             keys = [
-                range_hashes(mix(values ^ s), words.first[:-1], words.first[1:]).view(np.int64)
-                for s in _SALT[6:8]
+                range_hashes(words.hashes(seed), words.first[:-1], words.first[1:]).view(np.int64) for seed in (1, 2)
             ]
             runs, doc = shingles(words)
             size = np.bincount(doc, minlength=words.n_docs)

@@ -7,6 +7,7 @@ gives the leftmost non-overlapping matches of each kind; all scans are linear in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 KINDS = ("email", "ip", "card", "phone")
@@ -87,19 +88,54 @@ _ADDRESS = re.compile(
     re.IGNORECASE,
 )
 MOST_TOKENS = 24
-_REGION = 400
+# Where an address can begin or end inside its widest form.
+_LOCAL_BREAK = re.compile(r"[._%+-](?=[A-Za-z0-9_%+-])")
+_DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\]| dot ) ?", re.IGNORECASE)
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?", re.IGNORECASE)
+# What every address holds from its at-sign on, for finding the texts that may have one.
+ADDRESS_MARK = re.compile(
+    rb"(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]", re.IGNORECASE
+)
 
 
 @dataclass
 class Region:
-    """A stretch of text with the edges of its tokens and its candidate segments.
+    """A stretch of text with the edges of its tokens, and where its candidates come from.
 
-    ``segments`` are (first edge, last edge, kinds, features).
+    Numbers and addresses that overlap share a region, so one cut decides between them.
     """
 
-    start: int
+    text: str
     edges: list[int]
-    segments: list[tuple[int, int, tuple[int, ...], list[str]]]
+    numbers: list[tuple[int, int]]
+    addresses: list[tuple[list[int], list[int]]]  # the places where one may start, and end
+
+    def segments(self) -> Iterator[tuple[int, int, tuple[int, ...], list[str]]]:
+        """Candidates as (first edge, last edge, kinds, features), by first edge.
+
+        They are made one by one, so a stretch may be of any length.
+        """
+        text, edges = self.text, self.edges
+        place = {e: i for i, e in enumerate(edges)} if self.addresses else {}
+        ends_by_start: dict[int, list[int]] = {}
+        for starts, ends in self.addresses:
+            for a in starts:
+                ends_by_start.setdefault(a, []).extend(ends)
+        spans, at = [*self.numbers, (len(text) + 1, len(text) + 1)], 0
+        for i, a in enumerate(edges[:-1]):
+            while a >= spans[at][1]:
+                at += 1
+            if a >= spans[at][0] and (text[a].isdigit() or text[a] in "+("):
+                for j in range(i + 1, min(i + MOST_TOKENS, len(edges) - 1) + 1):
+                    b = edges[j]
+                    if b > spans[at][1]:
+                        break
+                    if text[b - 1].isdigit() and b - a >= 7:
+                        if sum(c.isdigit() for c in text[a:b]) > 19:
+                            break
+                        yield i, j, (1, 2, 3), number_features(text, a, b)
+            for b in ends_by_start.get(a, ()):
+                yield i, place[b], (0,), address_features(text, a, b)
 
 
 def _side(text: str, at: int) -> str:
@@ -143,26 +179,33 @@ def address_features(text: str, start: int, end: int) -> list[str]:
     ]
 
 
+def _address(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Where addresses inside the widest one may start and end."""
+    mark = _AT.search(text, start, end)
+    starts = [start, *[m.end() for m in _LOCAL_BREAK.finditer(text, start, mark.start())]]
+    dots = [m.start() for m in _DOT.finditer(text, mark.end(), end)]
+    return starts, [*dots[1:], end]
+
+
 def regions(text: str) -> list[Region]:
-    """Stretches with candidates; segments are within a stretch, at most 24 tokens long."""
-    out = []
-    for match in _NUMBERS.finditer(text):
-        if match.end() - match.start() < 7:
-            continue
-        for begin in range(match.start(), match.end(), _REGION):
-            stop = min(begin + _REGION, match.end())
-            tokens = [(t.start() + begin, t.end() + begin) for t in _TOKEN.finditer(text[begin:stop])]
-            segments = []
-            for i, (a, _) in enumerate(tokens):
-                if not (text[a].isdigit() or text[a] in "+("):
-                    continue
-                for j in range(i, min(i + MOST_TOKENS, len(tokens))):
-                    b = tokens[j][1]
-                    if text[b - 1].isdigit() and b - a >= 7 and sum(c.isdigit() for c in text[a:b]) <= 19:
-                        segments.append((i, j + 1, (1, 2, 3), number_features(text, a, b)))
-            if segments:
-                out.append(Region(begin, [a for a, _ in tokens] + [stop], segments))
-    for match in _ADDRESS.finditer(text):
-        a, b = match.span()
-        out.append(Region(a, [a, b], [(0, 1, (0,), address_features(text, a, b))]))
+    """Stretches with candidates, in order and apart from each other."""
+    found = [(*m.span(), True) for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7]
+    found += [(*m.span(), False) for m in _ADDRESS.finditer(text)]
+    out: list[Region] = []
+    stop = -1
+    groups: list[list[tuple[int, int, bool]]] = []
+    for span in sorted(found):
+        if span[0] >= stop:
+            groups.append([])
+        groups[-1].append(span)
+        stop = max(stop, span[1])
+    for group in groups:
+        begin, end = group[0][0], max(b for _, b, _ in group)
+        edges = [t.start() + begin for t in _TOKEN.finditer(text[begin:end])] + [end]
+        numbers = [(a, b) for a, b, number in group if number]
+        addresses = [_address(text, a, b) for a, b, number in group if not number]
+        if addresses:
+            # an address may begin or end inside a run of digits
+            edges = sorted({*edges, *(p for starts, ends in addresses for p in (*starts, *ends)), *(p for n in numbers for p in n)})
+        out.append(Region(text, edges, numbers, addresses))
     return out

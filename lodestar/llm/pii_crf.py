@@ -1,7 +1,8 @@
 """Personal data by a semi-Markov conditional random field over candidate segments.
 
-A region is cut into segments: single tokens that are nothing, or candidate spans of up to
-24 tokens with a kind. Features of a whole span (its digits, groups and marks, check digit,
+A region is cut into segments: single tokens that are nothing, numbers of up to 24 tokens
+or addresses of any of their shorter forms, each with a kind. Numbers and addresses that
+overlap are in one region, so one cut decides between them. Features of a whole span (its digits, groups and marks, check digit,
 what stands beside it) score each kind; dynamic programming over the ends of segments, each
 at most the bound long, picks the boundaries and kinds of the best cut together.
 
@@ -15,22 +16,24 @@ base spans adds nothing. A null or empty text has no spans; repeated rows are tr
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.personal_spans import KINDS, Region, Span, base_spans, digits_of, regions, written
+from lodestar.llm.personal_spans import ADDRESS_MARK, KINDS, Region, Span, base_spans, digits_of, regions, written
 from lodestar.llm.text import per_document, slices, text_bytes
 
-# Regions that the weights are fitted on, documents looked at for each, and characters kept
-# around a region.
+# Regions that the weights are fitted on, documents looked at for each, characters kept
+# around a region and of the region itself.
 SAMPLE = 400
 _LOOKED_AT = 40
 _AROUND = 60
+_LEARNED = 400
 
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[list(b"0123456789@")] = True
@@ -43,28 +46,31 @@ class SpanField:
     weights: dict[tuple[int, str], float] = field(default_factory=dict)
     bias: float = -4.0
 
-    def scores(self, region: Region) -> list[list[float]]:
-        """For each candidate the score of each of its kinds."""
+    def score(self, kinds: tuple[int, ...], names: list[str]) -> list[float]:
+        """The score of each kind of a candidate."""
         get = self.weights.get
-        return [
-            [self.bias + sum(get((k, f), 0.0) for f in names) for k in kinds]
-            for _, _, kinds, names in region.segments
-        ]
+        return [self.bias + sum(get((k, f), 0.0) for f in names) for k in kinds]
 
     def best(self, region: Region) -> list[Span]:
         """The segments of the best cut, as spans of the text."""
         n = len(region.edges) - 1
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        ending: dict[int, list] = {}
-        for (i, j, kinds, _), scores in zip(region.segments, self.scores(region), strict=True):
+        value, back = [-1.0] * (n + 1), [None] * (n + 1)
+        value[0], done = 0.0, 0
+
+        def settle(until: int) -> None:
+            # a token that is nothing, unless a candidate that ends there does better
+            for at in range(done + 1, until + 1):
+                if value[at - 1] >= value[at]:
+                    value[at], back[at] = value[at - 1], None
+
+        for i, j, kinds, names in region.segments():
+            settle(i)
+            done = max(done, i)
+            scores = self.score(kinds, names)
             top = max(range(len(kinds)), key=scores.__getitem__)
-            if scores[top] > 0:
-                ending.setdefault(j, []).append((i, kinds[top], scores[top]))
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for i, kind, score in ending.get(j, ()):
-                if value[i] + score > value[j]:
-                    value[j], back[j] = value[i] + score, (i, kind)
+            if scores[top] > 0 and value[i] + scores[top] > value[j]:
+                value[j], back[j] = value[i] + scores[top], (i, kinds[top])
+        settle(n)
         spans, j = [], n
         while j:
             if back[j]:
@@ -75,13 +81,12 @@ class SpanField:
                 j -= 1
         return spans[::-1]
 
-    def expected(self, region: Region) -> list[list[float]]:
-        """The probability of each candidate and kind, by the forward and backward sums."""
-        n = len(region.edges) - 1
-        scores = self.scores(region)
+    def expected(self, n: int, segments: list[tuple]) -> list[list[float]]:
+        """The probability of each candidate and kind over n tokens, by forward and backward sums."""
+        scores = [self.score(kinds, names) for _, _, kinds, names in segments]
         ending: list[list] = [[] for _ in range(n + 1)]
         starting: list[list] = [[] for _ in range(n + 1)]
-        for c, (i, j, _, _) in enumerate(region.segments):
+        for c, (i, j, _, _) in enumerate(segments):
             total = float(np.logaddexp.reduce(scores[c]))
             ending[j].append((i, total))
             starting[i].append((j, total))
@@ -92,7 +97,7 @@ class SpanField:
             backward[i] = np.logaddexp.reduce([backward[i + 1], *[backward[j] + s for j, s in starting[i]]])
         return [
             [float(np.exp(min(0.0, forward[i] + s + backward[j] - forward[n]))) for s in scores[c]]
-            for c, (i, j, _, _) in enumerate(region.segments)
+            for c, (i, j, _, _) in enumerate(segments)
         ]
 
 
@@ -100,12 +105,13 @@ def fit(examples: list[tuple[Region, set[Span]]], rounds: int = 25, rate: float
     """Climb the conditional likelihood of the wanted spans, one region at a time."""
     model = SpanField()
     squares: dict[tuple[int, str], float] = {}
+    listed = [(region.edges, list(region.segments()), wanted) for region, wanted in examples]
     for _ in range(rounds):
-        for region, wanted in examples:
-            chances = model.expected(region)
-            for (i, j, kinds, names), chance in zip(region.segments, chances, strict=True):
+        for edges, segments, wanted in listed:
+            chances = model.expected(len(edges) - 1, segments)
+            for (i, j, kinds, names), chance in zip(segments, chances, strict=True):
                 for k, p in zip(kinds, chance, strict=True):
-                    gap = ((region.edges[i], region.edges[j], k) in wanted) - p
+                    gap = ((edges[i], edges[j], k) in wanted) - p
                     if abs(gap) < 1e-3:
                         continue
                     for name in names:
@@ -150,38 +156,44 @@ def examples_from(texts: list[str]) -> list[tuple[Region, set[Span]]]:
 def fit_pii_field(docs: DataFrame, sample: int = SAMPLE) -> SpanField:
     """Fit on the surroundings of at most ``sample`` regions with digits or at-signs.
 
-    They come from about 40 times as many documents, chosen by a hash of ``doc_id``.
+    They come from about 40 times as many documents, chosen by a hash of ``doc_id``; of a
+    region longer than 400 characters the first 400 are learned from. Regions with a base
+    span of each kind, and those without one, get an equal share of the sample.
     """
     share = min(1.0, _LOOKED_AT * sample / max(docs.count(), 1))
     chosen = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            places, cuts = [], []
+            places, cuts, kinds = [], [], []
             for row, text in _suspects(part.column(1)):
-                for match in regions(text)[:4]:
-                    low, high = max(0, match.edges[0] - _AROUND), match.edges[-1] + _AROUND
-                    cuts.append(text[low:high])
+                base = base_spans(text)
+                starts = [s for s, _, _ in base]
+                for match in regions(text):
+                    low, high = match.edges[0], min(match.edges[-1], match.edges[0] + _LEARNED)
+                    cuts.append(text[max(0, low - _AROUND) : high + _AROUND])
+                    inside = base[bisect_left(starts, low) : bisect_left(starts, high)]
+                    kinds.append(inside[0][2] if inside else len(KINDS))
                     places.append(row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(places, pa.int64())), pa.array(cuts, pa.string())], names=["doc_id", "cut"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(places, pa.int64())), pa.array(cuts, pa.string()), pa.array(kinds, pa.int32())],
+                names=["doc_id", "cut", "kind"],
+            )
 
-    cuts = chosen.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cut string")
-    # the least hashes of all: a bounded sample, the same on any cluster
-    rows = cuts.orderBy(F.xxhash64("doc_id", "cut"), "cut").limit(sample).collect()
-    return fit(examples_from([r["cut"] for r in rows]))
+    cuts = chosen.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cut string, kind int")
+    # the least hashes of each kind: a bounded sample, the same on any cluster
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("doc_id", "cut"), "cut")
+    rows = cuts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample // (len(KINDS) + 1)).collect()
+    return fit(examples_from(sorted(r["cut"] for r in rows)))
 
 
 def _suspects(column: pa.Array) -> list[tuple[int, str]]:
-    """The texts with a digit or an at-sign, written out or not, and their rows."""
+    """The texts with a digit or with what every address holds, and their rows."""
     data, offsets = text_bytes(column)
     marked = per_document(_TRIGGER[data], offsets) > 0
     raw = data.tobytes()
-    low = raw.lower()
-    for mark in (b"(at)", b"[at]", b" dot "):
-        at = low.find(mark)
-        while at >= 0:
-            marked[int(np.searchsorted(offsets, at, "right")) - 1] = True
-            at = low.find(mark, at + 1)
+    for match in ADDRESS_MARK.finditer(raw):
+        marked[int(np.searchsorted(offsets, match.start(), "right")) - 1] = True
     return [(int(r), raw[offsets[r] : offsets[r + 1]].decode()) for r in np.flatnonzero(marked)]
 
 

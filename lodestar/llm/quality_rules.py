@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.text import (
-    BYTE_HASH,
     IS_SPACE,
     Words,
     column_words,
+    mix,
     passing,
     per_document,
-    range_hashes,
     slices,
+    span_hashes,
 )
 
 SYMBOLS = np.zeros(256, bool)
@@ -56,10 +56,7 @@ def longest_repeats(words: Words) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     stop = words.first[1:][words.doc]
-    keys = range_hashes(
-        np.stack([words.hashes(), words.doc.astype(np.uint64)], 1).ravel(),
-        2 * np.arange(n), 2 * np.arange(n) + 2,
-    )
+    keys = mix(words.hashes() + mix(words.doc.astype(np.uint64)))
     order = np.argsort(keys, kind="stable")
     levels = [_ranks(keys[order], order, np.zeros(n, np.int64), np.arange(n))]
     suffixes, k = order, 1
@@ -125,7 +122,7 @@ def _repeated_lines(words: Words) -> np.ndarray:
     filled = per_document(~IS_SPACE[data], np.append(start, len(data))) > 0
     start, stop = start[filled], np.maximum(stop, start)[filled]
     doc = np.searchsorted(offsets, start, "right") - 1
-    keys = range_hashes(BYTE_HASH[data], start, stop)
+    keys = span_hashes(data, start, stop)
     order = np.lexsort((keys, doc))
     same = (keys[order][1:] == keys[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     return np.bincount(doc[order][1:][same], minlength=words.n_docs)

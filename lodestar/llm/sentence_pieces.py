@@ -11,8 +11,12 @@ best adjacent pair again and again, which a best sum of scores does not give. So
 model every row merges its best pair in each step, found by a row maximum, and only the two
 pairs beside the merge are looked up again.
 
-Characters that no piece has become byte pieces. Very long parts go to the library itself.
-A null text is empty and has no ids.
+A part of more than 48 characters, as in scripts without spaces, is split wherever no piece
+has the two characters next to each other, so no merge can reach over. What is still longer
+forms matrices of fewer rows. Only a run of more than 4,096 characters without such a place,
+like one letter again and again, goes to the library, as its merges are quadratic here.
+
+Characters that no piece has become byte pieces. A null text is empty and has no ids.
 """
 
 from __future__ import annotations
@@ -25,18 +29,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.remembered import RememberedIds, parts
-from lodestar.llm.text import mix, per_document, powers, ragged, range_hashes, running, slices, text_bytes
+from lodestar.llm.remembered import RememberedIds, distinct_spans, parts
+from lodestar.llm.text import mix, per_document, ragged, running, slices, text_bytes
 
+# Parts of more characters are split further, and beyond the second bound not by matrices.
 LONGEST = 48
+_MATRIX = 4096
+_CELLS = LONGEST << 14
 SLICE_BYTES = 2 << 20
 _SPACE = 0x2581
 
 
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2^64, for spans as short as pieces."""
+    found = []
+    for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        found.append(np.cumprod(steps, dtype=np.uint64))
+    return found[0], found[1]
+
+
 def character_values(characters: np.ndarray) -> np.ndarray:
     return mix(characters.astype(np.uint64) + np.uint64(1))
 
 
+def _span_key(sums: np.ndarray, inverse: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(sums * inverse + size.astype(np.uint64))
+
+
 class PieceTable:
     """Pieces by the hash of their characters, with ids and scores."""
 
@@ -45,7 +69,9 @@ class PieceTable:
         size = np.array([len(p) for p in pieces], np.int64)
         bounds = running(size)
         values = character_values(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-        keys = range_hashes(values, bounds[:-1], bounds[1:])
+        power, inverse = powers(len(values) + 1)
+        sums = running(values * power[:-1])
+        keys = _span_key(sums[bounds[1:]] - sums[bounds[:-1]], inverse[bounds[:-1]], size)
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], ids[order], scores[order]
         self.longest = int(size.max(initial=1))
@@ -68,7 +94,7 @@ class _Rows:
 
     def spans(self, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         sums = self._sums
-        return mix((sums[row, end] - sums[row, start]) * self._inverse[start] + (end - start).astype(np.uint64))
+        return _span_key(sums[row, end] - sums[row, start], self._inverse[start], end - start)
 
 
 def merge_rows(characters: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +176,8 @@ class SentencePieces:
         ]
         scores = np.array([model.get_score(i) for i in usual])
         self.table = PieceTable([pieces[i] for i in usual], np.array(usual), scores)
+        joined = [np.frombuffer(pieces[i].encode("utf-32-le"), np.uint32).astype(np.uint64) for i in usual]
+        self._pairs = np.unique(np.concatenate([np.zeros(1, np.uint64), *[(p[:-1] << np.uint64(32)) | p[1:] for p in joined]]))
         self._unigram, self._unknown = unigram, float(scores.min(initial=0.0)) - 10
         self._byte_id = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         raw = [
@@ -178,31 +206,51 @@ class SentencePieces:
         opens[bounds[:-1][sizes > 0]] = True
         start = np.flatnonzero(opens)
         end = np.append(start[1:], len(characters))
-        keys = range_hashes(character_values(characters), start, end)
-        keys, example, which = np.unique(keys, return_index=True, return_inverse=True)
-        new = self._known.missing(keys)
+        if len(at := np.flatnonzero(end - start > LONGEST)):
+            inner = ragged(start[at] + 1, end[at] - start[at] - 1)
+            breaks = inner[~self._within_pieces(characters[inner - 1], characters[inner])]
+            start = np.sort(np.concatenate([start, breaks]))
+            end = np.append(start[1:], len(characters))
+        spans = distinct_spans(self._known, characters.view(np.uint8), 4 * start, 4 * end)
+        new = self._known.missing(spans.keys)
         if len(new):
-            at = example[new]
-            self._known.learn(keys[new], *parts(self._encode_parts(characters, start[at], end[at]), len(new)))
-        ids, counts = self._known.lay_out(keys, which)
+            at = spans.example[new]
+            found = parts(self._encode_parts(characters, start[at], end[at]), len(new))
+            self._known.learn(spans.keys[new], spans.checks[:, new], *found)
+        ids, counts = self._known.lay_out(spans.keys, spans.which)
         return ids, per_document(counts, np.searchsorted(start, bounds))
 
     def _encode_parts(self, characters: np.ndarray, start: np.ndarray, end: np.ndarray) -> list:
         size, found = end - start, []
         for length in np.unique(size).tolist():
             rows = np.flatnonzero(size == length)
-            if length > LONGEST:
-                texts = [characters[start[r] + 1 : end[r]].astype("<u4").tobytes().decode("utf-32-le").replace(chr(_SPACE), " ") for r in rows]
-                ids = [self._library.encode(t) if t else [self._library.piece_to_id(chr(_SPACE))] for t in texts]
+            if length > _MATRIX:
+                texts = [characters[start[r] : end[r]].astype("<u4").tobytes().decode("utf-32-le") for r in rows]
+                ids = [self._encode_long(t) for t in texts]
                 sizes = np.array([len(i) for i in ids], np.int64)
                 found.append((rows, np.array([x for i in ids for x in i], np.uint32), sizes))
                 continue
-            for at in range(0, len(rows), 1 << 14):
-                some = rows[at : at + (1 << 14)]
+            block = max(1, _CELLS // length)
+            for at in range(0, len(rows), block):
+                some = rows[at : at + block]
                 matrix = characters[start[some][:, None] + np.arange(length)[None, :]]
                 found.append((some, *self._ids_of(matrix)))
         return found
 
+    def _encode_long(self, text: str) -> list[int]:
+        """Ids of a part by the library, which puts a space before every text."""
+        if text.startswith(chr(_SPACE)):
+            return self._library.encode(text[1:].replace(chr(_SPACE), " "))
+        # a line feed has its own byte piece, which nothing joins
+        ids = self._library.encode("\n" + text.replace(chr(_SPACE), " "))
+        return ids[ids.index(int(self._byte_id[10])) + 1 :]
+
+    def _within_pieces(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Whether some piece has the two characters next to each other."""
+        pairs = (before.astype(np.uint64) << np.uint64(32)) | after
+        at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
+        return self._pairs[at] == pairs
+
     def _ids_of(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, length = matrix.shape
         if self._unigram:

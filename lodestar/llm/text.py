@@ -7,6 +7,7 @@ of characters other than space and the control characters 9 to 13, a null text h
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,6 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 19
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,18 +39,6 @@ def seeds(n: int, stream: int) -> np.ndarray:
 BYTE_HASH = seeds(256, 1)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash multiplier and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, n - 1).bit_length() if n > 1 << 16 else 1 << 16
-        for at, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[at] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def running(values: np.ndarray) -> np.ndarray:
@@ -60,11 +48,98 @@ def running(values: np.ndarray) -> np.ndarray:
     return out
 
 
+# Spans of bytes are hashed eight at a time; longer ones than this one by one.
+_LONG = 512
+# Spans of up to so many bytes are told apart without a hash.
+EXACT = 16
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as a number; zeros follow the last one."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of many spans of bytes.
+
+    Every eight bytes go through a bijection together with those before them. Different
+    spans of equal length up to eight never collide.
+    """
+    size = end - start
+    eights = _eights(data)
+    out = mix(size.astype(np.uint64) * _MULTIPLIER + seeds(1, 100 + seed))
+    left = np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(left):
+        n = np.minimum(size[left] - at, 8)
+        out[left] = mix(out[left] ^ (eights[start[left] + at] & _MASK[n])) + _MULTIPLIER
+        at += 8
+        left = left[size[left] > at]
+    salt = int(seeds(1, 100 + seed)[0]).to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=salt).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
+def span_checks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Three numbers per span that tell spans apart: exact up to 16 bytes, beyond that the
+    size, the first eight bytes and a second hash."""
+    size = end - start
+    eights = _eights(data)
+    head = np.minimum(size, 8)
+    out = np.stack([eights[start] & _MASK[head], eights[end - head] & _MASK[head], size.astype(np.uint64)])
+    long = np.flatnonzero(size > EXACT)
+    if len(long):
+        out[1, long] = span_hashes(data, start[long], end[long], 99)
+    return out
+
+
+# Rabin-Karp hashes are polynomials modulo the prime 2^61 - 1; modulo a power of two long
+# periodic sequences collide whatever the multiplier.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, both less than it; in halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    whole = np.uint64(2) * a1 * b1 + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half) + a0 * b0
+    return _reduced(whole)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo the prime."""
+    if len(_powers[0]) < n:
+        prime = int(_PRIME)
+        for at, base in enumerate((_BASE, pow(_BASE, -1, prime))):
+            out = _powers[at]
+            while len(out) < max(n, 1 << 16):
+                out = np.concatenate([out, _product(out, np.full(len(out), pow(base, len(out), prime), np.uint64))])
+            _powers[at] = out
+    return _powers[0][:n], _powers[1][:n]
+
+
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Rabin-Karp hash of values[start:end] for many ranges, independent of the place."""
     power, inverse = powers(len(values) + 1)
-    sums = running(values * power[: len(values)])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    terms = _product(_reduced(values), power[: len(values)])
+    # sums of the halves, which fit for four thousand million values
+    low, high = running(terms & np.uint64(0xFFFFFFFF)), running(terms >> np.uint64(32))
+    high = _reduced(high[end] - high[start])
+    shifted = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) | (high >> np.uint64(29))
+    total = _reduced(_reduced(low[end] - low[start]) + shifted)
+    return mix(_product(total, inverse[start]) + (end - start).astype(np.uint64) * _MULTIPLIER)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +190,9 @@ class Words:
     def n_docs(self) -> int:
         return len(self.offsets) - 1
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """64-bit hash of each word."""
-        return range_hashes(BYTE_HASH[self.data], self.start, self.end)
+        return span_hashes(self.data, self.start, self.end, seed)
 
     def counts(self) -> np.ndarray:
         """Words per document."""

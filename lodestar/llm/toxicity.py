@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.boosting import BoostedTrees, isotonic
 from lodestar.llm.text import (
-    BYTE_HASH,
     Words,
     column_words,
     per_document,
-    range_hashes,
+    span_hashes,
     running,
     slices,
 )
@@ -100,15 +99,15 @@ class _Form:
         letters = letters + (tail.view(np.uint8) << 5)
         keep = letters > 0
         at = running(keep.astype(np.int64))
-        return cls(BYTE_HASH[letters[keep]], at[words.start], at[words.end])
+        return cls(letters[keep], at[words.start], at[words.end])
 
     def words(self) -> np.ndarray:
-        return range_hashes(self.values, self.start, self.end)
+        return span_hashes(self.values, self.start, self.end)
 
     def stems(self, length: int) -> np.ndarray:
         """Hashes of the first bytes of the words, 0 for shorter words."""
         end = np.minimum(self.start + length, self.end)
-        found = range_hashes(self.values, self.start, end) ^ np.uint64(length)
+        found = span_hashes(self.values, self.start, end) ^ np.uint64(length)
         return np.where(self.end - self.start >= length, found, np.uint64(0))
 
 

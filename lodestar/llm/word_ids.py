@@ -17,15 +17,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from lodestar.llm.remembered import RememberedIds, parts
+from lodestar.llm.remembered import RememberedIds, distinct_spans, parts
 from lodestar.llm.text import (
-    BYTE_HASH,
     IS_SPACE,
     Words,
     column_words,
     per_document,
     ragged,
-    range_hashes,
     running,
 )
 
@@ -80,17 +78,17 @@ class WordEncoder:
         if not len(words.doc):
             return np.zeros(0, np.uint32), np.zeros(words.n_docs, np.int64)
         data, start, end, odd = _pieces(words)
-        keys = range_hashes(BYTE_HASH[data], start, end) ^ odd.astype(np.uint64)
-        keys, example, which = np.unique(keys, return_index=True, return_inverse=True)
-        new = self._known.missing(keys)
+        spans = distinct_spans(self._known, data, start, end, odd)
+        new = self._known.missing(spans.keys)
         if len(new):
-            at, strange = example[new], odd[example[new]]
+            at = spans.example[new]
+            strange = odd[at]
             found = []
             for rows, encode in ((np.flatnonzero(~strange), self._encode_pieces), (np.flatnonzero(strange), self._encode_words)):
                 if len(rows):
                     found.append((rows, *encode(data, start[at[rows]], end[at[rows]])))
-            self._known.learn(keys[new], *parts(found, len(new)))
-        ids, sizes = self._known.lay_out(keys, which)
+            self._known.learn(spans.keys[new], spans.checks[:, new], *parts(found, len(new)))
+        ids, sizes = self._known.lay_out(spans.keys, spans.which)
         return ids, per_document(sizes, np.searchsorted(start, words.offsets))
 
     def _encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple:

@@ -19,8 +19,8 @@ from lodestar.llm.line_dedup import dedup_lines, line_digests
 from lodestar.llm.near_duplicates import near_duplicate_classes
 from lodestar.llm.neighbours import ListSettings, nearest_by_lists
 from lodestar.llm.packing import pack
-from lodestar.llm.personal_spans import KINDS, base_spans, luhn, written
-from lodestar.llm.pii_crf import find_personal_data, fit_pii_field
+from lodestar.llm.personal_spans import KINDS, base_spans, luhn, regions, written
+from lodestar.llm.pii_crf import SpanField, all_spans, find_personal_data, fit_pii_field
 from lodestar.llm.quality_rules import score_quality
 from lodestar.llm.sentence_pieces import encode_and_decode, sentence_pieces
 from lodestar.llm.substrings import remove_repeats
@@ -377,6 +377,31 @@ def test_the_field_learns_other_forms(spark):
     assert found[1].startswith("phone:") and found[2].startswith("email:") and found[3] == ""
 
 
+def test_the_field_sees_whole_stretches_and_every_mark(spark):
+    model = SpanField({(3, "shape3-3-4"): 9.0, (0, "at at "): 9.0})
+    numbers = " ".join(["1234"] * 150)
+    text = f"{numbers} (415) 555-2671 {numbers}"
+    at = len(numbers) + 1
+    assert (at, at + 14, 3) in all_spans(text, model)[1]
+    plain = "write to john at example (dot) com"
+    got = find_personal_data(frame(spark, [(1, plain, *[None] * 7), (2, "no mark", *[None] * 7)]), model)
+    assert {r["doc_id"]: r["pii"]["spans"] for r in got.collect()} == {1: f"email:9:{len(plain)}", 2: ""}
+    assert len(list(regions("1 " * 100_000)[0].edges)) == 200_000
+
+
+def test_one_cut_decides_between_numbers_and_addresses():
+    text = "a1.4155552671@host.example.com"
+    found = list(regions(text))
+    assert len(found) == 1
+    spans = {(found[0].edges[i], found[0].edges[j], kinds) for i, j, kinds, _ in found[0].segments()}
+    ends = (len(text), text.index(".com"))
+    assert {(a, b, (0,)) for a in (0, 3) for b in ends} <= spans and (3, 13, (1, 2, 3)) in spans
+    as_phone = SpanField({(3, "shape9"): 20.0, (0, "at@"): 5.0})
+    assert as_phone.best(found[0]) == [(3, 13, 3)]
+    as_address = SpanField({(3, "shape9"): 5.0, (0, "at@"): 30.0, (0, "labels3"): 1.0, (0, "local3"): 1.0})
+    assert as_address.best(found[0])[0][2] == 0
+
+
 # toxicity
 
 

@@ -9,16 +9,29 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from odd_rows import frame, prose, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.llm import remembered
 from lodestar.llm.filter_audit import audit_filters, first_in_document, measure, measured
+from lodestar.llm.near_duplicates import near_duplicate_classes
+from lodestar.llm.packing import pack
+from lodestar.llm.quality_rules import score_quality
 from lodestar.llm.resampling import ResamplingSettings, crc32_of_ranges, feature_words, range_of, resample
-from lodestar.llm.text import running
+from lodestar.llm.sentence_pieces import SentencePieces, encode_and_decode, sentence_pieces
+from lodestar.llm.substrings import remove_repeats
+from lodestar.llm.text import mix, powers, range_hashes, running, span_hashes
 from lodestar.llm.url_templates import Rule, TemplateSettings, host_of, judge_urls, path_of, rule_of
+from lodestar.llm.wavelet import read_token_shards, write_token_shards
+from lodestar.llm.word_ids import WordEncoder
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
 def thue_morse(n):
@@ -302,3 +315,90 @@ def test_audit_of_nothing_and_of_very_long_texts(spark):
     got = measured(frame(spark, [(1, text, *[None] * 7)])).first()
     assert (got["n_words"], got["n_distinct"], got["part"]) == (300_000, 3, "")
     assert T.BinaryType() == measured(frame(spark)).schema["digest"].dataType
+
+
+# texts whose polynomial hashes modulo 2^64 are equal
+
+
+def periodic(spark):
+    """Texts that differ only by two strings of letters, or of words, that such hashes confuse."""
+    a, b = thue_morse(11)
+    words = "shared words " * 30
+    texts = [f"{words}{a}", f"{words}{b}", f"{a}\n{b}", " ".join(a), " ".join(b)]
+    return texts, frame(spark, [(i, t, "en", "s", len(t), "t", 1, "r", "d") for i, t in enumerate(texts)], 1)
+
+
+def test_token_ids_of_periodic_texts(spark):
+    texts, docs = periodic(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = WordEncoder(path)._whole
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    read = read_token_shards(spark, write_token_shards(docs, path, 2)).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in read} == {i: crc(w) for i, w in enumerate(want)}
+    pieces = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in pack(docs, path, 2).collect())
+    assert all(c == crc(want[d][s : s + n]) for d, s, n, c in pieces) and sum(p[2] for p in pieces) == sum(map(len, want))
+
+
+def test_pieces_of_periodic_texts(spark):
+    texts, docs = periodic(spark)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = {r["doc_id"]: r["ids_crc32"] for r in encode_and_decode(docs, path).collect()}
+    assert found == {i: crc(sentence_pieces(path)._library.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_periodic_texts_are_not_copies(spark):
+    texts, docs = periodic(spark)
+    classes = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(docs).collect()}
+    assert classes[0] == classes[1] == 0 and classes[2] == 2  # most five-word runs are shared
+    short = thue_morse(9)
+    rare = frame(spark, [(i, " ".join(f"{c}{k % 7}" for k, c in enumerate(t)), *[None] * 7) for i, t in enumerate(short)])
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(rare).collect()} == {0: 0, 1: 1}
+    assert {r["doc_id"]: r["quality"]["n_dup_lines"] for r in score_quality(docs).collect()} == dict.fromkeys(range(5), 0)
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs).collect()}[1] == 60
+
+
+def test_colliding_keys_are_told_apart(monkeypatch):
+    monkeypatch.setattr(remembered, "span_hashes", lambda data, start, end, seed=0: (
+        span_hashes(data, start, end, seed) & np.uint64(3) if seed < 3 else span_hashes(data, start, end, seed)
+    ))
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one two three four five six", "seven eight one nine ten", "two " * 9]
+    ids, counts = encoder.encode(pa.array(texts))
+    assert ids.tolist() == [i for t in texts for i in encoder._whole.encode(t, add_special_tokens=False).ids]
+
+
+def test_rabin_karp_is_modulo_the_prime():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 1 << 64, 300, np.uint64)
+    prime, base = (1 << 61) - 1, int(powers(2)[0][1])
+    start, end = rng.integers(0, 150, 40), rng.integers(150, 300, 40)
+    got = range_hashes(np.concatenate([values, values]), start + 300, end + 300)
+    want = [sum(int(values[i]) % prime * pow(base, int(i - s), prime) for i in range(s, e)) % prime for s, e in zip(start, end, strict=True)]
+    spread = (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert (got == mix(np.array(want, np.uint64) + spread)).all()
+
+
+def test_spans_of_any_length_have_their_own_hash():
+    a, b = thue_morse(11)
+    pieces = [b"x" * n for n in range(600)] + [bytes([i, j]) for i in range(40) for j in range(40)] + [a.encode(), b.encode()]
+    edges = running(np.array([len(p) for p in pieces]))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    assert len(set(span_hashes(data, edges[:-1], edges[1:]).tolist())) == len(pieces)
+    again = span_hashes(np.concatenate([data[:3], data]), edges[:-1] + 3, edges[1:] + 3)
+    assert (again == span_hashes(data, edges[:-1], edges[1:])).all()
+
+
+def test_long_parts_without_spaces():
+    rng = random.Random(8)
+    model = SentencePieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [
+        "".join(rng.choice("日本語的一是在人有我他这中大来上国说为子和你地出道也时年得就那要下以生会自着去之过家") for _ in range(700)),
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789+/") for _ in range(3000)),
+        "a" * 5000, "=" * 4097 + "x", "\n" * 5000, "tail " + "na" * 3000, "ไม่มีช่องว่างในภาษาไทย" * 20, "👍" * 60,
+    ]
+    ids, counts = model.encode(pa.array(texts))
+    at = running(counts)
+    back = model.decode(ids.astype(np.int64), counts)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == model._library.encode(text)
+        assert back[i].decode() == text
