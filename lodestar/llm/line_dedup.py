@@ -18,10 +18,10 @@ the shorter. Variants are emitted as hashes, equal ones meet in an aggregate tha
 earliest line, and the match is verified on the words themselves. As any line that
 neighbours the key is a match, no pairs within a key are needed. Two lines one edit apart
 also share two of three thirds, so only lines that share those with another line emit
-variants. Sums of 44-bit word hashes, with the place in them, stand for the words.
+variants. Filters of bits, of a fixed size, keep the keys that meet nothing out of the joins. Sums of 44-bit word hashes, with the place in them, stand for the words.
 
-The whole texts are shuffled once, to the lines of each document that go or may go. A null
-or empty text stays as it is. Rows with equal ``doc_id`` and text are one place: neither is
+Whole texts are shuffled, once, only where a line goes or may go. A null or empty text stays
+as it is. Rows with equal ``doc_id`` and text are one place: neither is
 earlier. Words are parted by space and by characters 9 to 13, lines by character 10.
 """
 
@@ -39,12 +39,14 @@ MIN_WORDS = 8
 EVERY_LINE = {"min_chars": 1, "short_bytes": 20}
 
 _BLANKS = "\t\x0b\f\r"
+_WORD = r"[^ \t\x0b\f\r]"
 _PLACE = ("doc_id", "t", "line_no")
+_FILTER_BITS = 20
 
 
 def _words(line: Column) -> Column:
     """The words of a line; none for a blank line."""
-    return F.filter(F.split(F.translate(line, _BLANKS, "    "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, _BLANKS, "    "), " "), "")
 
 
 def _units(words: Column, min_words: int, short_bytes: int | None) -> Column:
@@ -81,15 +83,16 @@ def _thirds(n: Column) -> Column:
             _hash(third, 3, first, last),
         )
 
-    sizes = F.array_distinct(F.array(F.floor(n / 3).cast("int"), F.floor((n - 1) / 3).cast("int")))
-    return F.flatten(F.transform(sizes, parts))
+    third = F.floor(n / 3).cast("int")
+    own = parts(third)
+    return F.when(n % 3 == 0, F.concat(own, parts(third - 1))).otherwise(own)
 
 
 def _lines(source: DataFrame, min_chars: int, min_words: int, short_bytes: int | None) -> DataFrame:
     """One row per line that counts: its place, two hashes of its words and of its thirds."""
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    rows = source.select("doc_id", "t", line).filter(F.char_length("line") >= min_chars)
-    rows = rows.select(*_PLACE, _words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    rows = source.select("doc_id", "t", line).filter((F.char_length("line") >= min_chars) & F.col("line").rlike(_WORD))
+    rows = rows.select(*_PLACE, _words(F.col("line")).alias("w"))
     rows = rows.select("*", _units(F.col("w"), min_words, short_bytes).alias("u"))
     return rows.select(
         *_PLACE, _hash(F.col("w")).alias("h1"), _hash(7, F.col("w")).alias("h2"),
@@ -97,11 +100,33 @@ def _lines(source: DataFrame, min_chars: int, min_words: int, short_bytes: int |
     )
 
 
-def _may_be_near(different: DataFrame) -> DataFrame:
-    """The places of lines that share two thirds with another line."""
-    keyed = different.select("place", F.explode("thirds").alias("third"))
-    shared = stage(keyed.groupBy("third").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("third"))
-    return keyed.join(shared, "third").select("place.*").distinct()
+def _possible(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """Add ``_possible``: false only for rows whose key, a long, is not in ``members``.
+
+    The members are bits of 2^20 longs at most, which is all that is broadcast. The fuller
+    the longs, the more rows pass that are not members.
+    """
+    words = 1 << _FILTER_BITS
+    bit = F.shiftrightunsigned("_key", _FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
+    held = (
+        members.toDF("_key").groupBy(F.pmod("_key", F.lit(words)).alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    )
+    keyed = df.withColumn("_key", key).withColumn("_at", F.pmod("_key", F.lit(words)))
+    met = keyed.join(F.broadcast(held), F.col("_at") == F.col("_word"), "left")
+    found = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn("_possible", F.coalesce(found, F.lit(False))).drop("_key", "_at", "_word", "_bits")
+
+
+def _may_be_near(lines: DataFrame, different: DataFrame) -> DataFrame:
+    """The first places of lines that share two thirds with another line."""
+    keyed = lines.select("h1", "h2", F.explode("thirds").alias("third"))
+    shared = stage(
+        keyed.groupBy("third").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("third")
+    )
+    likely = _possible(keyed, F.col("third"), shared).filter("_possible").select("h1", "h2", "third").distinct()
+    found = likely.join(shared, "third").select("h1", "h2").distinct()
+    return found.join(different, ["h1", "h2"]).select("place.*")
 
 
 def _near(texts: DataFrame) -> DataFrame:
@@ -190,30 +215,33 @@ def _deduped(
     )
     lines = stage(_lines(source, min_chars, min_words, short_bytes))
     different = stage(
-        lines.groupBy("h1", "h2").agg(
-            F.min(F.struct(*_PLACE)).alias("place"), F.count(F.lit(1)).alias("many"), F.first("thirds").alias("thirds")
-        )
+        lines.groupBy("h1", "h2").agg(F.min(F.struct(*_PLACE)).alias("place"), F.count(F.lit(1)).alias("many"))
     )
     repeated = stage(different.filter("many > 1").select("h1", "h2", F.col("place").alias("first")))
-    again = (
-        lines.select("h1", "h2", F.struct(*_PLACE).alias("place")).join(repeated, ["h1", "h2"])
-        .filter("place <> first").select("place.*", F.lit(True).alias("goes"))
-    )
-    may = _may_be_near(different.select("place", "thirds")).withColumn("goes", F.lit(False))
-    known = again.unionByName(may).distinct().groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_u")).agg(
-        F.collect_list(F.when(F.col("goes"), F.col("line_no"))).alias("_gone"),
-        F.collect_list(F.when(~F.col("goes"), F.col("line_no"))).alias("_open"),
+    likely = _possible(
+        lines.select("h1", "h2", F.struct(*_PLACE).alias("place")), F.col("h1"), repeated.select("h1")
+    ).filter("_possible").drop("_possible")
+    again = likely.join(repeated, ["h1", "h2"]).filter("place <> first").select("place.*", F.lit(True).alias("goes"))
+    may = _may_be_near(lines, different.drop("many")).withColumn("goes", F.lit(False))
+    known = stage(
+        again.unionByName(may).distinct().groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_u")).agg(
+            F.collect_list(F.when(F.col("goes"), F.col("line_no"))).alias("_gone"),
+            F.collect_list(F.when(~F.col("goes"), F.col("line_no"))).alias("_open"),
+        )
     )
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{text}`").alias("_text"),
         F.col("doc_id").cast("long").alias("_id"), F.hash(F.col(f"`{text}`")).alias("_t"),
     )
     none = F.array().cast("array<int>")
-    joined = rows.join(known, _same(("_id", "_d"), ("_t", "_u")), "left").withColumns(
+    # most texts have no line that goes or may go, and pass without a shuffle
+    dealt = _possible(rows, _hash(F.col("_id"), F.col("_t")), known.select(_hash(F.col("_d"), F.col("_u"))))
+    joined = dealt.filter("_possible").join(known, _same(("_id", "_d"), ("_t", "_u")), "left").withColumns(
         {"_gone": F.coalesce("_gone", none), "_open": F.coalesce("_open", none)}
     )
     waits = F.size("_open") > 0
     n_lines = F.coalesce(F.array_size(F.split("_text", "\n")), F.lit(0)).cast("long").alias("n_lines")
+    whole = dealt.filter("not _possible").select("_row", n_lines, none.alias("_gone"), output(F.col("_text")).alias("_out"))
     passed = _stage_texts(
         joined.select(
             "_row", "_id", "_t", n_lines, "_gone", "_open", F.when(waits, F.col("_text")).alias("_text"),
@@ -234,7 +262,7 @@ def _deduped(
     )
     gone = F.array_union("_gone", F.coalesce("_near", none))
     settled = waiting.join(near, _same(("_id", "_d"), ("_t", "_u")), "left").withColumn("_gone", gone)
-    done = passed.filter("size(_open) = 0").select("_row", "n_lines", "_gone", "_out").unionByName(
+    done = whole.unionByName(passed.filter("size(_open) = 0").select("_row", "n_lines", "_gone", "_out")).unionByName(
         settled.select("_row", "n_lines", "_gone", output(_stay(F.col("_gone"))).alias("_out"))
     )
     return done.select(
