@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 from enum import IntEnum
 from functools import reduce
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import quoted
@@ -147,42 +147,73 @@ class Dimension:
 
 @dataclass(frozen=True)
 class Filter:
-    """A predicate on one column of a table; the table ``fact`` is the fact itself."""
+    """A predicate on one column of a table; the table ``fact`` is the fact itself.
+
+    Without a predicate it is the filter of a group: the column has the group's value.
+    """
 
     table: str
     column: str
-    predicate: Column
+    predicate: Column | None = None
 
 
 @dataclass(frozen=True)
 class FilterContext:
-    """The filters a measure is taken under; all of them must hold."""
+    """The filters a measure is taken under; all of them must hold.
+
+    ``selected`` are those of the layer outside, the selection that was there before the
+    groups of a report or the filters of a measure were added.
+    """
 
     filters: tuple[Filter, ...] = ()
+    selected: tuple[Filter, ...] = ()
+
+    def layer(self, *added: Filter) -> FilterContext:
+        """A layer on top of this context, which becomes the selection."""
+        return FilterContext((*self.filters, *added), self.filters)
+
+    def grouped(self, *columns: tuple[str, str]) -> FilterContext:
+        """A layer with the filters of groups by (table, column) pairs."""
+        return self.layer(*[Filter(t, c) for t, c in columns])
+
+    def all_selected(self, table: str | None = None, *columns: str) -> FilterContext:
+        """Only the selection's filters: on all tables, one table or some of its columns."""
+
+        def meant(f: Filter) -> bool:
+            return table is None or f.table == table and (not columns or f.column in columns)
+
+        inner = tuple(f for f in self.filters if not meant(f))
+        return replace(self, filters=(*inner, *[f for f in self.selected if meant(f)]))
+
+    def groups(self) -> set[tuple[str, str]]:
+        """The columns that the group's filter is still on."""
+        return {(f.table, f.column) for f in self.filters if f.predicate is None}
 
     def keep(self, *added: Filter) -> FilterContext:
         """Add filters to those already on their columns."""
-        return FilterContext((*self.filters, *added))
+        return replace(self, filters=(*self.filters, *added))
 
     def replace(self, *added: Filter) -> FilterContext:
         """Add filters in place of those on the same columns."""
         taken = {(f.table, f.column) for f in added}
-        return FilterContext((*[f for f in self.filters if (f.table, f.column) not in taken], *added))
+        return replace(self, filters=(*[f for f in self.filters if (f.table, f.column) not in taken], *added))
 
     def clear(self, table: str, *columns: str) -> FilterContext:
         """Drop the filters on some columns of a table, or on all of them."""
-        return FilterContext(tuple(
+        return replace(self, filters=tuple(
             f for f in self.filters if f.table != table or (columns and f.column not in columns)
         ))
 
     def clear_except(self, *kept: tuple[str, str] | str) -> FilterContext:
         """Drop all filters but those on the given tables or (table, column) pairs."""
-        return FilterContext(tuple(f for f in self.filters if f.table in kept or (f.table, f.column) in kept))
+        return replace(self, filters=tuple(f for f in self.filters if f.table in kept or (f.table, f.column) in kept))
 
     def by_table(self) -> dict[str, Column]:
         """One predicate per filtered table."""
         out: dict[str, Column] = {}
         for f in self.filters:
+            if f.predicate is None:
+                continue
             out[f.table] = out[f.table] & f.predicate if f.table in out else f.predicate
         return out
 
@@ -219,6 +250,58 @@ class Star:
         """Fact rows under the filters of a context."""
         return self.filtered(context.by_table())
 
+    def sums(
+        self, context: FilterContext, by: Mapping[str, tuple[str, str]],
+        measures: Mapping[str, tuple[Callable[[FilterContext], FilterContext], Column]],
+    ) -> DataFrame:
+        """Sums under many contexts by groups, from one pass over the fact.
+
+        ``by`` names (table, column) pairs to group by, ``measures`` how each measure changes
+        the context of its group and what it sums. Every dimension is joined once, with one
+        bit per predicate that some context has on it. A measure without the filter of a group
+        column sums over the groups. Groups without a row in the selection are left out.
+        """
+        own = context.grouped(*by.values())
+        contexts = {name: change(own) for name, (change, _) in measures.items()}
+        predicates: dict[str, list[Column]] = {}
+        needs: dict[str, dict[str, int]] = {}
+        for name, c in {**contexts, "": context}.items():
+            needs[name] = {}
+            for table, predicate in c.by_table().items():
+                listed = predicates.setdefault(table, [])
+                listed.append(predicate)
+                needs[name][table] = len(listed) - 1
+        rows = self.fact
+        for table in dict.fromkeys([*predicates, *[t for t, _ in by.values()]]):
+            if table == "fact":
+                continue
+            dim = self.dimensions[table]
+            columns = [F.col(f"`{c}`").alias(f"_by_{name}") for name, (t, c) in by.items() if t == table]
+            known = dim.rows.select(F.col(dim.key).alias(f"_key_{table}"), _mask(predicates.get(table, [])).alias(f"_mask_{table}"), *columns)
+            rows = rows.join(known, F.col(dim.fact_key) == F.col(f"_key_{table}"), "left")
+        rows = rows.select(
+            "*", _mask(predicates.get("fact", [])).alias("_mask_fact"),
+            *[F.col(f"`{c}`").alias(f"_by_{name}") for name, (t, c) in by.items() if t == "fact"],
+        )
+
+        def inside(name: str) -> Column:
+            met = [F.coalesce(F.getbit(f"_mask_{t}", F.lit(i)) == 1, F.lit(False)) for t, i in needs[name].items()]
+            return reduce(Column.__and__, met, F.lit(True))
+
+        parts = rows.groupBy(*[F.col(f"_by_{name}").alias(name) for name in by]).agg(
+            F.bool_or(inside("")).alias("_selected"),
+            *[F.sum(F.when(inside(name), value)).alias(name) for name, (_, value) in measures.items()],
+        )
+
+        def over_groups(name: str) -> Column:
+            left = [n for n, pair in by.items() if pair in contexts[name].groups()]
+            if len(left) == len(by):
+                return F.col(name)
+            return F.sum(name).over(Window.partitionBy(*left)).alias(name)
+
+        # one row a group is left, so summing over groups is cheap
+        return parts.select(*by, "_selected", *[over_groups(n) for n in measures]).filter("_selected").drop("_selected")
+
     def related(self, rows: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
         """Fact rows with looked-up columns of a dimension (many to one)."""
         dim = self.dimensions[table]
@@ -227,6 +310,14 @@ class Star:
         )
 
 
+def _mask(predicates: Sequence[Column]) -> Column:
+    """A long with a bit for every predicate that holds."""
+    if len(predicates) > 63:
+        raise ValueError("at most 63 predicates on a table")
+    bits = [F.when(p, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(predicates)]
+    return reduce(Column.bitwiseOR, bits, F.lit(0).cast("long"))
+
+
 def _without_one(texts: Column) -> Column:
     """Every text of an array with one character left out, at every place."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import quoted
 from lodestar.operators.joins import join_and_expand
-from lodestar.operators.ordered import add_index
+from lodestar.operators.ordered import add_index, matches
 from lodestar.operators.quality import require_in_plan
 
 # Fixed value: the prefix of surrogate key columns.
@@ -38,6 +38,28 @@ def add_surrogate_key(
     return join_and_expand(df, keyed, group_by, [column])
 
 
+def extend_registry(
+    registry: DataFrame | None, df: DataFrame, name: str, group_by: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
+    """A registry of keys per combination of columns, with the new combinations of ``df``.
+
+    Known combinations keep their key, new ones get the next keys in ``order``, so keys stay
+    dense and never move from load to load. Null counts as a value. Without a registry all
+    are new. Store the result before the next load, which then reads it.
+    """
+    column = SKEY_PREFIX + name
+    new = df.select(*quoted(group_by)).distinct()
+    if registry is None:
+        return add_index(new, column, list(order or group_by), once=True)
+    known = [f"_known{i}" for i in range(len(group_by))]
+    held = registry.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(group_by, known, strict=True)])
+    new = new.join(held, matches(group_by, known), "left_anti")
+    # an anti join keeps distinct combinations distinct
+    start = registry.agg(F.max(F.col(f"`{column}`"))).first()[0]
+    added = add_index(new, column, list(order or group_by), start=0 if start is None else start + 1, once=True)
+    return registry.select(*quoted(group_by), F.col(f"`{column}`")).unionByName(added)
+
+
 def build_dimension(
     df: DataFrame, key: str, attributes: Sequence[str], check: bool = True
 ) -> DataFrame:

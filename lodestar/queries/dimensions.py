@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.keys import add_surrogate_key, build_dimension, lookup_snapshot_key
+from lodestar.operators.joins import join_and_expand
+from lodestar.operators.keys import (
+    add_surrogate_key,
+    build_dimension,
+    extend_registry,
+    lookup_snapshot_key,
+)
 from lodestar.operators.sizing import (
     column_statistics,
     historical_attributes,
@@ -16,6 +22,7 @@ from lodestar.operators.sizing import (
     latest_start,
 )
 from lodestar.queries.registry import Tables, query
+from lodestar.sources.staging import stage
 
 
 @query("""
@@ -164,3 +171,20 @@ def column_statistics_of_orders(t: Tables) -> DataFrame:
     rows = t.orders.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
     stats = column_statistics(rows, list(_STATS), exact=True)
     return stats.withColumn("share", F.round("share", 6))
+
+
+@query("""
+WITH old AS (SELECT p_brand, p_type, row_number() OVER (ORDER BY p_brand, p_type) - 1 AS key
+             FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size <= 5)),
+new AS (SELECT DISTINCT p_brand, p_type FROM part WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM old)),
+r AS (FROM old UNION ALL SELECT p_brand, p_type, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY p_brand, p_type) - 1 FROM new)
+SELECT p_partkey, key FROM part JOIN r USING (p_brand, p_type)
+""")
+def surrogate_key_registry(t: Tables) -> DataFrame:
+    """Keys of kinds of parts after two loads; the kinds of the first load keep theirs."""
+    kind = ["p_brand", "p_type"]
+    first = stage(extend_registry(None, t.part.filter("p_size <= 5"), "Kind", kind))
+    second = stage(extend_registry(first, t.part, "Kind", kind))
+    return join_and_expand(t.part.select("p_partkey", *kind), second, kind, ["_SKey Kind"]).select(
+        "p_partkey", F.col("_SKey Kind").alias("key")
+    )

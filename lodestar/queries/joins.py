@@ -371,3 +371,65 @@ def filters_cleared(t: Tables) -> DataFrame:
     for name, context in contexts.items():
         every = join_and_expand(every, _by_priority(star.under(context), name), ["priority"], [name])
     return every
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS priority, c_mktsegment AS segment, o_totalprice AS price, o_orderstatus = 'P' AS is_open,
+                  c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') AS chosen, c_acctbal > 0 AS positive
+           FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT priority, segment, sum(price) AS own FROM s WHERE is_open AND chosen AND positive GROUP BY ALL),
+sel AS (SELECT priority, sum(price) AS selected FROM s WHERE is_open AND chosen AND positive GROUP BY ALL),
+every AS (SELECT priority, sum(price) AS every_segment FROM s WHERE is_open AND positive GROUP BY ALL)
+SELECT priority, segment, round(own, 2) AS own, round(selected, 2) AS selected, round(every_segment, 2) AS every_segment,
+       round((SELECT sum(price) FROM s WHERE is_open AND chosen AND positive), 2) AS whole_selection, round(own / selected, 6) AS share
+FROM g JOIN sel USING (priority) JOIN every USING (priority)
+""")
+def share_of_selection(t: Tables) -> DataFrame:
+    """Segments of a selection against all selected ones, all segments and the whole selection."""
+    star = Star(t.orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    selection = _context().replace(
+        Filter("customer", "c_mktsegment", F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "FURNITURE"))
+    )
+    price = F.col("o_totalprice")
+    sums = star.sums(
+        selection, {"priority": ("fact", "o_orderpriority"), "segment": ("customer", "c_mktsegment")},
+        {
+            "own": (lambda c: c, price),
+            "selected": (lambda c: c.all_selected("customer", "c_mktsegment"), price),
+            "every_segment": (lambda c: c.clear("customer", "c_mktsegment"), price),
+            "whole_selection": (lambda c: c.all_selected(), price),
+        },
+    )
+    measures = ("own", "selected", "every_segment", "whole_selection")
+    return sums.select(
+        "priority", "segment", *[cents(F.col(c)).alias(c) for c in measures],
+        F.round(F.try_divide("own", "selected"), 6).alias("share"),
+    )
+
+
+@query("""
+SELECT o_orderpriority AS priority,
+       round(sum(CASE WHEN o_orderstatus = 'P' AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0 THEN o_totalprice END), 2) AS own,
+       round(sum(CASE WHEN o_orderstatus = 'P' AND c_mktsegment = 'FURNITURE' AND c_acctbal > 0 THEN o_totalprice END), 2) AS replaced,
+       round(sum(CASE WHEN o_orderstatus = 'P' AND c_mktsegment = 'BUILDING' AND c_acctbal > 0 THEN o_totalprice END), 2) AS kept,
+       round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS table_cleared,
+       round(sum(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN o_totalprice END), 2) AS all_but_one
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+HAVING count(*) FILTER (o_orderstatus = 'P' AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0) > 0
+""")
+def contexts_in_one_scan(t: Tables) -> DataFrame:
+    """Five contexts by priority, from one pass over the orders."""
+    star = Star(t.orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
+    segment, price = F.col("c_mktsegment"), F.col("o_totalprice")
+    sums = star.sums(
+        _context(), {"priority": ("fact", "o_orderpriority")},
+        {
+            "own": (lambda c: c, price),
+            "replaced": (lambda c: c.replace(Filter("customer", "c_mktsegment", segment == "FURNITURE")), price),
+            "kept": (lambda c: c.keep(Filter("customer", "c_mktsegment", segment == "BUILDING")), price),
+            "table_cleared": (lambda c: c.clear("customer"), price),
+            "all_but_one": (lambda c: c.clear_except(("customer", "c_mktsegment"), ("fact", "o_orderpriority")), price),
+        },
+    )
+    names = ("own", "replaced", "kept", "table_cleared", "all_but_one")
+    return sums.select("priority", *[cents(F.col(c)).alias(c) for c in names])

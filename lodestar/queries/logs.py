@@ -27,7 +27,7 @@ from lodestar.operators.logs import spike_query_log as find_spike
 from lodestar.queries.columns import request_properties
 from lodestar.queries.registry import Tables, query
 from lodestar.sources.staging import staging_path
-from lodestar.sources.tables import append_log, write_text
+from lodestar.sources.tables import append_log, read_runs, write_run, write_text
 
 
 def _k() -> Column:
@@ -161,6 +161,27 @@ def perf_log_compare(t: Tables) -> DataFrame:
     return rows.withColumns(rounded).drop("median_duration")
 
 
+@query("""
+SELECT 'run-' || event_type AS run, count(*) AS n, round(sum(value), 2) AS total FROM events
+WHERE event_type <> 'error' GROUP BY 1
+""")
+def runs_written_again(t: Tables) -> DataFrame:
+    """A run per kind of event, of which one is repeated with other rows and one cut short."""
+    path = staging_path(t.spark)
+    events = t.events.select("event_id", "event_type", "value")
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a few kinds
+    for kind in kinds:
+        rows = events.filter(F.col("event_type") == kind)
+        if kind == "error":
+            # no manifest follows
+            rows.write.parquet(f"{path}/rows/run=run-{kind}/attempt=cut")
+            continue
+        write_run(rows.filter("event_id % 2 = 0"), path, f"run-{kind}")
+        write_run(rows, path, f"run-{kind}")
+    log = read_runs(t.spark, path, events.schema.toDDL())
+    return log.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 def _log_star(t: Tables) -> LogStar:
     logs = t.events.select(
         F.when(F.col("value") < 10, "small").otherwise("large").alias("model"),

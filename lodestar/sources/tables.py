@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +115,29 @@ def append_log(df: DataFrame, path: str, run_date: str = "run_date") -> None:
     rows.write.mode("append").partitionBy(run_date).parquet(path)
 
 
+def write_run(df: DataFrame, path: str, run: str) -> None:
+    """Store the rows of a run so that a repeated or failed run leaves one copy.
+
+    Every attempt writes a folder of its own; the manifest of the run, one small file that is
+    written last, names the attempt that counts. Readers see the attempt before until then.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run):
+        raise ValueError("a run is named by letters, digits, dot, dash and underscore")
+    attempt = uuid.uuid4().hex
+    df.write.parquet(f"{path}/rows/run={run}/attempt={attempt}")
+    write_text(df.sparkSession, f"{path}/manifest/{run}.json", json.dumps({"run": run, "attempt": attempt}))
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all finished runs, with the ``run`` they are from.
+
+    The manifests choose the folders that are read; a run without one does not exist.
+    """
+    runs = spark.read.schema("run string, attempt string").json(f"{path}/manifest")
+    rows = spark.read.schema(f"{schema}, run string, attempt string").parquet(f"{path}/rows")
+    return rows.join(runs, ["run", "attempt"], "left_semi").drop("attempt")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small UTF-8 file on any file system Spark can write to."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

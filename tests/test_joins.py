@@ -226,3 +226,48 @@ def test_filter_contexts(spark):
     assert names(context.replace(Filter("c", "seg", F.lit(False)))) == [("c", "age"), ("fact", "amount"), ("c", "seg")]
     assert names(context.keep(Filter("c", "seg", F.lit(False)))).count(("c", "seg")) == 2
     assert set(context.by_table()) == {"c", "fact"}
+
+
+def test_layers_of_filters(spark):
+    outer = FilterContext((Filter("c", "seg", F.lit(True)), Filter("fact", "day", F.lit(True))))
+    own = outer.grouped(("c", "seg"), ("c", "city"))
+
+    def names(c):
+        return [(f.table, f.column, f.predicate is None) for f in c.filters]
+
+    assert own.groups() == {("c", "seg"), ("c", "city")}
+    assert names(own.all_selected("c", "seg")) == [("fact", "day", False), ("c", "city", True), ("c", "seg", False)]
+    assert names(own.all_selected()) == [("c", "seg", False), ("fact", "day", False)]
+    assert own.clear("c").all_selected("c").groups() == set()
+    assert names(own.layer(Filter("c", "age", F.lit(True))).all_selected("c", "age")) == names(own)
+
+
+def test_sums_under_many_contexts(spark):
+    rng = random.Random(4)
+    facts = [(rng.choice([None, 0, 1, 2, 3, 9]), rng.choice("xy"), rng.randrange(100)) for _ in range(200)]
+    dim = [(0, "a", 5), (1, "b", -5), (2, "a", -1), (3, None, 7)]
+    star = Star(
+        spark.createDataFrame(facts, "k int, day string, v int"),
+        {"c": Dimension(spark.createDataFrame(dim, "id int, seg string, age int"), "id", "k")},
+    )
+    outer = FilterContext((Filter("c", "age", F.col("age") > -2), Filter("fact", "day", F.col("day") == "x")))
+    got = star.sums(outer, {"seg": ("c", "seg")}, {
+        "own": (lambda c: c, F.col("v")), "selected": (lambda c: c.all_selected("c", "seg"), F.col("v")),
+        "other": (lambda c: c.replace(Filter("fact", "day", F.col("day") == "y")), F.col("v")),
+        "all": (lambda c: c.clear("c").clear("fact"), F.col("v")),
+    })
+    known = {i: (s, a) for i, s, a in dim}
+    joined = [(*known.get(k, (None, None)), d, v) for k, d, v in facts]
+
+    def total(test):
+        return sum((v for s, a, d, v in joined if test(s, a, d)), 0) or None
+
+    expected = [
+        (seg, total(lambda s, a, d: s == seg and a is not None and a > -2 and d == "x"),
+         total(lambda s, a, d: a is not None and a > -2 and d == "x"),
+         total(lambda s, a, d: s == seg and a is not None and a > -2 and d == "y"), total(lambda s, a, d: True))
+        for seg in ("a", None)
+    ]
+    assert rows(got) == expected
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # the fact and its dimension once each

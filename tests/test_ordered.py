@@ -9,7 +9,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.operators import ordered
-from lodestar.operators.keys import add_surrogate_key, build_dimension, lookup_snapshot_key
+from lodestar.operators.keys import (
+    add_surrogate_key,
+    build_dimension,
+    extend_registry,
+    lookup_snapshot_key,
+)
 from lodestar.operators.ordered import add_index, cumulative_to_incremental, group_rows
 from lodestar.sources.staging import _staged
 
@@ -190,3 +195,15 @@ def test_snapshot_lookup(spark):
     fact = spark.createDataFrame([(9, 1, "2024-02-01"), (8, 2, "2024-02-01")], "id int, employee int, snapshot string")
     got = lookup_snapshot_key(fact, dim, ["employee", "snapshot"], "Employee")
     assert {r["id"]: r["_SKey Employee"] for r in got.collect()} == {9: 1, 8: None}
+
+
+def test_registered_keys_stay(spark):
+    def load(*kinds):
+        return spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, i int")
+
+    first = extend_registry(None, load("b", "d", "d", None), "Kind", ["kind"])
+    assert rows(first) == [("b", 1), ("d", 2), (None, 0)]
+    second = extend_registry(first, load("a", "b", None, "c", "a"), "Kind", ["kind"])
+    assert rows(second) == [("a", 3), ("b", 1), ("c", 4), ("d", 2), (None, 0)]
+    assert rows(extend_registry(second, load("a"), "Kind", ["kind"])) == rows(second)
+    assert rows(extend_registry(first.limit(0), load("x"), "Kind", ["kind"])) == [("x", 0)]

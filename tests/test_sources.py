@@ -16,6 +16,8 @@ from lodestar.sources.calendars import (
 from lodestar.sources.staging import stage, staging_root
 from lodestar.sources.tables import (
     append_log,
+    read_runs,
+    write_run,
     expand_json_list,
     inline_table,
     overwrite,
@@ -150,3 +152,15 @@ def test_stage_keeps_rows_and_schema(spark):
     got = stage(df)
     assert got.columns == df.columns and rows(got) == rows(df)
     assert staging_root(spark) in got.inputFiles()[0]
+
+
+def test_a_run_is_there_once_or_not_at_all(spark, tmp_path):
+    path, schema = str(tmp_path / "runs"), "id long"
+    write_run(spark.range(5), path, "2024-01-01")
+    write_run(spark.range(3), path, "20240102")
+    write_run(spark.range(7), path, "2024-01-01")
+    spark.range(9).write.parquet(f"{path}/rows/run=20240103/attempt=1")
+    found = read_runs(spark, path, schema).groupBy("run").count()
+    assert rows(found) == [("2024-01-01", 7), ("20240102", 3)]
+    with pytest.raises(ValueError, match="a run is named"):
+        write_run(spark.range(1), path, "a/b")
