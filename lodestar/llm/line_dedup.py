@@ -72,32 +72,52 @@ def _same(*pairs: tuple[str, str]) -> Column:
     return out
 
 
-def _thirds(n: Column) -> Column:
-    """Hashes of two of three parts of a line, for its own length and the length below."""
+def _first_words(n: Column) -> Column:
+    return F.call_function("substring_index", F.col("j"), F.lit(" "), n)
+
+
+def _last_words(n: Column) -> Column:
+    return F.call_function("substring_index", F.col("j"), F.lit(" "), -n)
+
+
+def _first_characters(n: Column) -> Column:
+    return F.substr("j", F.lit(1), n)
+
+
+def _last_characters(n: Column) -> Column:
+    return F.substr("j", F.char_length("j") - n + 1, n)
+
+
+def _thirds(n: Column, first: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
+    """Hashes of two of three parts of a line, for its own length and the length below.
+
+    The parts are pieces of the joined line ``j``, cut by ``first`` and ``last``.
+    """
 
     def parts(third: Column) -> Column:
-        first, last = F.slice("u", F.lit(1), third), F.slice("u", n - third + 1, third)
         return F.array(
-            _hash(third, 1, F.slice("u", F.lit(1), 2 * third)),
-            _hash(third, 2, F.slice("u", n - 2 * third + 1, 2 * third)),
-            _hash(third, 3, first, last),
+            _hash(third, 1, first(2 * third)), _hash(third, 2, last(2 * third)), _hash(third, 3, first(third), last(third))
         )
 
     third = F.floor(n / 3).cast("int")
-    own = parts(third)
-    return F.when(n % 3 == 0, F.concat(own, parts(third - 1))).otherwise(own)
+    return F.when(n % 3 == 0, F.concat(parts(third), parts(third - 1))).otherwise(parts(third))
 
 
 def _lines(source: DataFrame, min_chars: int, min_words: int, short_bytes: int | None) -> DataFrame:
-    """One row per line that counts: its place, two hashes of its words and of its thirds."""
-    line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    """One row per line that counts: its place, two hashes of its words and of its thirds.
+
+    What an outer explode yields is computed once; a plain column would be computed again in
+    every expression and filter that uses it.
+    """
+    line = F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")
     rows = source.select("doc_id", "t", line).filter((F.char_length("line") >= min_chars) & F.col("line").rlike(_WORD))
-    rows = rows.select(*_PLACE, _words(F.col("line")).alias("w"))
-    rows = rows.select("*", _units(F.col("w"), min_words, short_bytes).alias("u"))
-    return rows.select(
-        *_PLACE, _hash(F.col("w")).alias("h1"), _hash(7, F.col("w")).alias("h2"),
-        F.when(F.col("u").isNotNull(), _thirds(F.size("u"))).alias("thirds"),
-    )
+    rows = rows.select(*_PLACE, F.explode_outer(F.array(_words(F.col("line")))).alias("w"))
+    rows = rows.select(*_PLACE, F.size("w").alias("n"), F.explode_outer(F.array(F.array_join("w", " "))).alias("j"))
+    thirds = F.when(F.col("n") >= min_words, _thirds(F.col("n"), _first_words, _last_words))
+    if short_bytes is not None:
+        characters = _thirds(F.char_length("j"), _first_characters, _last_characters)
+        thirds = thirds.when(F.octet_length("j") >= short_bytes, characters)
+    return rows.select(*_PLACE, _hash(F.col("j")).alias("h1"), _hash(7, F.col("j")).alias("h2"), thirds.alias("thirds"))
 
 
 def _possible(df: DataFrame, key: Column, members: DataFrame) -> DataFrame:
