@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     common = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
     shared = stage(every.join(stage(common.select("anchor")), "anchor").dropDuplicates(["doc_id", "t", "at"]))
     least = stage(shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least")))
-    forms = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms"))
+    forms = stage(least.groupBy("anchor").agg(F.count(F.lit(1)).alias("forms")))
     sums = stage(least.join(forms, "anchor"))
     settled = F.col("doc_id") > F.col("least")
     place = F.struct("at", "n")
