@@ -256,7 +256,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     chosen = F.broadcast(for_lexicon.unionByName(for_trees))
     rows = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", *[c for c in chosen.columns if c != "doc_id"]).agg(F.min("text").alias("text"))
     )
     lexicon = _learn_lexicon(rows.filter("half = 0"), settings)
 
