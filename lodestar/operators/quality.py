@@ -173,3 +173,53 @@ def equivalence(left: DataFrame, right: DataFrame) -> DataFrame:
             "equivalent"
         ),
     )
+
+
+def _fingerprints(rows: DataFrame, names: Sequence[str], buckets: int) -> DataFrame:
+    """Per bucket of rows their number and sums of two hashes, whatever their order."""
+    first, second = F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in names])
+    halves = [
+        F.sum(half(h)) for h in (first, second)
+        for half in (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)), lambda x: F.shiftrightunsigned(x, 32))
+    ]
+    return rows.groupBy(F.pmod(first, F.lit(buckets)).alias("_bucket")).agg(
+        F.struct(F.count(F.lit(1)), *halves).alias("_print")
+    )
+
+
+def differences(left: DataFrame, right: DataFrame, samples: int | None = 20, buckets: int = 4096) -> DataFrame:
+    """The rows that two results do not share, as bags: ``only_in`` left or right, and ``times``.
+
+    Equal results shuffle one fingerprint a bucket and task. Only rows of buckets whose
+    fingerprints differ are compared one by one. ``samples`` bounds the rows returned of each
+    side, by the order of the columns; None returns all. Both need the same column names.
+    """
+    if sorted(left.columns) != sorted(right.columns):
+        raise ValueError("the results have different columns")
+    names = left.columns
+    right = right.select(*[F.col(f"`{c}`") for c in names])
+    a, b = (_fingerprints(side, names, buckets) for side in (left, right))
+    unlike = (
+        a.withColumnRenamed("_print", "_a").join(b.withColumnRenamed("_print", "_b"), "_bucket", "full")
+        .filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("_bucket")
+    )
+
+    def suspects(side: DataFrame, sign: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(buckets))
+        # at most as many rows as there are buckets
+        return side.withColumn("_own", own).join(F.broadcast(unlike), F.col("_own") == F.col("_bucket"), "left_semi").select(
+            *[F.col(f"`{c}`") for c in names], F.lit(sign).alias("_sign")
+        )
+
+    gaps = (
+        suspects(left, 1).unionByName(suspects(right, -1)).groupBy(*[f"`{c}`" for c in names])
+        .agg(F.sum("_sign").alias("_gap")).filter("_gap <> 0")
+    )
+    found = gaps.select(
+        *[F.col(f"`{c}`") for c in names], F.when(F.col("_gap") > 0, "left").otherwise("right").alias("only_in"),
+        F.abs("_gap").alias("times"),
+    )
+    if samples is None:
+        return found
+    sides = [found.filter(F.col("only_in") == s).orderBy(*[f"`{c}`" for c in names]).limit(samples) for s in ("left", "right")]
+    return sides[0].unionByName(sides[1])

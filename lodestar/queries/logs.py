@@ -26,7 +26,8 @@ from lodestar.operators.logs import (
 from lodestar.operators.logs import spike_query_log as find_spike
 from lodestar.queries.columns import request_properties
 from lodestar.queries.registry import Tables, query
-from lodestar.sources.staging import staging_path
+from lodestar.plans.sketches import merged_quantiles, run_sketches
+from lodestar.sources.staging import stage, staging_path
 from lodestar.sources.tables import append_log, read_runs, write_run, write_text
 
 
@@ -182,6 +183,24 @@ def runs_written_again(t: Tables) -> DataFrame:
     return log.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("""
+WITH v AS (SELECT event_type, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1)
+SELECT event_type, n, round(mean, 4) AS mean, true AS median_near, true AS tail_near FROM v
+""")
+def run_quantiles_from_sketches(t: Tables) -> DataFrame:
+    """Quantiles over all days from a sketch a day, tested by the rank they have in the rows."""
+    daily = stage(run_sketches(t.events.withColumn("run", F.to_date("ts")), ["event_type", "run"], "value"))
+    found = merged_quantiles(daily, ["event_type"], {"median": 0.5, "tail": 0.9})
+    below = t.events.select("event_type", "value").join(F.broadcast(found), "event_type").groupBy("event_type", "n", "mean").agg(
+        *[
+            ((F.count_if(F.col("value") < F.col(c)) <= (r + 0.03) * F.count(F.lit(1)))
+             & (F.count_if(F.col("value") <= F.col(c)) >= (r - 0.03) * F.count(F.lit(1)))).alias(f"{c}_near")
+            for c, r in (("median", 0.5), ("tail", 0.9))
+        ]
+    )
+    return below.withColumn("mean", F.round("mean", 4))
+
+
 def _log_star(t: Tables) -> LogStar:
     logs = t.events.select(
         F.when(F.col("value") < 10, "small").otherwise("large").alias("model"),

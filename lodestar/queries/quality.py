@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators.quality import (
     Check,
     check_report,
+    differences,
     many_values,
     null_counts,
     repeated,
@@ -78,3 +79,21 @@ def dq_suite(t: Tables) -> DataFrame:
             Check("tax", F.col("l_tax") <= 1),
         ],
     )
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders),
+b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 500 = 0 THEN 'changed' ELSE o_orderpriority END AS o_orderpriority
+      FROM orders WHERE o_orderkey % 700 <> 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 900 = 0),
+x AS ((FROM a EXCEPT ALL FROM b)), y AS ((FROM b EXCEPT ALL FROM a))
+SELECT *, 'left' AS only_in, count(*) AS times FROM x GROUP BY ALL
+UNION ALL SELECT *, 'right', count(*) FROM y GROUP BY ALL
+""")
+def result_differences(t: Tables) -> DataFrame:
+    """Orders against a copy with some rows changed, dropped or doubled."""
+    keys = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    changed = F.when(F.col("o_orderkey") % 500 == 0, "changed").otherwise(F.col("o_orderpriority"))
+    other = keys.filter("o_orderkey % 700 <> 0").withColumn("o_orderpriority", changed).unionByName(
+        keys.filter("o_orderkey % 900 = 0")
+    )
+    return differences(keys, other, samples=None)

@@ -31,10 +31,11 @@ from lodestar.plans.rolling import (
     rolling_distinct_trend,
 )
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
+from lodestar.plans.sketches import BITS, approx_windows, day_sketches
 from lodestar.plans.time_intelligence import Measure, time_intelligence
 from lodestar.queries.registry import Tables, cents, iso, query
 from lodestar.sources.calendars import calendar_window_bridge, date_bounds, days_between, days_spanned
-from lodestar.sources.staging import staging_path
+from lodestar.sources.staging import stage, staging_path
 
 FIRST, LAST = dt.date(1995, 6, 1), dt.date(2001, 6, 30)
 
@@ -221,6 +222,26 @@ def rolling_bitmaps_bridge_by_kind(t: Tables) -> DataFrame:
     return count_windows(bitmaps, wanted).select(iso("window").alias("window_day"), "n")
 
 
+@query(f"""
+WITH {_PAIRS_SQL}, {_DAYS_SQL}
+SELECT strftime(d.day, '%Y-%m-%d') AS day, count(DISTINCT thing) AS exact, true AS near
+FROM d JOIN p ON p.day BETWEEN d.day - 27 AND d.day GROUP BY d.day
+""")
+def rolling_sketches_month_end(t: Tables) -> DataFrame:
+    """Month ends from stored sketches, within four standard errors of the exact counts."""
+    orders = Star(
+        t.daily_orders.filter(F.col("day").between(F.lit(FIRST - dt.timedelta(days=27)), F.lit(LAST))),
+        {"customer": Dimension(t.customer, "c_custkey", "o_custkey")},
+    ).filtered({"customer": F.col("c_mktsegment") == "BUILDING"})
+    sketches = stage(day_sketches(orders, "o_custkey", "day"))
+    days = month_end_days(t.daily_orders, "day", _calendar(t).filter(_SELECTED))
+    close = approx_windows(sketches, window_days(days, 28), "approx")
+    exact = count_marked_on(mark_days(orders, ["o_custkey"], "day"), "o_custkey", 28, days, "exact")
+    error = 4 * 1.04 / 2 ** (BITS / 2)
+    near = F.abs(F.col("approx") - F.col("exact")) <= F.greatest(F.col("exact") * error, F.lit(1))
+    return exact.join(close, exact.day == close.window).select(iso("day").alias("day"), "exact", near.alias("near"))
+
+
 def _trend(t: Tables, by: str) -> DataFrame:
     star = Star(t.daily_orders, {"customer": Dimension(t.customer, "c_custkey", "o_custkey")})
     calendar = _calendar(t)

@@ -21,6 +21,7 @@ from lodestar.plans.rolling import (
     rolling_distinct_trend,
 )
 from lodestar.plans.running import running_total, running_total_adjusted, years_spanned
+from lodestar.plans.sketches import approx_windows, day_sketches, merged_quantiles, run_sketches
 from lodestar.plans.time_intelligence import Measure, generated_names, time_intelligence
 from lodestar.sources.calendars import calendar_window_bridge, days_between
 
@@ -190,3 +191,18 @@ def test_bitmaps_count_as_marks_do(spark, tmp_path, shift):
     assert counted(stored.limit(0)) == []
     part = read_bitmaps(bitmaps, path, (dt.date(2024, 2, 10), dt.date(2024, 3, 2)))
     assert rows(part.agg(F.min("day"), F.max("day"))) == [(dt.date(2024, 2, 10), dt.date(2024, 3, 2))]
+
+
+def test_sketches_merge_to_the_whole(spark):
+    fact = spark.range(40_000).select(
+        F.when(F.col("id") % 100 > 0, F.col("id") % 9_000).alias("thing"), F.date_add(F.lit(START), (F.col("id") % 20).cast("int")).alias("day"),
+        (F.col("id") % 1000).alias("v"),
+    )
+    days = days_with_facts(fact, "day")
+    exact = {r["day"]: r["n"] for r in rolling_distinct(fact, "thing", "day", 7, days).collect()}
+    got = {r["window"]: r["n"] for r in approx_windows(day_sketches(fact, "thing", "day"), window_days(days, 7)).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[d] - exact[d]) <= 0.04 * exact[d] for d in exact)
+    one = merged_quantiles(run_sketches(fact, ["day"], "v"), [], {"half": 0.5, "most": 0.9}).first()
+    assert one["n"] == 40_000 and one["mean"] == 499.5
+    assert abs(one["half"] - 500) <= 30 and abs(one["most"] - 900) <= 30
+    assert rows(merged_quantiles(run_sketches(fact.limit(0), ["day"], "v"), ["day"], {"half": 0.5})) == []

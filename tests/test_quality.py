@@ -7,6 +7,7 @@ from lodestar.operators.quality import (
     Check,
     DataQualityError,
     check_report,
+    differences,
     equivalence,
     many_values,
     repeated,
@@ -86,6 +87,20 @@ def test_equivalence(spark, table):
     assert tuple(empty) == (0, 0, 0, 0, True, True)
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+def test_differences_name_the_rows(spark, buckets):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c"), (None, "d")], "`k.k` int, v string")
+    right = spark.createDataFrame([("a", 1), (None, 2), ("x", 3), ("d", None), ("x", 3)], "v string, `k.k` int")
+    assert rows(differences(left, right, buckets=buckets)) == [(1, "a", "left", 1), (3, "c", "left", 1), (3, "x", "right", 2)]
+    assert rows(differences(left, right, samples=1, buckets=buckets)) == [(1, "a", "left", 1), (3, "x", "right", 2)]
+    assert rows(differences(left, left.repartition(3), buckets=buckets)) == []
+    assert rows(differences(left.limit(0), left.limit(0), buckets=buckets)) == []
+    zeros = spark.createDataFrame([(0.0,), (float("nan"),)], "x double")
+    assert rows(differences(zeros, spark.createDataFrame([(-0.0,), (float("nan"),)], "x double"), buckets=buckets)) == []
+    with pytest.raises(ValueError, match="different columns"):
+        differences(left, left.drop("v"))
+
+
 def test_column_names_with_dots(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y")], "`a.b` int, c string")
     assert rows(repeated(df, ["a.b"])) == [(1, 2)]
