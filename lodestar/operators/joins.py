@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import quoted
 from lodestar.operators.ordered import matches
+from lodestar.sources.staging import stage
 
 
 class RowIntegrity(IntEnum):
@@ -406,7 +407,8 @@ def closest_texts(
         F.min(key).alias("_key")
     )
     asked = left.select(F.col(text).alias("_a")).filter("_a is not null").distinct()
-    met = asked.join(b, F.col("_a") == F.col("_b"), "left")
+    # stored, as what follows takes it twice
+    met = stage(asked.join(b, F.col("_a") == F.col("_b"), "left"))
     near = (
         near_candidates(met.filter("_b is null").select("_a"), b, limit)
         .select("_a", "_key", F.levenshtein("_a", "_b", limit).alias("_distance"))

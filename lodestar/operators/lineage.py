@@ -181,11 +181,15 @@ def unused_measures(
     state = stage(_first_state(names))
     while True:
         state = stage(_next_state(state))
-        left = state.agg(F.bool_or("moved").alias("moved"), F.bool_or(F.col("caller").isNotNull()).alias("open")).first()
+        left = state.agg(
+            F.bool_or("moved").alias("moved"), F.bool_or(F.col("caller").isNotNull()).alias("open"),
+            F.max(F.when(~F.col("kept"), F.col("m"))).alias("last"),
+        ).first()
         if not (left["moved"] and left["open"]):
             break
     dropped = _nodes(state).filter("callers = 0 and not kept").select("node", F.col("m").alias("round"))
-    last = dropped.agg(F.max("round")).first()[0] or 0
+    # with every call settled a name has one row
+    last = (dropped.agg(F.max("round")).first()[0] if left["open"] else left["last"]) or 0
     if max_rounds is not None and last >= max_rounds:
         raise ValueError(f"more than {max_rounds} rounds are needed")
     found = names.join(dropped, "node").select("report", "name", F.inline("tables"), "round")
