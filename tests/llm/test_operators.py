@@ -633,3 +633,31 @@ def test_pipeline_keeps_one_of_each_class(spark):
     out = corpus_pipeline.near_dedup(spark, frame(spark, data), "unused").collect()
     classes = brute_classes(data)
     assert sorted(r["doc_id"] for r in out) == sorted(set(classes.values()))
+
+
+def test_pipeline_runs_its_stages_over_a_folder(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(300)]
+    data = [
+        (i, "\n".join(prose(rng, words, 30) for _ in range(4)) + f"\nmail a{i}@host.example.com or 10.0.0.{i}", "en", f"s{i % 3}", 1)
+        for i in range(30)
+    ]
+    data.append((30, data[3][1] + " end", "en", "s0", 1))  # a near copy
+    data.append((31, "too short", "en", "s0", 1))
+    data.append((32, prose(rng, words, 80) + "\n" + data[5][1].split("\n")[0], "en", "s1", 1))  # a line of document 5
+    schema = T.StructType(SCHEMA.fields[:5])
+    spark.createDataFrame(data, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame(data, schema)
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        after = step(spark, docs, str(tmp_path))
+        assert after.columns == schema.names
+        docs = spark.createDataFrame(after.collect(), schema)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert 31 not in texts and set(range(30)) - {3} <= set(texts)
+    assert "@" not in "".join(texts.values()) and data[5][1].split("\n")[0] not in texts[32]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    found = defaultdict(list)
+    for r in sorted(pieces, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == len(found[r["doc_id"]])
+        found[r["doc_id"]] += np.frombuffer(bytes(r["ids"]), "<u4").tolist() if isinstance(r["ids"], (bytes, bytearray)) else list(r["ids"])
+    assert found == {d: ids_of(t) for d, t in texts.items()}
