@@ -17,7 +17,7 @@ import corpus_pipeline
 from lodestar.llm.components import connected_components
 from lodestar.llm.line_dedup import dedup_lines, line_digests
 from lodestar.llm.near_duplicates import near_duplicate_classes
-from lodestar.llm.neighbours import ListSettings, nearest_by_lists
+from lodestar.llm.neighbours import CentroidGraph, ListSettings, balanced_centroids, nearest_by_lists, query_ratio
 from lodestar.llm.packing import pack
 from lodestar.llm.personal_spans import KINDS, base_spans, luhn, regions, written
 from lodestar.llm.pii_crf import SpanField, all_spans, find_personal_data, fit_pii_field
@@ -596,6 +596,25 @@ def test_neighbours_against_brute_force(spark):
         assert [s for _, s in near] == sorted((s for _, s in near), reverse=True)
 
 
+def test_ratio_of_queries_follows_the_vectors():
+    rng = np.random.default_rng(5)
+    lone = rng.normal(size=(4000, 16))
+    groups = np.repeat(rng.normal(size=(80, 16)) * 8, 50, axis=0) + rng.normal(size=(4000, 16)) * 0.05
+
+    def share(vectors):
+        points = np.concatenate([vectors, np.zeros((len(vectors), 1))], 1)
+        points[:, :-1] /= np.linalg.norm(vectors, axis=1)[:, None]
+        graph = CentroidGraph(balanced_centroids(points, 128), 24)
+        ratio = query_ratio(points, graph, 20, ListSettings())
+        far = np.sort(graph.distances(points[::40]), axis=1)
+        return ratio, (far <= ratio**2 * far[:, 7:8]).mean()
+
+    (wide, many), (narrow, few) = share(lone), share(groups)
+    assert narrow < wide and few < 0.05 and few < many
+    one = np.ones((1, 3))
+    assert query_ratio(one, CentroidGraph(one, 24), 5, ListSettings()) == ListSettings().ratio
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], None), (1, [0.5, 0.5], None), (5, [0.0, 1.0], None)], VECTORS)
     out = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest_by_lists(few, F.col("vec_id") % 5 == 0, 20).collect()}
