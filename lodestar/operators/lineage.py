@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import bracket_references, first_capture
-from lodestar.sources.staging import stage, staging_path
+from lodestar.sources.staging import stage
 
 
 def source_tables(parts: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -265,25 +265,53 @@ def _next_state(state: DataFrame) -> DataFrame:
 def dependency_closure(edges: DataFrame, seeds: DataFrame, key: str = "object") -> DataFrame:
     """Everything the seeds depend on, directly or not, with the least distance.
 
-    ``edges`` has the columns ``object`` and ``depends_on``. Each round follows the
-    edges of the objects found last; an object is kept once, so cycles end.
+    ``edges`` has the columns ``object`` and ``depends_on``; rows with a null in either, and
+    null seeds, name nothing and are left out. An object is kept once, so cycles end.
+
+    Each round follows the edges of the objects whose distance has changed. An object with a
+    single dependency also gets shortcuts that skip 2, 4, 8, ... steps and know how many:
+    round r makes those of 2^r steps from the ones before and follows them from all that is
+    known, so a chain takes the logarithm of its length. There is at most one shortcut an
+    object and round; an object with several dependencies gets none.
     """
-    spark = edges.sparkSession
-    edges = stage(edges.select("object", "depends_on"))
-    found = seeds.select(F.col(key).alias("object")).distinct().withColumn("depth", F.lit(0))
-    path, depth = staging_path(spark), 0
-    found.write.parquet(path)
+    edges = stage(
+        edges.select("object", "depends_on", F.lit(1).alias("steps")).filter("object is not null and depends_on is not null")
+    )
+    jumps = stage(
+        edges.groupBy("object").agg(F.min("depends_on").alias("depends_on"), F.max("depends_on").alias("_last"))
+        .filter("depends_on = _last").select("object", "depends_on", F.lit(1).alias("steps"))
+    )
+    known = stage(seeds.select(F.col(key).alias("object")).filter("object is not null").distinct().withColumn("depth", F.lit(0)))
+    changed, followed, longer = known, edges, True
     while True:
-        # one table holds all that is known; each round appends to it
-        seen = spark.read.schema(found.schema).parquet(path)
-        newest = seen.filter(F.col("depth") == depth)
-        reached = (
-            edges.join(newest.select("object"), "object", "left_semi")
-            .select(F.col("depends_on").alias("object")).distinct()
-            .join(seen.select("object"), "object", "left_anti")
-        )
-        depth += 1
-        more = stage(reached.withColumn("depth", F.lit(depth)))
-        if more.isEmpty():
-            return seen
-        more.write.mode("append").parquet(path)
+        reached = _reached(changed, followed)
+        if longer:
+            jumps = stage(_twice(jumps))
+            longer = not jumps.isEmpty()
+        if longer:
+            reached = reached.unionByName(_reached(known, jumps))
+            followed = followed.unionByName(jumps)
+        changed = stage(_nearer(reached, known))
+        if changed.isEmpty():
+            return known
+        known = stage(known.unionByName(changed).groupBy("object").agg(F.min("depth").alias("depth")))
+
+
+def _reached(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The objects that edges lead to from known ones, with their distance."""
+    return known.join(edges, "object").select(F.col("depends_on").alias("object"), (F.col("depth") + F.col("steps")).alias("depth"))
+
+
+def _twice(jumps: DataFrame) -> DataFrame:
+    """Each jump and then the one from where it leads."""
+    on = jumps.select(F.col("object").alias("depends_on"), F.col("depends_on").alias("_end"), F.col("steps").alias("_steps"))
+    return jumps.join(on, "depends_on").select(
+        "object", F.col("_end").alias("depends_on"), (F.col("steps") + F.col("_steps")).alias("steps")
+    )
+
+
+def _nearer(reached: DataFrame, known: DataFrame) -> DataFrame:
+    """The least distance of each reached object, where it is new or less than the known one."""
+    least = reached.groupBy("object").agg(F.min("depth").alias("depth"))
+    before = known.select("object", F.col("depth").alias("_before"))
+    return least.join(before, "object", "left").filter("_before is null or depth < _before").drop("_before")
