@@ -46,35 +46,49 @@ PART_FILES = r"/definition/(report\.json|pages/[^/]+/page\.json|pages/[^/]+/visu
 MEASURE_FILES = r"/definition/reportExtensions\.json$"
 
 
-def _report_files(spark: SparkSession, folder: str, wanted: str) -> DataFrame:
+def definition_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON files below a folder: path and value, their whole text."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True, recursiveFileLookup=True)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.select(path.alias("path"), "value")
+
+
+def _report_files(files: DataFrame, wanted: str) -> DataFrame:
     """Files of report definitions: report, path and json, without a byte order mark.
 
     The report is the folder that holds the definition. ``error`` tells of text that is
     not JSON.
     """
-    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True, recursiveFileLookup=True)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     text = F.regexp_replace("value", "^\ufeff", "")
-    return files.select(path.alias("path"), text.alias("json")).filter(F.col("path").rlike(wanted)).select(
+    return files.select("path", text.alias("json")).filter(F.col("path").rlike(wanted)).select(
         F.regexp_extract("path", "([^/]+)/definition/", 1).alias("report"), "path", "json",
         F.when(F.try_parse_json("json").isNull(), "not JSON").alias("error"),
     )
 
 
+def report_parts(files: DataFrame) -> DataFrame:
+    """The parts of all reports among definition files: report, path, json and error.
+
+    ``files`` has path and value, one row a file: those of a folder, or of a table into which
+    many small files were packed.
+    """
+    return _report_files(files, PART_FILES)
+
+
 def read_report_parts(spark: SparkSession, folder: str) -> DataFrame:
     """The parts of all reports below a folder: report, path, json and error."""
-    return _report_files(spark, folder, PART_FILES)
+    return report_parts(definition_files(spark, folder))
 
 
-def read_report_measures(spark: SparkSession, folder: str) -> DataFrame:
-    """The measures that reports below a folder define themselves.
+def report_measures(files: DataFrame) -> DataFrame:
+    """The measures that reports among definition files (path, value) define themselves.
 
     A file that is not JSON comes as one row with its error and no measure.
     """
     measure = "name string, expression string, dataType string, formatString string, dataCategory string"
     schema = f"entities array<struct<name: string, measures: array<struct<{measure}>>>>"
-    files = _report_files(spark, folder, MEASURE_FILES)
-    entities = files.select("report", "error", F.explode_outer(F.from_json("json", schema)["entities"]).alias("e"))
+    found = _report_files(files, MEASURE_FILES)
+    entities = found.select("report", "error", F.explode_outer(F.from_json("json", schema)["entities"]).alias("e"))
     rows = entities.select("report", "error", F.col("e.name").alias("table"), F.explode_outer("e.measures").alias("m"))
     return rows.filter("m.name is not null or error is not null").select(
         "report", "table", F.col("m.name").alias("name"), F.col("m.expression").alias("expression"),
@@ -83,6 +97,11 @@ def read_report_measures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_report_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures that reports below a folder define themselves, as ``report_measures``."""
+    return report_measures(definition_files(spark, folder))
+
+
 def _part_walker(skip_unapplied: bool) -> Callable[[pd.Series], pd.Series]:
     """The function that walks a batch of report parts.
 

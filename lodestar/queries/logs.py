@@ -11,9 +11,9 @@ from lodestar.functions.dates import local_moment
 from lodestar.operators.lineage import (
     dependency_closure,
     expression_references,
-    read_report_measures,
-    read_report_parts,
     report_measure_refs,
+    report_measures,
+    report_parts,
     source_tables,
 )
 from lodestar.operators.lineage import unused_measures as find_unused
@@ -28,7 +28,7 @@ from lodestar.queries.columns import request_properties
 from lodestar.queries.registry import Tables, query
 from lodestar.plans.sketches import merged_quantiles, run_sketches
 from lodestar.sources.staging import stage, staging_path
-from lodestar.sources.tables import append_log, read_runs, write_run, write_text
+from lodestar.sources.tables import append_log, read_runs, write_run
 
 
 def _k() -> Column:
@@ -385,31 +385,29 @@ def unused_measure_chains(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT r_name || '.Report' AS report, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey
-WHERE n_nationkey % 3 <> 0
+SELECT 'Group ' || c_custkey // 50 || '.Report' AS report, c_name AS name FROM customer WHERE c_custkey % 3 <> 0
 """)
 def unused_measures_from_files(t: Tables) -> DataFrame:
-    """Reports written as definition files, read back, and their unused measures."""
-    root = staging_path(t.spark)
-    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    measure = F.struct(F.col("n_name").alias("name"), F.lit("SUM(sales)").alias("expression"), F.lit("Double").alias("dataType"))
-    visual = F.when(F.col("n_nationkey") % 3 == 0, F.struct(F.struct(_source_ref(F.lit("Sales"), F.col("n_name"))).alias("field")))
-    reports = nations.groupBy("r_name").agg(
+    """Definition files of a report per fifty customers, packed into a table, and their unused measures."""
+    group = F.floor(F.col("c_custkey") / 50).cast("string")
+    measure = F.struct(F.col("c_name").alias("name"), F.lit("SUM(sales)").alias("expression"), F.lit("Double").alias("dataType"))
+    visual = F.when(F.col("c_custkey") % 3 == 0, F.struct(F.struct(_source_ref(F.lit("Sales"), F.col("c_name"))).alias("field")))
+    reports = t.customer.groupBy(group.alias("group")).agg(
         F.to_json(F.struct(F.array(F.struct(F.lit("Sales").alias("name"), F.collect_list(measure).alias("measures"))).alias("entities"))).alias("extensions"),
         F.to_json(F.struct(F.collect_list(visual).alias("visuals"))).alias("page"),
     )
-    # a handful of reports, each a few small files
-    files = reports.select(
-        F.concat(F.lit(f"{root}/"), "r_name", F.lit(".Report/definition/")).alias("folder"), "extensions", "page"
-    ).collect()
-    for row in files:
-        write_text(t.spark, row["folder"] + "reportExtensions.json", "\ufeff" + row["extensions"])
-        write_text(t.spark, row["folder"] + "pages/one/page.json", row["page"])
-        write_text(t.spark, row["folder"] + "report.json", "{broken")
-        write_text(t.spark, row["folder"] + "other.json", row["extensions"])
-    measures = read_report_measures(t.spark, root).filter("error is null")
-    refs = report_measure_refs(read_report_parts(t.spark, root).filter("error is null"))
-    unused, _ = find_unused(measures, refs.select("report", "entity", "name"))
+
+    def file(name: str, value: Column) -> Column:
+        return F.struct(F.concat(F.lit("/Group "), "group", F.lit(f".Report/definition/{name}")).alias("path"), value.alias("value"))
+
+    # a part that is not JSON, and a file that belongs to no report definition
+    packed = reports.select(F.inline(F.array(
+        file("reportExtensions.json", F.concat(F.lit("\ufeff"), "extensions")), file("pages/one/page.json", F.col("page")),
+        file("report.json", F.lit("{broken")), file("other.json", F.col("extensions")),
+    )))
+    files = stage(packed)
+    refs = report_measure_refs(report_parts(files).filter("error is null"))
+    unused, _ = find_unused(report_measures(files).filter("error is null"), refs.select("report", "entity", "name"))
     return unused.select("report", "name")
 
 
