@@ -378,12 +378,14 @@ def near_candidates(a: DataFrame, b: DataFrame, limit: int, most_keys: int = 2_0
     n, m = F.char_length("_a"), F.char_length("_b")
     keys = a.filter(n <= longest).select("_a", F.explode(_deletion_keys(F.col("_a"), limit)).alias("_on"))
     held = b.filter(m <= longest).select("_b", "_key", F.explode(_deletion_keys(F.col("_b"), limit)).alias("_on"))
-    short = keys.join(held, "_on").select("_a", "_b", "_key")
+    # the exploded keys are many times their texts, which the planner does not know: a
+    # broadcast of them would be built whole on the driver, so both sides are shuffled
+    short = keys.join(held.hint("merge"), "_on").select("_a", "_b", "_key")
 
     every = b.filter(m > longest - limit).select("_b", "_key", F.inline(_grams(F.col("_b"), size)))
     count = every.groupBy("place", "gram").agg(F.count(F.lit(1)).alias("n"))
     rare = (
-        every.join(count, ["place", "gram"]).groupBy("_b", "_key")
+        every.join(count.hint("merge"), ["place", "gram"]).groupBy("_b", "_key")
         .agg(F.sort_array(F.collect_list(F.struct("n", "place", "gram"))).alias("grams"))
         .select("_b", "_key", F.inline(_rarest_apart("grams", size, limit + 1)))
         .select("_b", "_key", "place", "gram")
@@ -391,7 +393,7 @@ def near_candidates(a: DataFrame, b: DataFrame, limit: int, most_keys: int = 2_0
     asked = a.filter(n > longest - limit).select("_a", F.inline(_grams(F.col("_a"), size))).select(
         "_a", "gram", F.explode(F.sequence(F.col("place") - limit, F.col("place") + limit)).alias("place")
     )
-    long = asked.join(rare, ["place", "gram"]).select("_a", "_b", "_key")
+    long = asked.join(rare.hint("merge"), ["place", "gram"]).select("_a", "_b", "_key")
     return short.unionByName(long).filter(F.abs(n - m) <= limit)
 
 

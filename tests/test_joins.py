@@ -159,6 +159,29 @@ def test_texts_with_a_common_beginning_make_few_candidates(spark):
     assert got.filter("distance = 0").count() == 3000
 
 
+def _broadcasts_of_exploded_rows(df) -> list[str]:
+    """Broadcast exchanges of the physical plan with a Generate below them."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    found = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            below = itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > depth, lines[i + 1:])
+            if any("Generate" in x for x in below):
+                found.append(line.strip())
+    return found
+
+
+@pytest.mark.parametrize("limit,size", [(2, 18), (1, 80)])
+def test_exploded_keys_are_not_broadcast(spark, limit, size):
+    # a few rows explode into many keys or grams, which the driver would have to hold whole
+    a = spark.range(50).select(F.format_string(f"%0{size}d", "id").alias("_a"))
+    b = spark.range(50).select(F.format_string(f"%0{size - 1}d", "id").alias("_b"), F.col("id").alias("_key"))
+    found = near_candidates(a, b, limit)
+    assert _broadcasts_of_exploded_rows(found) == []
+    assert found.filter("_a = concat('0', _b)").select("_a", "_b").distinct().count() == 50
+
+
 @pytest.mark.parametrize("limit,most_keys", [(1, 30), (2, 300), (3, 1000)])
 def test_grams_of_long_texts_miss_no_pair(spark, limit, most_keys):
     rng = random.Random(limit)
