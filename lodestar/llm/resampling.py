@@ -232,14 +232,11 @@ def ranked(rows: DataFrame, percent: int, settings: ResamplingSettings) -> DataF
             if not batch.num_rows:
                 continue
             which = batch.column(batch.schema.get_field_index("range")).to_numpy()
-            opens = np.flatnonzero(np.diff(which, prepend=current))
-            start = np.zeros(batch.num_rows, np.int64)
-            index = np.arange(batch.num_rows)
-            first = np.zeros(batch.num_rows, np.int64)
-            start[:], first[:] = at, 0
-            for lo, hi in zip(opens, [*opens[1:], batch.num_rows], strict=True):
-                start[lo:hi], first[lo:hi] = before[which[lo]], lo
-            rank = start + index - first + 1
+            opens = np.diff(which, prepend=current) != 0
+            first = np.flatnonzero(opens)
+            # rows before the first new range, maybe all, go on from the batch before
+            start = np.append(at, before[which[first]] - first)
+            rank = start[np.cumsum(opens)] + np.arange(1, batch.num_rows + 1)
             current, at = int(which[-1]), int(rank[-1])
             columns = [batch.column(batch.schema.get_field_index(c)) for c in out]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rank, mask=rank > wanted)], names=[*out, "rank"])

@@ -100,6 +100,21 @@ def test_resampling_of_ties_and_copies(spark):
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 151))
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_resampling_of_ranges_longer_than_a_batch(spark, size):
+    data = [(i, f"w{i % 13} same words here " * 6, *[None] * 7) for i in range(300)]
+    settings = ResamplingSettings(percent=60, sample=16)
+    target = spark.createDataFrame([(1, "w3 w5 w5")], "item_id long, text string")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, size)
+    try:
+        got = resample(frame(spark, data, 7), target, settings).collect()
+    finally:
+        spark.conf.unset(batch)
+    assert Counter(tuple(r) for r in got) == brute_resample(data, ["w3 w5 w5"], settings)
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 181))
+
+
 def test_resampling_of_nothing(spark):
     target = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert resample(frame(spark, []), target).collect() == []
